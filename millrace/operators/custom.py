@@ -9,7 +9,7 @@ as three functions on partial states and never sees a whole column at once.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -53,7 +53,7 @@ def _named(registry: dict[str, Any], name: str, what: str):
     return registry[name]
 
 
-def _merged(states: Iterator[bytes], merge: Callable[[Any, Any], Any]) -> bytes:
+def _merged(states: Iterable[bytes], merge: Callable[[Any, Any], Any]) -> bytes:
     return pickle.dumps(reduce(merge, map(pickle.loads, states)))
 
 
@@ -68,18 +68,17 @@ def _partial_statistic(df: DataFrame, column: str, statistic: PartialStatistic)
         if seen:
             yield pd.DataFrame({"state": [pickle.dumps(state)]})
 
-    @F.pandas_udf("binary")
-    def merge_states(states: pd.Series) -> bytes:
-        return _merged(iter(states), merge)
+    def merge_states(states: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"state": [_merged(states["state"], merge)]})
 
-    @F.pandas_udf("string")
-    def finish_states(states: pd.Series) -> str:
-        return finish(pickle.loads(_merged(iter(states), merge)))
+    def finish_states(states: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"data": [finish(pickle.loads(_merged(states["state"], merge)))]})
 
     # one small state per partition, merged in two rounds
     states = df.select(quoted(column).alias("value")).mapInPandas(per_partition, "state binary")
-    some = states.groupBy(F.pmod(F.hash("state"), F.lit(_MERGE_FAN_IN)).alias("slot"))
-    return some.agg(merge_states("state").alias("state")).agg(finish_states("state").alias("data"))
+    slot = F.pmod(F.xxhash64("state"), F.lit(_MERGE_FAN_IN))
+    some = states.groupBy(slot).applyInPandas(merge_states, "state binary")
+    return some.groupBy(F.lit(0)).applyInPandas(finish_states, "data string")
 
 
 def custom_statistic(df: DataFrame, column: str, name: str) -> DataFrame:
