@@ -78,7 +78,7 @@ def _partial_statistic(df: DataFrame, column: str, statistic: PartialStatistic)
     states = df.select(quoted(column).alias("value")).mapInPandas(per_partition, "state binary")
     slot = F.pmod(F.xxhash64("state"), F.lit(_MERGE_FAN_IN))
     some = states.groupBy(slot).applyInPandas(merge_states, "state binary")
-    return some.groupBy(F.lit(0)).applyInPandas(finish_states, "data string")
+    return some.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(finish_states, "data string")
 
 
 def custom_statistic(df: DataFrame, column: str, name: str) -> DataFrame:

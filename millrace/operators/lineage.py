@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import left_join
-from millrace.operators.parts import PART_SIZE, assign_parts, list_parts
+from millrace.operators.parts import PART_SIZE, list_parts
 
 _NODE = "struct<db_type: string, ip: string, port: string, db_name: string, table_name: string>"
 EVENT_SCHEMA = (
@@ -19,7 +19,7 @@ EVENT_SCHEMA = (
 )
 NODE_KEYS = ["db_type", "ip", "port", "db_name", "table_name"]
 
-_DIGEST_SIZE = 4096
+_LANES = 4
 
 
 def data_nodes(touches: DataFrame, keys: Sequence[str], run: str) -> DataFrame:
@@ -35,35 +35,23 @@ def data_node_runs(
 
 
 def set_digest(sets: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
-    """Rows (keys, size, digest): equal digests mean equal sets.
+    """Rows (keys, size, digest): sets are told apart by size and a 256-bit fingerprint.
 
-    Members are hashed in parts of about 4,096, the part digests in groups of 4,096, and the
-    group digests once more, so no task holds a whole set. The part of a member depends only on
-    its value and the size of the set: equal sets are cut alike.
+    The fingerprint is the exclusive-or of four differently seeded hashes per member. It does
+    not depend on order, so it merges like a sum: no set is ever collected, and a set of any
+    size costs one row per task.
     """
-
-    def fold(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-        members = F.array_sort(F.collect_list(value))
-        return df.groupBy(*by).agg(F.sha2(F.to_json(members), 256).alias("digest"))
-
-    text = sets.select(*keys, F.col(item).cast("string").alias("item")).distinct()
-    parts = assign_parts(text, keys, "item", _DIGEST_SIZE)
-    level = fold(parts, [*keys, "size", "part"], "item")
-    level = level.select(
-        *keys,
-        "size",
-        F.floor(F.col("part") / _DIGEST_SIZE).alias("group"),
-        F.concat_ws(":", "part", "digest").alias("item"),
-    )
-    level = fold(level, [*keys, "size", "group"], "item")
-    level = level.select(*keys, "size", F.concat_ws(":", "group", "digest").alias("item"))
-    return fold(level, [*keys, "size"], "item")
+    members = sets.select(*keys, F.col(item).cast("string").alias("item")).distinct()
+    lanes = [F.bit_xor(F.xxhash64(F.lit(i), F.col("item"))).alias(f"lane{i}") for i in range(_LANES)]
+    found = members.groupBy(*keys).agg(F.count("*").alias("size"), *lanes)
+    digest = F.concat_ws("-", *[F.hex(f"lane{i}") for i in range(_LANES)])
+    return found.select(*keys, "size", digest.alias("digest"))
 
 
 def process_members(inputs: DataFrame, run: str, action: Sequence[str], item: str) -> DataFrame:
     """Rows (run, action, size, process_id): runs of one action on the same input set share it."""
     digests = set_digest(inputs, [run, *action], item)
-    identity = F.sha2(F.to_json(F.struct(*action, "digest")), 256)
+    identity = F.sha2(F.to_json(F.struct(*action, "size", "digest")), 256)
     return digests.select(run, *action, "size", identity.alias("process_id"))
 
 
@@ -110,18 +98,14 @@ def lineage_edges(inputs: DataFrame, outputs: DataFrame, members: DataFrame, run
     A run given as an input stands for the process node it belongs to.
     """
     process = members.select(run, "process_id")
-    incoming = inputs.join(process, run)
-    from_data = incoming.where(F.col("input_kind") == "data").select(
-        F.col("input").cast("string").alias("src"), F.col("process_id").alias("dst")
-    )
-    source = process.select(F.col(run).cast("string").alias("input"), F.col("process_id").alias("src"))
-    from_run = (
-        incoming.where(F.col("input_kind") == "run")
-        .select(F.col("input").cast("string").alias("input"), F.col("process_id").alias("dst"))
-        .join(source, "input")
-        .select("src", "dst")
-    )
-    to_data = outputs.join(process, run).select(
-        F.col("process_id").alias("src"), F.col("output").cast("string").alias("dst")
-    )
-    return from_data.unionByName(from_run).unionByName(to_data).distinct()
+    data_in, run_in, data_out = "data", "run", "output"
+    links = inputs.select(run, F.col("input_kind").alias("kind"), F.col("input").cast("string").alias("ref"))
+    links = links.unionByName(outputs.select(run, F.lit(data_out).alias("kind"), F.col("output").cast("string").alias("ref")))
+    # one join gives every link its process
+    owned = links.distinct().join(process, run).select("kind", "ref", "process_id").distinct()
+    reads = owned.where(F.col("kind") == data_in).select(F.col("ref").alias("src"), F.col("process_id").alias("dst"))
+    writes = owned.where(F.col("kind") == data_out).select(F.col("process_id").alias("src"), F.col("ref").alias("dst"))
+    source = process.select(F.col(run).cast("string").alias("ref"), F.col("process_id").alias("src"))
+    after = owned.where(F.col("kind") == run_in).select("ref", F.col("process_id").alias("dst"))
+    after = after.join(source, "ref").select("src", "dst")
+    return reads.unionByName(after).unionByName(writes).distinct()

@@ -58,7 +58,11 @@ def read_corpus(texts: DataFrame, submission: str, submitted_at: str, document:
 
 def _sources_used(corpus: DataFrame) -> DataFrame:
     sources = corpus.select(
-        "submission", "submitted_at", "task", F.posexplode("task.Base.Databases").alias("pos", "source")
+        "submission",
+        "submitted_at",
+        F.col("task.TaskAction.SubmittedUser").alias("user"),
+        _merge_entries(F.col("task")).alias("entries"),
+        F.posexplode("task.Base.Databases").alias("pos", "source"),
     )
     return sources.where(~F.col("source.ConnectionInfo.DbType").eqNullSafe("None"))
 
@@ -69,7 +73,7 @@ def columns_used(corpus: DataFrame) -> DataFrame:
     return _sources_used(corpus).select(
         "submission",
         "submitted_at",
-        F.col("task.TaskAction.SubmittedUser").alias("user"),
+        "user",
         "pos",
         F.col(f"{c}.DbType").alias("db_type"),
         F.col(f"{c}.Ip").alias("ip"),
@@ -79,7 +83,7 @@ def columns_used(corpus: DataFrame) -> DataFrame:
         F.col(f"{i}.TableName").alias("table"),
         F.explode(f"{i}.ColumnsName").alias("column"),
         F.col("source.Condition.FunctionCondition").alias("functions"),
-        "task",
+        "entries",
     )
 
 
@@ -155,10 +159,7 @@ def task_usage(corpus: DataFrame) -> DataFrame:
     """One row per listed column of a task, with its join-key and function counts; no shuffle."""
     used = columns_used(corpus)
     key = F.struct("db", "table", "column", "pos")
-    joins = F.filter(
-        _merge_entries(F.col("task")), lambda e: _same(e, key) & (e["pos"] == key["pos"])
-    )
-    merge = F.when(F.size(joins) > 0, _merge_count(_merge_entries(F.col("task")), key)).otherwise(0)
+    merge = F.when(F.array_contains("entries", key), _merge_count(F.col("entries"), key)).otherwise(0)
     return used.select(
         "submission",
         "submitted_at",
@@ -200,6 +201,28 @@ def usage_gaps(uses: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     return rows.select(*keys, "used_at", "uses", gap.cast("bigint").alias("gap_seconds"))
 
 
+def last_gaps(uses: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows (keys, gap_seconds): time between the last two uses, in whole seconds, else 0.
+
+    The two latest seconds are kept per key and day (at most 86,400 candidates), then per key.
+    """
+
+    def latest_two(seconds: Column) -> Column:
+        return F.slice(F.sort_array(seconds, asc=False), 1, 2)
+
+    second = F.date_trunc("second", quoted(ts)).cast("timestamp_ntz")
+    per_second = uses.groupBy(*keys, second.alias("at")).agg(F.count("*").alias("n"))
+    days = per_second.groupBy(*keys, F.to_date("at").alias("day")).agg(
+        latest_two(F.collect_list(F.struct("at", "n"))).alias("latest")
+    )
+    last = days.groupBy(*keys).agg(latest_two(F.flatten(F.collect_list("latest"))).alias("latest"))
+    first, second_last = F.get("latest", F.lit(0)), F.get("latest", F.lit(1))
+    gap = F.timestamp_diff("SECOND", second_last["at"], first["at"])
+    return last.select(
+        *keys, F.when(first["n"] > 1, 0).otherwise(F.coalesce(gap, F.lit(0))).cast("bigint").alias("gap_seconds")
+    )
+
+
 def first_uses(uses: DataFrame, keys: Sequence[str], user: str, ts: str) -> DataFrame:
     """Rows (keys, user, first_used): the distinct users of a column with their first use.
 
@@ -211,19 +234,16 @@ def first_uses(uses: DataFrame, keys: Sequence[str], user: str, ts: str) -> Data
 def accumulate(usage: DataFrame) -> DataFrame:
     """The usage table over all tasks: summed counters, last use, gap before it, users."""
     counters = ["column_count", "merge_count", *FUNCTION_COUNTS.values()]
+    # the distinct count is planned as partial counts per (key, user), so a hot key is spread
     totals = usage.groupBy(*USAGE_KEY).agg(
         F.max_by("db_type", "submitted_at").alias("db_type"),
         F.max_by("user_name", "submitted_at").alias("user_name"),
         F.max("submitted_at").alias("last_used"),
+        F.count_distinct("user").alias("users"),
         *[F.sum(c).alias(c) for c in counters],
     )
-    gaps = usage_gaps(usage, USAGE_KEY, "submitted_at")
-    last_gap = F.when(F.col("uses") > 1, 0).otherwise(F.col("gap_seconds"))
-    gaps = gaps.groupBy(*USAGE_KEY).agg(F.max_by(last_gap, "used_at").alias("gap_seconds"))
-    users = first_uses(usage, USAGE_KEY, "user", "submitted_at")
-    users = users.groupBy(*USAGE_KEY).agg(F.count("*").alias("users"))
+    gaps = last_gaps(usage, USAGE_KEY, "submitted_at")
     joined = left_join(totals, gaps, USAGE_KEY, USAGE_KEY, null_safe=True)
-    joined = left_join(joined, users, USAGE_KEY, USAGE_KEY, null_safe=True)
     return joined.withColumn("id", F.concat_ws(":", *USAGE_KEY))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import lineage
 from millrace.workload.registry import query, table
+from millrace.workspace import stored
 
 
 def _events(spark, sf_dir):
@@ -54,6 +55,7 @@ def _members(spark, sf_dir):
 
 def _labelled(members):
     """Process ids replaced by the first run of the node, which SQL can compute too."""
+    members = stored(members, "members")
     nodes = lineage.process_nodes(members, "run", ["action"]).select("process_id", "first_run")
     named = members.join(nodes, "process_id")
     return named.select("run", "action", "size", F.concat(F.lit("p:"), "first_run").alias("process_id"))
@@ -96,9 +98,9 @@ def lineage_runs(spark, sf_dir):
 def lineage_edges(spark, sf_dir):
     """Every run of another action also reads the run of action A on the same order."""
     events = _events(spark, sf_dir)
-    members = _labelled(_members(spark, sf_dir))
+    members = stored(_labelled(_members(spark, sf_dir)), "members")
     data = events.select("run", F.lit("data").alias("input_kind"), F.concat(F.lit("d:"), "input").alias("input"))
     runs = events.where("action <> 'A'").select(
         "run", F.lit("run").alias("input_kind"), F.concat("l_orderkey", F.lit("-A")).alias("input")
     )
-    return lineage.lineage_edges(data.unionByName(runs).distinct(), events.select("run", "output").distinct(), members, "run")
+    return lineage.lineage_edges(data.unionByName(runs), events.select("run", "output"), members, "run")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import catalogue, graph, usage
 from millrace.workload.registry import query, table
+from millrace.workspace import stored
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -121,7 +122,9 @@ def corpus(spark, sf_dir):
         f"concat('{{\"TaskAction\":{{\"SubmittedUser\":\"', user_id, '\"}},\"Base\":{{\"Databases\":[', to_json({first}), ',', "
         f"to_json({second}), ']}},\"Merge\":{{\"Tables\":[', to_json({keys}), ']}}}}')"
     )
-    texts = table(spark, sf_dir, "events").selectExpr("event_id", "ts", f"{document} AS doc")
+    # the documents are far larger than the rows they come from: spread the rows first
+    events = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    texts = events.selectExpr("event_id", "ts", f"{document} AS doc")
     return usage.read_corpus(texts, "event_id", "ts", "doc")
 
 
@@ -258,7 +261,7 @@ _HASH = "CAST('0x' || substr(md5(dst), 1, 8) AS BIGINT)"
     """
 )
 def related_list(spark, sf_dir):
-    edges = graph.related_edges(_members(spark, sf_dir), "task", "column")
+    edges = stored(graph.related_edges(_members(spark, sf_dir), "task", "column"), "edges")
     out = graph.related_lists(edges, limit=50)
     return out.withColumn("related", F.array_join("related", ","))
 
@@ -275,6 +278,7 @@ def search_doc(spark, sf_dir):
     members = _members(spark, sf_dir)
     totals = usage.usage_count(members.select(F.col("table").cast("string").alias("id")), ["id"])
     totals = totals.select("id", F.col("id").alias("name"), F.col("column_count").alias("usagecount"))
-    related = graph.related_lists(graph.related_edges(members, "task", "table"))
+    edges = stored(graph.related_edges(members, "task", "table"), "edges")
+    related = graph.related_lists(edges)
     out = graph.search_documents(totals, related, ["name", "usagecount"])
     return out.select("id", "document")
