@@ -95,11 +95,8 @@ def _merge_entries(task: Column) -> Column:
             info = F.get(task.Base.Databases, merge_at + i).DbInfo
             return F.transform(
                 side.MergeColumnName,
-                lambda name: F.struct(
-                    info.DbName.alias("db"),
-                    info.TableName.alias("table"),
-                    name.alias("column"),
-                    (merge_at + i).alias("pos"),
+                lambda name: F.named_struct(
+                    F.lit("db"), info.DbName, F.lit("table"), info.TableName, F.lit("column"), name, F.lit("pos"), merge_at + i
                 ),
             )
 
