@@ -39,7 +39,11 @@ class QualitySpec:
     interval_hours: int = 24
 
     def resolved(self, columns: Sequence[str]) -> "QualitySpec":
-        """The same task with every name spelled as in the table, whatever its case."""
+        """The same task with every name spelled as in the table, whatever its case.
+
+        A column has one check: listed more than once, it counts as numeric before category
+        before custom.
+        """
         exact = {c.lower(): c for c in columns}
 
         def name(wanted: str | None) -> str | None:
@@ -49,6 +53,9 @@ class QualitySpec:
                 raise ValueError(f"no column {wanted!r} in {list(columns)}")
             return exact[wanted.lower()]
 
+        numeric = tuple(dict.fromkeys(map(name, self.numeric)))
+        category = tuple(c for c in dict.fromkeys(map(name, self.category)) if c not in numeric)
+        custom = {name(c): v for c, v in self.custom.items()}
         return QualitySpec(
             task_id=self.task_id,
             name=self.name,
@@ -56,9 +63,9 @@ class QualitySpec:
             key_mark=self.key_mark,
             ts=name(self.ts),
             ts_mark=self.ts_mark,
-            numeric=tuple(map(name, self.numeric)),
-            category=tuple(map(name, self.category)),
-            custom={name(c): v for c, v in self.custom.items()},
+            numeric=numeric,
+            category=category,
+            custom={c: v for c, v in custom.items() if c not in numeric and c not in category},
             chebyshev={name(c): v for c, v in self.chebyshev.items()},
             moments=self.moments,
             expect_count=self.expect_count,
