@@ -17,6 +17,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from millrace.session import build_session
 from millrace.workload import QUERIES
 
 HEADLINE = (
@@ -29,17 +30,14 @@ HEADLINE = (
 
 
 def session(cpus: str) -> SparkSession:
-    return (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.log.level", "ERROR")
-        .getOrCreate()
-    )
+    settings = {
+        "spark.sql.shuffle.partitions": cpus,
+        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.log.level": "ERROR",
+    }
+    return build_session("bench", f"local[{cpus}]", **settings)
 
 
 def seconds(spark: SparkSession, name: str, sf_dir: str) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import as_double, quoted
 from millrace.operators.custom import custom_check, custom_statistic
 from millrace.operators.incremental import rows_above_key, rows_after, size_probe
-from millrace.operators.profile import category_counts, category_set, numeric_profile
+from millrace.operators.profile import category_counts, category_set, numeric_profile, numeric_shape
 from millrace.plans.quality import QualitySpec
 
 NEAR, FAR = 3, 5  # fixed values: deviations of the two standard bounds
@@ -116,7 +116,8 @@ def take_baseline(df: DataFrame, spec: QualitySpec) -> dict[str, DataFrame]:
     spec = spec.resolved(df.columns)
     tables: dict[str, DataFrame] = {}
     if spec.numeric:
-        tables["numbers"] = numeric_profile(df, spec.numeric, spec.chebyshev)
+        profile = numeric_profile(df, spec.numeric, spec.chebyshev)
+        tables["numbers"] = profile.join(numeric_shape(df, spec.numeric, spec.moments), "column", "left")
     if spec.category:
         tables["categories"] = category_set(df, spec.category)
     if spec.custom:
@@ -132,6 +133,7 @@ def _details(df: DataFrame, spec: QualitySpec, baseline: dict[str, DataFrame]) -
     parts = []
     if spec.numeric:
         found = check_numbers(df, spec.numeric, baseline["numbers"])
+        found = found.join(numeric_shape(df, spec.numeric, spec.moments), "column", "left")
         parts.append(_detail(found, "num"))
     if spec.category:
         parts.append(_detail(check_categories(df, spec.category, baseline["categories"]), "category"))

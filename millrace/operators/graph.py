@@ -48,15 +48,16 @@ def related_edges(
     """
     pairs = members.select(F.col(task).alias("task"), F.col(item).alias("item")).distinct()
     sizes = pairs.groupBy("task").agg(F.count("*").alias("size"))
-    sized = left_join(pairs, sizes, ["task"], ["task"])
-    narrow = sized.where(F.col("size") <= wide)
+    sized = left_join(pairs, sizes, ["task"], ["task"], spread=True)
+    # shuffled after the wide tasks are gone, so the join above stays free to split them
+    narrow = sized.where(F.col("size") <= wide).select("task", "item").repartition("task")
     left, right = narrow.select("task", F.col("item").alias("src")), narrow.select("task", F.col("item").alias("dst"))
     direct = (
         left.join(right, "task")
         .where(F.col("src") < F.col("dst"))
         .select("src", "dst")
         .distinct()
-        .select(F.inline(F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+        .selectExpr("inline(array(named_struct('src', src, 'dst', dst), named_struct('src', dst, 'dst', src)))")
         .withColumn("kind", F.lit(kind))
     )
     via = sized.where(F.col("size") > wide).select(
@@ -66,6 +67,19 @@ def related_edges(
     return direct.select(*text, "kind").unionByName(via.select(*text, "kind"))
 
 
+def merge_edges(stored: DataFrame, added: DataFrame) -> DataFrame:
+    """The union of two edge (or vertex) tables; adding the same rows again changes nothing."""
+    return stored.unionByName(added).distinct()
+
+
+def task_members(used: DataFrame) -> DataFrame:
+    """Membership rows of a task corpus, from its `columns_used`."""
+    keys = ["ip", "port", "db", "table", "column"]
+    return used.select(
+        F.col("submission").alias("task"), F.concat_ws(":", *keys).alias("id"), "db_type", *keys
+    ).distinct()
+
+
 def neighbours(edges: DataFrame, of: DataFrame, kind: str = RELATED) -> DataFrame:
     """Distinct (src, dst) of the items in `of` (column `src`), through both kinds of edges."""
     wanted = of.select("src").distinct()

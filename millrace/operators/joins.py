@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import quoted
@@ -32,27 +33,37 @@ def left_join(
     left_keys: Sequence[str],
     right_keys: Sequence[str],
     null_safe: bool = False,
+    spread: bool = False,
 ) -> DataFrame:
     """Left outer join; the result has all left columns, then the right columns without keys.
 
     Keys of different types are compared in a common type, and the left key keeps its own type.
     A name that both sides still share gets the suffixes `_x` and `_y`. Right columns are
     renamed before the join, so both sides may come from the same table.
+
+    Set `spread` when the right side is an aggregate over its keys. Such a side is already
+    partitioned by them, and adaptive execution splits a skewed left partition only when both
+    sides come straight from a shuffle. A hash of the keys as one more key brings that shuffle
+    about; it moves the aggregated rows only.
     """
     if len(left_keys) != len(right_keys) or not left_keys:
         raise ValueError(f"join keys do not pair up: {left_keys} and {right_keys}")
     hidden = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
     renamed = right.select([quoted(c).alias(hidden[c]) for c in right.columns])
 
-    def match(left_key: str, right_key: str) -> Column:
+    def aligned(left_key: str, right_key: str) -> tuple[Column, Column]:
         a, b = quoted(left_key), quoted(hidden[right_key])
         target = common_type(left.schema[left_key].dataType, right.schema[right_key].dataType)
         if target is not None:
             # an unparsable value must not fail the join: it simply matches nothing
             a, b = a.try_cast(target), b.try_cast(target)
-        return a.eqNullSafe(b) if null_safe else a == b
+        return a, b
 
-    condition = reduce(lambda x, y: x & y, map(match, left_keys, right_keys))
+    pairs = list(map(aligned, left_keys, right_keys))
+    tests = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
+    if spread:
+        tests.append(F.xxhash64(*[a for a, _ in pairs]) == F.xxhash64(*[b for _, b in pairs]))
+    condition = reduce(lambda x, y: x & y, tests)
     kept = [c for c in right.columns if c not in right_keys]
     clash = set(left.columns) & set(kept)
     out = [quoted(c).alias(f"{c}_x" if c in clash else c) for c in left.columns]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, quoted
+from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.quality import chebyshev_multiplier
 
 
@@ -71,6 +72,20 @@ def central_moments(df: DataFrame, columns: Sequence[str], highest: int) -> Data
     return df.agg(*powers).select(F.explode(F.array(*rows)).alias("m")).select("m.*")
 
 
+def numeric_shape(df: DataFrame, columns: Sequence[str], moments: int = 0) -> DataFrame:
+    """Rows (column, percentiles, moments): eleven deciles to 2 decimals, and moments by order."""
+    deciles = exact_quantiles(df, columns).groupBy("column").agg(
+        F.array_sort(F.collect_list(F.struct("probability", F.round("quantile", 2).alias("q")))).alias("p")
+    )
+    shape = deciles.select("column", F.col("p.q").alias("percentiles"))
+    if moments < 3:
+        return shape.withColumn("moments", F.lit(None).cast("map<int,double>"))
+    found = central_moments(df, columns, moments).groupBy("column").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("order", "moment")))).alias("moments")
+    )
+    return shape.join(found, "column", "left")
+
+
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (column, value, rows) with values as text; null is a value of its own."""
     texts = df.select([quoted(c).cast("string").alias(c) for c in columns])

@@ -5,7 +5,7 @@ largest group in a single task. Grouped totals aggregate first (partial sums bef
 shuffle, so a hot key costs one row per task) and join the small result back. Spark sees that
 the joined side is unique per key, so it drops the join from branches that do not need it, and
 adaptive execution broadcasts that side when its measured size allows or splits skewed
-partitions of the row side when it does not.
+partitions of the row side when it does not (`spread` in `left_join` makes sure it can).
 """
 
 from __future__ import annotations
@@ -27,13 +27,21 @@ _AGGREGATES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def group_totals(
+    df: DataFrame, wanted: Sequence[tuple[str, str, str]], keys: Sequence[str]
+) -> DataFrame:
+    """Sums or means per group on every row, from (kind, target, name) entries: one aggregate and
+    one join for all of them. Rows with a null key keep null totals."""
+    names = [name for _, _, name in wanted]
+    if set(names) & set(keys):
+        raise ValueError(f"totals {names} would overwrite the group keys {list(keys)}")
+    values = [_AGGREGATES[kind](as_number(df, target)).alias(name) for kind, target, name in wanted]
+    totals = df.groupBy(*[quoted(k) for k in keys]).agg(*values)
+    return left_join(df.drop(*names), totals, keys, keys, spread=True)
+
+
 def group_total(df: DataFrame, kind: str, target: str, keys: Sequence[str], naming: str) -> DataFrame:
-    """Sum or mean of `target` per group on every row; rows with a null key keep a null total."""
-    if naming in keys:
-        raise ValueError(f"{naming!r} is a group key and cannot hold the total")
-    value = _AGGREGATES[kind](as_number(df, target))
-    totals = df.groupBy(*[quoted(k) for k in keys]).agg(value.alias(naming))
-    return left_join(df.drop(naming), totals, keys, keys)
+    return group_totals(df, [(kind, target, naming)], keys)
 
 
 def global_total(df: DataFrame, kind: str, target: str, naming: str) -> DataFrame:

@@ -231,8 +231,12 @@ def first_uses(uses: DataFrame, keys: Sequence[str], user: str, ts: str) -> Data
 def accumulate(usage: DataFrame) -> DataFrame:
     """The usage table over all tasks: summed counters, last use, gap before it, users."""
     counters = ["column_count", "merge_count", *FUNCTION_COUNTS.values()]
-    # the distinct count is planned as partial counts per (key, user), so a hot key is spread
-    totals = usage.groupBy(*USAGE_KEY).agg(
+    # numbers only in the first step, which sees all rows: it is hashed, not sorted, and leaves
+    # one row per column and user; a hot column is spread over its users
+    by_user = usage.groupBy(*USAGE_KEY, "db_type", "user_name", "user").agg(
+        F.max("submitted_at").alias("submitted_at"), *[F.sum(c).alias(c) for c in counters]
+    )
+    totals = by_user.groupBy(*USAGE_KEY).agg(
         F.max_by("db_type", "submitted_at").alias("db_type"),
         F.max_by("user_name", "submitted_at").alias("user_name"),
         F.max("submitted_at").alias("last_used"),

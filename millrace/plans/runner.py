@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.columns import rename_columns
-from millrace.functions.steps import apply_step
+from millrace.functions.steps import apply_steps
 from millrace.operators.joins import left_join
 from millrace.operators.lineage import EVENT_SCHEMA
 from millrace.plans.naming import plan_names
@@ -114,9 +114,8 @@ def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> Ta
     def load(source: Source) -> tuple[DataFrame, str]:
         action = (LOAD_ACTIONS[source.db_type], "LOAD", f"Pull {source.db_type}")
         run = recorder.add(action, inputs=[data_node(source)])
-        df = resolver(source)
+        df = apply_steps(apply_steps(resolver(source), source.specials), source.functions)
         for step in (*source.specials, *source.functions):
-            df = apply_step(df, step)
             run = recorder.add(STEP_ACTIONS[step.kind], runs=[run])
         return df, run
 

@@ -35,7 +35,11 @@ def run_statement(tables: Mapping[str, DataFrame], statement: str) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(statement)
+    # the plan is resolved here, so the names are not needed any longer
+    result = spark.sql(statement)
+    for name in tables:
+        spark.catalog.dropTempView(name)
+    return result
 
 
 @dataclass
@@ -67,7 +71,7 @@ class Resolver:
             return self._wide_rows(source)
         if kind in ("csv", "hds"):
             return self._file(source)
-        raise ValueError(f"unsupported source kind {kind!r}")
+        raise ValueError(f"source kind {kind!r} is not read here; convert it to CSV or parquet first")
 
     def _load(self, format_name: str, settings: Mapping[str, str]) -> DataFrame:
         return self.spark.read.format(format_name).options(**settings).load()

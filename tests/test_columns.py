@@ -113,3 +113,22 @@ def test_renames_apply_in_list_order(spark):
     df = spark.createDataFrame([(1,)], ["a"])
     specs = [ColumnSpec("a", renames=True, new_name="b"), ColumnSpec("b", renames=True, new_name="c")]
     assert rename_columns(df, specs).columns == ["c"]
+
+
+def test_neighbouring_totals_share_one_join(spark):
+    from millrace.functions.steps import batches
+    from millrace.plans.spec import GroupTotal
+
+    total = lambda step, kind, target, name, key="k": GroupTotal(kind, step, target, name, (key,))
+    steps = [
+        total(1, "ToSum", "v", "s"),
+        total(2, "ToAvg", "v", "m"),
+        total(3, "ToSum", "s", "of_s"),
+        total(4, "ToSum", "v", "by_c", "c"),
+        GroupTotal("ToSum", 5, "v", "all", ()),
+    ]
+    assert [len(b) for b in batches(steps)] == [2, 1, 1, 1]
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "y"), ("b", 5.0, "x")], "k string, v double, c string")
+    out = apply_steps(df, steps)
+    assert out.columns == ["k", "v", "c", "s", "m", "of_s", "by_c", "all"]
+    assert rows(out) == [("a", 1.0, "x", 4.0, 2.0, 8.0, 6.0, 9.0), ("a", 3.0, "y", 4.0, 2.0, 8.0, 3.0, 9.0), ("b", 5.0, "x", 5.0, 5.0, 5.0, 6.0, 9.0)]

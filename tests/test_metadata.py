@@ -142,3 +142,15 @@ def test_catalogue(spark):
     assert found["columns"] == ["a", "o.x", "o.y", "m", "doc"] and found.row_count == 1 and found.id == "h:1:d:t"
     assert rows(catalogue.map_names(df, F.col("m"))) == [("f:p",)]
     assert rows(catalogue.document_names(df, F.col("doc"))) == [("j",), ("k",)]
+
+
+def test_graph_of_a_corpus(spark):
+    docs = corpus(spark, document("x", [("a", ["p", "q"], "mysql"), ("b", ["r"], "mysql")]), document("y", [("a", ["p"], "mysql")]))
+    members = graph.task_members(usage.columns_used(docs))
+    edges = graph.related_edges(members, "task", "id")
+    assert edges.count() == 6 and rows(graph.merge_edges(edges, edges)) == rows(edges)
+    kinds = {"Column": ["id"], "Table": ["ip", "port", "table"], "DBType": ["db_type", "ip", "port"]}
+    assert rows(graph.vertices(members, kinds).groupBy("kind").count()) == [("Column", 3), ("DBType", 1), ("Table", 2)]
+    totals = usage.accumulate(usage.task_usage(docs)).select("id", "column_count")
+    assert rows(graph.column_vertices(members, ["id"], totals), "id", "column_count") == [
+        ("h:1:d:a:p", 2), ("h:1:d:a:q", 1), ("h:1:d:b:r", 1)]
