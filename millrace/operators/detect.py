@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,17 +237,25 @@ def _append(report: DataFrame, path: str) -> None:
     stamped.write.mode("append").parquet(path)
 
 
+def _is_stored(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def _profile_or_check(spark, df, spec, baseline_path, results_path, manual) -> str:
     spec = spec.resolved(df.columns)
     names = {"numbers": spec.numeric, "categories": spec.category, "custom": spec.custom}
     wanted = [name for name, columns in names.items() if columns]
-    folder = spark._jvm.org.apache.hadoop.fs.Path(baseline_path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{baseline_path}/complete")
-    if not files.exists(done):
+    if not _is_stored(spark, f"{baseline_path}/profiled"):
         for name, table in take_baseline(new_rows(df, spec), spec).items():
             table.write.mode("overwrite").parquet(f"{baseline_path}/{name}")
-        files.create(done).close()
+        # written last: a profile that was cut short starts over
+        probe = size_probe(new_rows(df, spec), spec.key, spec.ts)
+        probe.write.mode("overwrite").parquet(f"{baseline_path}/profiled")
         return "profiled"
     baseline = {name: spark.read.parquet(f"{baseline_path}/{name}") for name in wanted}
     _append(quality_report(df, spec, baseline, manual), results_path)

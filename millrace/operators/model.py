@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -52,15 +53,21 @@ def select_model(
 ) -> list[Choice]:
     """Train every candidate on the training part, best area under the curve first."""
     rows = hash_split(df, key).withColumn("label", quoted(target).cast("double"))
-    train, valid = rows.where("is_train"), rows.where("not is_train")
     indexers = [
         StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in category
     ]
     features = [*numeric, *[f"{c}_index" for c in category]]
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     evaluator = BinaryClassificationEvaluator(labelCol="label")
+    prepare = Pipeline(stages=[*indexers, assembler]).fit(rows.where("is_train"))
+    # every candidate reads the same features several times
+    ready = prepare.transform(rows).select("features", "label", "is_train")
+    ready.persist(StorageLevel.MEMORY_AND_DISK)
+    train, valid = ready.where("is_train"), ready.where("not is_train")
     choices = []
     for name, candidate in (grid or default_grid()).items():
-        model = Pipeline(stages=[*indexers, assembler, candidate]).fit(train)
-        choices.append(Choice(name, evaluator.evaluate(model.transform(valid)), model))
+        model = candidate.fit(train)
+        score = evaluator.evaluate(model.transform(valid))
+        choices.append(Choice(name, score, PipelineModel([*prepare.stages, model])))
+    ready.unpersist()
     return sorted(choices, key=lambda c: (-c.score, c.name))

@@ -56,6 +56,12 @@ def jdbc_write_options(url: str, driver: str, table: str, batch: int = 10_000) -
     return {"url": url, "driver": driver, "dbtable": table, "batchsize": str(batch)}
 
 
+def write_relational(df: DataFrame, options: dict[str, str], specs: Sequence[ColumnSpec], append: bool = False) -> None:
+    """The typed rows to a relational table, one connection per partition."""
+    writer = apply_types(df, specs).write.format("jdbc").options(**options)
+    writer.mode("append" if append else "errorifexists").save()
+
+
 def upsert(
     stored: DataFrame, updates: DataFrame, keys: Sequence[str], version: Sequence[str] = ()
 ) -> DataFrame:

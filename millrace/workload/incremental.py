@@ -34,7 +34,8 @@ def incr_ts(spark, sf_dir):
     SELECT count(*) AS row_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS key_min,
            strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS key_max
     FROM events WHERE ts > TIMESTAMP '2024-01-16 00:00:00'
-    """
+    """,
+    name="size_probe",
 )
 def size_of_new_rows(spark, sf_dir):
     probe = size_probe(rows_after(table(spark, sf_dir, "events"), "ts", "2024-01-16 00:00:00"), ts="ts")
@@ -45,7 +46,7 @@ def size_of_new_rows(spark, sf_dir):
 _HASH = "CAST('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 8) AS BIGINT)"
 
 
-@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_HASH.format('o_orderkey')} % 100 < 20")
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_HASH.format('o_orderkey')} % 100 < 20", name="hash_sample")
 def sample_percent(spark, sf_dir):
     return hash_sample(table(spark, sf_dir, "orders"), "o_orderkey", 20).select("o_orderkey", "o_totalprice")
 
@@ -79,7 +80,8 @@ def _results(spark, sf_dir):
     SELECT user_id AS task_id, count(*) AS executions, count(*) FILTER (value < 60) AS successes,
            count(*) FILTER (value >= 60) AS failures, count(*) < 60 AS enabled
     FROM events GROUP BY 1
-    """
+    """,
+    name="run_counters",
 )
 def counters_per_task(spark, sf_dir):
     return run_counters(_results(spark, sf_dir), expect=60)
@@ -91,7 +93,8 @@ def counters_per_task(spark, sf_dir):
            CASE WHEN event_type = 'view' THEN -1
                 ELSE row_number() OVER (PARTITION BY user_id, event_type = 'view' ORDER BY ts, event_id) END AS iteration
     FROM events
-    """
+    """,
+    name="run_iterations",
 )
 def iterations_per_task(spark, sf_dir):
     return run_iterations(_results(spark, sf_dir), "ts", ["event_id"]).select("event_id", "task_id", "iteration")

@@ -21,7 +21,8 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
            (SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns
             WHERE table_name = '{t}') AS columns, count(*) AS row_count FROM {t}"""
         for t in _TABLES
-    )
+    ),
+    name="catalogue",
 )
 def catalogue_tables(spark, sf_dir):
     each = [
@@ -65,7 +66,7 @@ def _uses(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_type AS column", "user_id AS user", "ts")
 
 
-@query("""SELECT event_type AS "column", count(*) AS column_count FROM events GROUP BY 1""")
+@query("""SELECT event_type AS "column", count(*) AS column_count FROM events GROUP BY 1""", name="usage_count")
 def usage_counts(spark, sf_dir):
     return usage.usage_count(_uses(spark, sf_dir), ["column"])
 

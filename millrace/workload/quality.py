@@ -108,7 +108,8 @@ def profile_moments(spark, sf_dir):
     """
     SELECT DISTINCT 'event_type' AS "column", event_type AS value FROM events
     UNION ALL SELECT DISTINCT 'user_id', CAST(user_id AS VARCHAR) FROM events
-    """
+    """,
+    name="category_set",
 )
 def category_values(spark, sf_dir):
     return category_set(table(spark, sf_dir, "events"), ["event_type", "user_id"])
@@ -218,7 +219,8 @@ register_check(
     SELECT 'value' AS "column", abs(m - data) < 2 AS is_pass, printf('moved by %.3f', abs(m - data)) AS log,
            printf('%.4f', log_mean) AS log_mean
     FROM n, b
-    """
+    """,
+    name="custom_check",
 )
 def custom_checks(spark, sf_dir):
     base = baseline_rows(spark, sf_dir)
@@ -240,7 +242,8 @@ def custom_checks(spark, sf_dir):
              AND count(*) FILTER (user_id NOT IN (SELECT user_id FROM k)) = 0 AS validation_result,
            'Auto' AS execution_type
     FROM n, b
-    """
+    """,
+    name="quality_report",
 )
 def quality_run(spark, sf_dir):
     spec = QualitySpec(task_id="7", name="events", key="EVENT_ID", numeric=("Value",), category=("event_type", "user_id"))

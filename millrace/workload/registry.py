@@ -12,11 +12,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name or fn.__name__] = sql
         return fn
 
     return register

@@ -20,12 +20,12 @@ def sql_statement(spark, sf_dir):
     return run_statement({"orders": table(spark, sf_dir, "orders")}, statement)
 
 
-@query("SELECT p_partkey, p_brand FROM part")
+@query("SELECT p_partkey, p_brand FROM part", name="column_subset")
 def column_subset_part(spark, sf_dir):
     return column_subset(table(spark, sf_dir, "part"), ["p_partkey", "p_brand"])
 
 
-@query('SELECT s_suppkey AS "S_SUPPKEY", s_name AS "S_NAME", s_nationkey AS "S_NATIONKEY", s_acctbal AS "S_ACCTBAL" FROM supplier')
+@query('SELECT s_suppkey AS "S_SUPPKEY", s_name AS "S_NAME", s_nationkey AS "S_NATIONKEY", s_acctbal AS "S_ACCTBAL" FROM supplier', name="upper_names")
 def upper_case_names(spark, sf_dir):
     return upper_names(table(spark, sf_dir, "supplier"))
 

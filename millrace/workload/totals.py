@@ -59,7 +59,8 @@ def avg_global(spark, sf_dir):
     WITH o AS (SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS priority FROM orders),
          m AS (SELECT priority FROM o WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, priority LIMIT 1)
     SELECT o.o_orderkey, o.priority, m.priority AS usual FROM o, m
-    """
+    """,
+    name="mode_value",
 )
 def mode_priority(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "nullif(o_orderpriority, '1-URGENT') AS priority")
@@ -117,7 +118,8 @@ def pivot_global(spark, sf_dir):
     SELECT l_orderkey, l_linenumber,
            l_orderkey || '-' || l_linenumber || '-' || coalesce(nullif(l_returnflag, 'N'), '') || '-' || l_linestatus AS tag
     FROM lineitem
-    """
+    """,
+    name="combine",
 )
 def combine_text(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").selectExpr(
@@ -162,7 +164,8 @@ def arith_div(spark, sf_dir):
     SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part
     UNION ALL
     SELECT p_partkey, p_name, p_brand, p_brand, p_size, p_retailprice FROM f WHERE rn = 1
-    """
+    """,
+    name="split_merge",
 )
 def split_merge_lots(spark, sf_dir):
     return split_merge(table(spark, sf_dir, "part"), "p_brand", "p_type", ["p_partkey"])
