@@ -22,10 +22,10 @@ from millrace.workload import QUERIES
 
 HEADLINE = (
     "task_orders conflict_rename join_left_multi join_chain join_null_key sum_group avg_group sum_global "
-    "mode_value pivot_sum pivot_global combine arith_div split_merge doc_flatten wide_row "
-    "csv_roundtrip sink_upsert auto_key profile_numeric profile_deciles profile_deciles_distributed "
-    "profile_moments outliers_3 verdict_numeric verdict_category quality_report run_iterations usage_gap "
-    "usage_totals related_edges related_list lineage_process_nodes lineage_edges stream_window_verdict stream_drift"
+    "mode_value pivot_sum pivot_global combine arith_div split_merge doc_flatten wide_row csv_roundtrip "
+    "sink_upsert auto_key profile_numeric profile_deciles profile_moments outliers_3 verdict_numeric "
+    "verdict_category quality_report run_iterations usage_gap usage_functions related_edges "
+    "lineage_process_nodes stream_window_verdict stream_drift"
 ).split()
 
 

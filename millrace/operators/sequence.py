@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from millrace.functions.columns import quoted
 from millrace.operators.joins import left_join
 
-_COPIES_PER_PART = 1_000_000
+_COPIES_PER_PART = 100_000
 
 
 def _bucket_starts(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
