@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.columns import quoted
 from millrace.operators.sequence import running_number
@@ -18,12 +20,26 @@ def rows_above_key(df: DataFrame, key: str, mark: int | None) -> DataFrame:
     return df if mark is None else df.where(quoted(key) > F.lit(mark))
 
 
+def mark_value(df: DataFrame, ts: str, mark: Any) -> Column:
+    """A stored mark in the type of the time column.
+
+    For columns without a zone, a Python time is taken as it reads, not shifted between the zones
+    of the driver process and of the session.
+    """
+    kind = df.schema[ts].dataType
+    if isinstance(mark, datetime) and isinstance(kind, T.TimestampNTZType):
+        mark = mark.replace(tzinfo=None).isoformat(sep=" ")
+    return F.lit(mark).cast(kind)
+
+
 def rows_after(df: DataFrame, ts: str, mark: Any | None, whole_seconds: bool = False) -> DataFrame:
     """Rows later than `mark`; `whole_seconds` cuts the mark first, which re-reads its second."""
     if mark is None:
         return df
-    bound = F.lit(mark).cast(df.schema[ts].dataType)
-    return df.where(quoted(ts) > (F.date_trunc("second", bound).cast(df.schema[ts].dataType) if whole_seconds else bound))
+    bound = mark_value(df, ts, mark)
+    if whole_seconds:
+        bound = F.date_trunc("second", bound).cast(df.schema[ts].dataType)
+    return df.where(quoted(ts) > bound)
 
 
 def size_probe(df: DataFrame, key: str | None = None, ts: str | None = None) -> DataFrame:

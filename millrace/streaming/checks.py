@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import as_double, quoted
 from millrace.operators.detect import FAR, NEAR, baseline_bounds, beyond, numeric_passes
-from millrace.operators.incremental import hash_number
+from millrace.operators.incremental import hash_number, mark_value
 from millrace.workspace import fresh_dir
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -111,14 +111,13 @@ def split_late(stream: DataFrame, ts: str, mark: Any | None) -> tuple[DataFrame,
     """
     if mark is None:
         return stream, stream.where(F.lit(False))
-    bound = F.lit(mark).cast(stream.schema[ts].dataType)
-    late = F.coalesce(quoted(ts) <= bound, F.lit(False))
+    late = F.coalesce(quoted(ts) <= mark_value(stream, ts, mark), F.lit(False))
     return stream.where(~late), stream.where(late)
 
 
-def next_mark(written: DataFrame, ts: str, mark: Any | None = None) -> Any | None:
-    """Highest time among the rows a run wrote, never below the old mark."""
-    top = written.agg(F.max(quoted(ts)).alias("top")).first()["top"]
+def next_mark(written: DataFrame, ts: str, mark: str | None = None) -> str | None:
+    """Highest time among the rows a run wrote, as text and never below the old mark."""
+    top = written.agg(F.max(quoted(ts)).cast("string").alias("top")).first()["top"]
     return mark if top is None or (mark is not None and mark > top) else top
 
 

@@ -1,7 +1,6 @@
 """Exact quantiles by narrowing against numpy."""
 
 import numpy as np
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

@@ -85,6 +85,18 @@ def test_new_rows_and_probe(spark):
     assert tuple(size_probe(df).first()) == (5,)
 
 
+def test_marks_are_read_in_no_zone(spark):
+    from datetime import datetime
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2024-01-01 12:00:00' AS at")
+        assert rows_after(df, "at", datetime(2024, 1, 1, 11, 59)).count() == 1
+        assert rows_after(df, "at", datetime(2024, 1, 1, 12, 0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_samples(spark):
     df = spark.range(20000)
     part = hash_sample(df, "id", 10)
