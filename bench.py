@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 
 from millrace.session import build_session
 from millrace.workload import QUERIES
+from millrace.workspace import LOCAL_ROOT
 
 HEADLINE = (
     "task_orders conflict_rename join_left_multi join_chain join_null_key sum_group avg_group sum_global "
@@ -36,6 +37,7 @@ def session(cpus: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.log.level": "ERROR",
+        "spark.checkpoint.dir": LOCAL_ROOT,
     }
     return build_session("bench", f"local[{cpus}]", **settings)
 

@@ -1,30 +1,34 @@
 """Where intermediate tables go.
 
-Executors on other machines must be able to read what a job writes, so the folder comes
-from the session (`spark.checkpoint.dir`). A temporary folder is used only in local mode,
-where driver and executors share one disk.
+Executors on other machines must be able to read what a job writes, so the folder comes from the
+session: `spark.checkpoint.dir`, or what `SparkContext.setCheckpointDir` was given.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+#: Used by bench, tests and entry on local[*], where driver and executors share one disk.
+LOCAL_ROOT = "/tmp/checkpoints/millrace"
+
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def shared_root(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    root = _configured(spark)
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="millrace-")
-    return _local_roots[app]
+    return root.rstrip("/")
+
+
+def use_local_root(spark: SparkSession) -> None:
+    """Sets a folder where none is set and everything runs in one process."""
+    if not _configured(spark) and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(LOCAL_ROOT)
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

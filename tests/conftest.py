@@ -17,6 +17,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "/tmp/checkpoints/millrace")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
