@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html, lines, mixing, pieces, pii, secrets, toxicity
+from millrace.llm import html, kneser, lines, minhash, mixing, pieces, pii, secrets, toxicity, vectors
 from millrace.workload.registry import table
 
 QUERIES = {}
@@ -112,3 +112,21 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with pseudonyms in place of valid personal numbers and dates."""
     return pii.pseudonyms(table(spark, sf_dir, "documents"), secret="query key")
+
+
+@register
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return vectors.linked(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near-duplicates of each document, and whether it is the one that stays."""
+    return minhash.groups(table(spark, sf_dir, "documents")).drop("node")
+
+
+@register
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each document, the limits of its language, and whether it is kept."""
+    return kneser.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("node")
