@@ -11,8 +11,8 @@ with a the count at the highest order and at word starts, and else the number of
 characters that precede; D has three values per language and order, from counts of counts.
 
 Windows (a character and its context) of all documents are counted, and each distinct window is
-scored by these joins once. The scores of the most frequent windows, at most HOT_WINDOWS of 12 bytes
-each, go to all tasks; each document adds them up by itself, and only its other windows go by a
+scored by these joins once. The scores of the most frequent windows, at most HOT_WINDOWS of up to ORDER
+characters, go to all tasks; each document adds them up by itself, and only its other windows go by a
 shuffle join. Sums per document are partial sums; no n-gram table is gathered anywhere.
 
 A document's score is its mean log probability per character, drawn to the mean of trusted text with
@@ -30,25 +30,24 @@ that repeat id, language and text share one result. Other columns are left out b
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import raw, span_hashes
+from millrace.llm.arrow import blocks, span_hashes, words
 from millrace.workspace import stored
 
 ORDER = 5
 MOST_TRUSTED = 20_000
-HOT_WINDOWS = 1 << 18
+HOT_WINDOWS = 1 << 17
 SHRINK = 100
 LOW, HIGH, MARGIN, WIDEN = 0.005, 0.995, 0.5, 0.1
 BEGIN, END = "\x02", "\x03"
-#: Longer words are scored in parts of so many characters.
-WORD_PART = 64
-_TASK_WORDS = 300_000
+#: Distinct words that a task remembers.
+TASK_WORDS = 400_000
 
 
 def windows(word: str) -> list[str]:
@@ -57,42 +56,55 @@ def windows(word: str) -> list[str]:
     return [marked[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(marked))]
 
 
-def parts(text: str | None) -> list[str]:
-    found = text.split() if text else []
-    if any(len(w) > WORD_PART for w in found):
-        found = [w[i : i + WORD_PART] for w in found for i in range(0, len(w), WORD_PART)]
-    return found
+def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """For blocks of rows: first row, hashes of the distinct words, their counts, the row and the
+    distinct word of each word, and a function that gives the text of a distinct word."""
+    for start, end in blocks(column):
+        data, first, last, rows = words(column.slice(start, end - start))
+        hashes, at, which, counts = np.unique(
+            span_hashes(data, first, last), return_index=True, return_inverse=True, return_counts=True
+        )
+
+        def text(k: int, data=data, first=first, last=last, at=at) -> str:
+            return data[first[at[k]] : last[at[k]]].tobytes().decode("utf-8", "replace")
+
+        yield start, hashes, counts, rows, which, text
 
 
 def window_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n: windows of the texts (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        seen: dict[str, dict[int, list]] = {}  # language, word hash: text and count
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, counts in words.items():
-                grams: Counter = Counter()
-                for word, n in counts.items():
+            for lang, found in seen.items():
+                grams: dict[str, int] = {}
+                for word, n in found.values():
                     for gram in windows(word):
-                        grams[gram] += n
-                for first in range(0, len(grams), 20_000):
-                    some = list(grams.items())[first : first + 20_000]
+                        grams[gram] = grams.get(gram, 0) + n
+                names, sizes = list(grams), list(grams.values())
+                for k in range(0, len(names), 20_000):
+                    some = pa.array(names[k : k + 20_000], pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(some), pa.string()),
-                            pa.array([g for g, _ in some], pa.string()),
-                            pa.array([n for _, n in some], pa.int64()),
-                        ],
+                        [pa.array([lang] * len(some), pa.string()), some, pa.array(sizes[k : k + 20_000], pa.int64())],
                         ["lang", "gram", "n"],
                     )
-            words.clear()
+            seen.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words.setdefault(lang, Counter()).update(parts(text.as_py()))
-                if sum(map(len, words.values())) > _TASK_WORDS:
-                    yield from flush()
+            langs = batch.column(0).to_numpy(zero_copy_only=False)
+            for lang in sorted(set(langs)):
+                texts = batch.column(1).filter(pa.array(langs == lang))
+                for _, hashes, counts, _, _, text in word_blocks(texts):
+                    own = seen.setdefault(lang, {})
+                    for k, (h, n) in enumerate(zip(hashes.tolist(), counts.tolist())):
+                        if (entry := own.get(h)) is None:
+                            own[h] = [text(k), n]
+                        else:
+                            entry[1] += n
+                    if sum(map(len, seen.values())) > TASK_WORDS:
+                        yield from flush()
         yield from flush()
 
     found = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
@@ -185,83 +197,84 @@ class Model:
         return level.select("lang", "gram", F.log("value").alias("logp"))
 
 
-def _keys(lang: list[str], gram: list[str]) -> np.ndarray:
-    data, at = raw(pa.array([f"{a}\x1f{b}" for a, b in zip(lang, gram)], pa.string()))
-    return span_hashes(data, at[:-1], at[1:])
-
-
-def hot_windows(counts: DataFrame, scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and log probabilities of the most frequent windows, at most HOT_WINDOWS."""
-    sizes = counts.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("size")).count().orderBy(F.desc("size")).collect()
+def hot_windows(counts: DataFrame, scored: DataFrame) -> dict[str, dict[str, float]]:
+    """Language, window: log probability of the most frequent windows, at most HOT_WINDOWS."""
+    level = F.floor(F.log2("n") * 4).cast("int")
     total, least = 0, None
-    for r in sizes:
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         total += r["count"]
         if total > HOT_WINDOWS:
             break
-        least = r["size"]
+        least = r["level"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        return {}
     other = scored.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), "logp")
-    frequent = counts.where(F.floor(F.log2("n") * 4) >= least).join(
+    frequent = counts.where(level >= least).join(
         other, (F.col("lang") == F.col("_lang")) & (F.col("gram") == F.col("_gram"))
     )
-    found = frequent.select("lang", "gram", "logp").toPandas()
-    keys = _keys(list(found["lang"]), list(found["gram"]))
-    order = np.argsort(keys)
-    return keys[order], found["logp"].to_numpy(np.float32)[order]
+    found: dict[str, dict[str, float]] = {}
+    for batch in frequent.select("lang", "gram", "logp").toArrow().to_batches():
+        for lang, gram, logp in zip(*(c.to_pylist() for c in batch.columns)):
+            found.setdefault(lang, {})[gram] = logp
+    return found
 
 
-def document_sums(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def document_sums(docs: DataFrame, hot: dict[str, dict[str, float]]) -> DataFrame:
     """id, lang, node, n (windows), logp (of the hot ones), cold: the other windows with counts."""
     kind = docs.select("id").schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(hot)
+    colds = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
+
+    def scored(word: str, known: dict[str, float]) -> tuple[float, int, list[str] | None]:
+        total, cold, grams = 0.0, None, windows(word)
+        for gram in grams:
+            p = known.get(gram)
+            if p is not None:
+                total += p
+            elif cold is None:
+                cold = [gram]
+            else:
+                cold.append(gram)
+        return total, len(grams), cold
+
+    def sums(column: pa.Array, known: dict[str, float], table: dict[int, tuple]) -> tuple[list, list, list]:
+        n, logp, cold = np.zeros(len(column), np.int64), np.zeros(len(column)), [[] for _ in range(len(column))]
+        for start, hashes, _, rows, which, text in word_blocks(column):
+            if len(table) > TASK_WORDS:
+                table.clear()
+            found = []
+            for k, h in enumerate(hashes.tolist()):
+                one = table.get(h)
+                if one is None:
+                    one = table[h] = scored(text(k), known)
+                found.append(one)
+            if not found:
+                continue
+            value = np.array([f[0] for f in found])
+            size = np.array([f[1] for f in found])
+            has_cold = np.array([f[2] is not None for f in found])
+            end = start + int(rows.max()) + 1
+            logp[start:end] += np.bincount(rows, weights=value[which])
+            n[start:end] += np.bincount(rows, weights=size[which]).astype(np.int64)
+            at = np.flatnonzero(has_cold[which])
+            rest: dict[int, Counter] = {}
+            for row, k in zip(rows[at].tolist(), which[at].tolist()):
+                rest.setdefault(row, Counter()).update(found[k][2])
+            for row, counts in rest.items():
+                cold[start + row] = [{"gram": g, "times": t} for g, t in counts.items()]
+        return n, logp, cold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
-        table: dict[str, dict[str, tuple]] = {}
-
-        def look(lang: str, words: list[str]) -> None:
-            """Puts sum, number and cold windows of new words into the table."""
-            known = table.setdefault(lang, {})
-            grams = [windows(w) for w in words]
-            flat = [g for x in grams for g in x]
-            own = _keys([lang] * len(flat), flat)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-            logp = np.where(hit, values[at] if len(keys) else 0.0, 0.0)
-            edge = np.cumsum([0, *map(len, grams)])
-            sums = np.add.reduceat(logp, edge[:-1])
-            all_hot = np.minimum.reduceat(hit, edge[:-1])
-            for k, word in enumerate(words):
-                cold = None if all_hot[k] else [g for g, h in zip(grams[k], hit[edge[k] : edge[k + 1]]) if not h]
-                known[word] = (float(sums[k]), len(grams[k]), cold)
-
+        tables: dict[str, dict[int, tuple]] = {}
         for batch in batches:
-            n, logp, cold = [], [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(3)):
-                counts = Counter(parts(text.as_py()))
-                if len(table.get(lang, ())) > _TASK_WORDS:
-                    table[lang].clear()
-                known = table.setdefault(lang, {})
-                fresh = [w for w in counts if w not in known]
-                if fresh:
-                    look(lang, fresh)
-                total, size, rest = 0.0, 0, Counter()
-                for word, times in counts.items():
-                    one = known[word]
-                    total += times * one[0]
-                    size += times * one[1]
-                    if one[2]:
-                        for gram in one[2]:
-                            rest[gram] += times
-                n.append(size)
-                logp.append(total)
-                cold.append([{"gram": g, "times": t} for g, t in rest.items()])
-            kinds = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(logp, pa.float64()), pa.array(cold, kinds)],
-                ["id", "lang", "node", "n", "logp", "cold"],
-            )
+            langs = batch.column(1).to_numpy(zero_copy_only=False)
+            for lang in sorted(set(langs)):
+                part = batch.filter(pa.array(langs == lang))
+                n, logp, cold = sums(part.column(3), shared.value.get(lang, {}), tables.setdefault(lang, {}))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(logp, pa.float64()), pa.array(cold, colds)],
+                    ["id", "lang", "node", "n", "logp", "cold"],
+                )
 
     return docs.select("id", "lang", "node", "text").mapInArrow(
         run, f"id {kind}, lang string, node long, n long, logp double, cold array<struct<gram string, times long>>"
