@@ -90,6 +90,7 @@ def split(members: DataFrame, level: int) -> DataFrame:
     pivots = members.where(drawn < wanted / F.col("size")).select(
         "shard", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "v"
     )
+    pivots = stored(pivots, "vector_pivots")
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).drop("size")
 
     def assign(some: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
