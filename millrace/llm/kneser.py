@@ -145,7 +145,7 @@ class Model:
     def _level(self, n: int, adjusted: DataFrame) -> None:
         a = F.col("a")
         of = [F.sum((a == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
         def discount(k: int) -> Column:
             # counts of counts that are missing, as in tiny corpora, leave the plain value k / 2
