@@ -142,7 +142,7 @@ def _group_by(item: Mapping[str, Any]) -> tuple[str, ...]:
     group = item.get("GroupBy") or {}
     if not flag(group.get("IsEnable")):
         return ()
-    return tuple(group["TargetColumnList"][:1])
+    return tuple(group["TargetColumnList"])
 
 
 def _in_order(items: list[Mapping[str, Any]], name: str) -> tuple[str, ...]:
@@ -169,6 +169,8 @@ def _pivot(item):
     aggregate = item["AggregateFunction"]
     if aggregate not in PIVOT_AGGREGATES:
         raise ValueError(f"unknown pivot aggregate {aggregate!r}")
+    if len(item["AggregateColumn"]) != 1:
+        raise ValueError("a pivot aggregates one column; add a pivot for each further one")
     return Pivot(
         item["Step"],
         item["TargetColumn"],
@@ -263,6 +265,8 @@ def parse_task(document: str | Mapping[str, Any]) -> TaskSpec:
             if i + 1 < len(sources) and not sources[i + 1].is_empty
         )
     )
+    if len(merges) != sum(not s.is_empty for s in sources[1:]):
+        raise ValueError("each source after the first needs a merge")
     result = doc.get("ResultParameterSetting") or {}
     return TaskSpec(
         task_id=str(action.get("TaskId") or ""),

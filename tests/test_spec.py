@@ -38,12 +38,12 @@ def test_steps_are_ordered_and_ties_keep_kind_order():
     assert [(type(s), s.step) for s in steps] == [(Mode, 1), (GroupTotal, 2), (Mode, 2)]
 
 
-def test_only_first_group_key_counts_and_only_when_enabled():
+def test_all_group_keys_count_and_only_when_enabled():
     group = {"IsEnable": "True", "TargetColumnList": ["k", "other"]}
     item = {"IsEnable": "True", "Step": 1, "TargetColumn": "a", "Naming": "s", "GroupBy": group}
     off = item | {"GroupBy": {"IsEnable": "False", "TargetColumnList": ["k"]}}
     steps = parse_task(task([source(functions={"ToAvg": [item, off]})])).sources[0].functions
-    assert [s.group_by for s in steps] == [("k",), ()]
+    assert [s.group_by for s in steps] == [("k", "other"), ()]
 
 
 def test_operands_follow_their_order():
@@ -127,3 +127,8 @@ def test_quality_document():
 
 def test_chebyshev_multiplier():
     assert chebyshev_multiplier(0.05) == 4.47 and chebyshev_multiplier(0.04) == 5.0
+
+
+def test_a_source_without_merge_is_refused():
+    with pytest.raises(ValueError, match="needs a merge"):
+        parse_task({"Base": {"Databases": [source(), source()]}})
