@@ -17,6 +17,19 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def joined_id(*names: str) -> Column:
+    """Columns as one text with colons in between; different columns never give the same text.
+
+    Colons and backslashes inside a value get a backslash, and a null is written as `\\N`.
+    """
+
+    def part(name: str) -> Column:
+        text = F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit(":"), F.lit("\\:")), F.lit("\\N"))
+
+    return F.concat_ws(":", *map(part, names))
+
+
 def as_double(column: Column) -> Column:
     """Text that is not a number becomes null."""
     return column.try_cast("double")

@@ -24,7 +24,8 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
         case Combine():
             return combine(df, step.columns, step.separator, step.naming)
         case Pivot():
-            return pivot(df, step.target, step.column, step.aggregate, step.group_by, step.values)
+            # TargetValues may name columns and leave out categories: all categories of the data count
+            return pivot(df, step.target, step.column, step.aggregate, step.group_by)
         case Arithmetic():
             return arithmetic(df, step.operator, step.columns, step.naming)
         case SplitMerge():

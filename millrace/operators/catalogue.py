@@ -19,11 +19,18 @@ def nested_names(schema: T.StructType) -> list[str]:
 
 
 def describe_table(
-    df: DataFrame, db_type: str, ip: str, port: str, db: str, table: str
+    df: DataFrame, db_type: str, ip: str, port: str, db: str, table: str, counted: bool = True
 ) -> DataFrame:
-    """One row with the column list and row count of a table. Credentials are never stored."""
+    """One row with the column list and row count of a table. Credentials are never stored.
+
+    The count reads the whole table; with `counted=False` it is null and nothing is read, for live sources.
+    """
     literals = {"db_type": db_type, "ip": ip, "port": port, "db": db, "table": table}
-    return df.agg(F.count("*").alias("row_count")).select(
+    if counted:
+        size = df.agg(F.count("*").alias("row_count"))
+    else:
+        size = df.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("row_count"))
+    return size.select(
         F.lit(f"{ip}:{port}:{db}:{table}").alias("id"),
         *[F.lit(v).alias(k) for k, v in literals.items()],
         F.array(*map(F.lit, nested_names(df.schema))).alias("columns"),

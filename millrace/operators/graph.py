@@ -11,20 +11,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import joined_id
 from millrace.operators.joins import left_join
 from millrace.operators.parts import PART_SIZE, list_parts
 
 RELATED = "RELATED"
 TABLE_RELATED = "TABLE_RELATED"
-VIA = "_VIA"
-WIDE_TASK = 500
 
 
 def vertices(members: DataFrame, kinds: Mapping[str, Sequence[str]]) -> DataFrame:
     """Distinct (kind, id) rows; `kinds` gives the identifying columns of each kind."""
     keyed = F.array(
         *[
-            F.struct(F.lit(kind).alias("kind"), F.concat_ws(":", *columns).alias("id"))
+            F.struct(F.lit(kind).alias("kind"), joined_id(*columns).alias("id"))
             for kind, columns in kinds.items()
         ]
     )
@@ -36,35 +35,14 @@ def column_vertices(members: DataFrame, keys: Sequence[str], usage: DataFrame) -
     return left_join(members.select(*keys).distinct(), usage, keys, keys, null_safe=True)
 
 
-def related_edges(
-    members: DataFrame, task: str, item: str, kind: str = RELATED, wide: int = WIDE_TASK
-) -> DataFrame:
-    """Rows (src, dst, kind): items that take part in the same task, in both directions, once.
+def related_edges(members: DataFrame, task: str, item: str, kind: str = RELATED) -> DataFrame:
+    """Distinct rows (src, dst, kind): one edge from each item to each task it takes part in.
 
-    A task with n items relates n * (n - 1) pairs. Up to `wide` items the pairs are written out,
-    so no task emits more than wide ** 2 of them. A wider task keeps one `<kind>_VIA` edge from
-    each item to the task: two items with a common VIA target are related. Nothing is left out
-    and the size stays linear; `neighbours` reads both forms.
+    Two items with a common task are related. A task with n items relates n * (n - 1) pairs of
+    them but has n edges, whatever its size; `neighbours` gives the pairs of chosen items.
     """
-    pairs = members.select(F.col(task).alias("task"), F.col(item).alias("item")).distinct()
-    sizes = pairs.groupBy("task").agg(F.count("*").alias("size"))
-    sized = left_join(pairs, sizes, ["task"], ["task"], spread=True)
-    # shuffled after the wide tasks are gone, so the join above stays free to split them
-    narrow = sized.where(F.col("size") <= wide).select("task", "item").repartition("task")
-    left, right = narrow.select("task", F.col("item").alias("src")), narrow.select("task", F.col("item").alias("dst"))
-    direct = (
-        left.join(right, "task")
-        .where(F.col("src") < F.col("dst"))
-        .select("src", "dst")
-        .distinct()
-        .selectExpr("inline(array(named_struct('src', src, 'dst', dst), named_struct('src', dst, 'dst', src)))")
-        .withColumn("kind", F.lit(kind))
-    )
-    via = sized.where(F.col("size") > wide).select(
-        F.col("item").alias("src"), F.col("task").alias("dst"), F.lit(kind + VIA).alias("kind")
-    )
-    text = [F.col(c).cast("string").alias(c) for c in ("src", "dst")]
-    return direct.select(*text, "kind").unionByName(via.select(*text, "kind"))
+    edges = members.select(F.col(item).cast("string").alias("src"), F.col(task).cast("string").alias("dst"))
+    return edges.where("src is not null and dst is not null").distinct().withColumn("kind", F.lit(kind))
 
 
 def merge_edges(stored: DataFrame, added: DataFrame) -> DataFrame:
@@ -76,19 +54,21 @@ def task_members(used: DataFrame) -> DataFrame:
     """Membership rows of a task corpus, from its `columns_used`."""
     keys = ["ip", "port", "db", "table", "column"]
     return used.select(
-        F.col("submission").alias("task"), F.concat_ws(":", *keys).alias("id"), "db_type", *keys
+        F.col("submission").alias("task"), joined_id(*keys).alias("id"), "db_type", *keys
     ).distinct()
 
 
-def neighbours(edges: DataFrame, of: DataFrame, kind: str = RELATED) -> DataFrame:
-    """Distinct (src, dst) of the items in `of` (column `src`), through both kinds of edges."""
-    wanted = of.select("src").distinct()
-    direct = edges.where(F.col("kind") == kind).join(wanted, "src", "left_semi").select("src", "dst")
-    via = edges.where(F.col("kind") == kind + VIA)
-    mine = via.join(wanted, "src", "left_semi").select(F.col("src"), F.col("dst").alias("task"))
-    others = via.select(F.col("src").alias("dst"), F.col("dst").alias("task"))
-    shared = mine.join(others, "task").where(F.col("src") != F.col("dst")).select("src", "dst")
-    return direct.unionByName(shared).distinct()
+def neighbours(edges: DataFrame, of: DataFrame | None = None, kind: str = RELATED) -> DataFrame:
+    """Distinct (src, dst): the items that share a task with an item in `of` (column `src`).
+
+    Without `of` the items are all there are, and the rows as many as the related pairs. Both
+    sides of the join come straight from a shuffle by task, so a wide task can be split.
+    """
+    own = edges.where(F.col("kind") == kind).select("src", F.col("dst").alias("task"))
+    mine = own if of is None else own.join(of.select("src").distinct(), "src", "left_semi")
+    others = own.select(F.col("src").alias("dst"), "task")
+    shared = mine.join(others, "task").where(F.col("src") != F.col("dst"))
+    return shared.select("src", "dst").distinct()
 
 
 def containment_edges(
@@ -98,8 +78,8 @@ def containment_edges(
     keyed = F.array(
         *[
             F.struct(
-                F.concat_ws(":", *outer).alias("src"),
-                F.concat_ws(":", *inner).alias("dst"),
+                joined_id(*outer).alias("src"),
+                joined_id(*inner).alias("dst"),
                 F.lit(kind).alias("kind"),
             )
             for kind, outer, inner in levels
@@ -108,10 +88,12 @@ def containment_edges(
     return members.select(F.inline(keyed)).distinct()
 
 
-def related_lists(edges: DataFrame, kind: str = RELATED, limit: int = PART_SIZE) -> DataFrame:
-    """Rows (src, size, parts, part, related): the written-out neighbours as bounded lists."""
-    direct = edges.where(F.col("kind") == kind).select("src", "dst")
-    return list_parts(direct, ["src"], "dst", "related", limit)
+def related_lists(
+    edges: DataFrame, kind: str = RELATED, limit: int = PART_SIZE, of: DataFrame | None = None
+) -> DataFrame:
+    """Rows (src, size, parts, part, related): the neighbours of the items in `of` (or of all) as
+    bounded lists."""
+    return list_parts(neighbours(edges, of, kind), ["src"], "dst", "related", limit)
 
 
 def search_documents(usage: DataFrame, related: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -104,5 +104,5 @@ def run_iterations(results: DataFrame, ts: str, tie_break: Sequence[str] = ()) -
     """Number the automatic runs of each task by time; manual runs get -1."""
     automatic = results.where(F.col("execution_type") == "Auto")
     manual = results.where(F.col("execution_type") != "Auto")
-    numbered = running_number(automatic, ["task_id"], F.date_trunc("hour", quoted(ts)), [ts, *tie_break], "iteration")
+    numbered = running_number(automatic, ["task_id"], F.date_trunc("minute", quoted(ts)), [ts, *tie_break], "iteration")
     return numbered.unionByName(manual.withColumn("iteration", F.lit(-1).cast("bigint")))

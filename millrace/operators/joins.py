@@ -19,7 +19,8 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
     pair = (left, right)
     if all(isinstance(t, T.NumericType) for t in pair):
         if any(isinstance(t, T.FractionalType) and not isinstance(t, T.DecimalType) for t in pair):
-            return T.DoubleType()
+            # whole numbers above 2 ** 53 would match their neighbours as doubles
+            return T.LongType() if any(isinstance(t, T.IntegralType) for t in pair) else T.DoubleType()
         scales = [t.scale for t in pair if isinstance(t, T.DecimalType)]
         return T.DecimalType(38, max(scales)) if scales else T.LongType()
     if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in pair):
@@ -27,6 +28,15 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
     return T.StringType()
 
 
+def _comparable(value: Column, kind: T.DataType, target: T.DataType) -> Column:
+    """The value in the common type; a fraction has no whole number that it equals."""
+    cast = value.try_cast(target)
+    if isinstance(target, T.LongType) and isinstance(kind, (T.FloatType, T.DoubleType)):
+        # what does not fit, and infinity, becomes null; the highest long itself is no double
+        return F.when((value == F.floor(value)) & (value.cast("double") < 2.0**63), cast)
+    return cast
+
+
 def left_join(
     left: DataFrame,
     right: DataFrame,
@@ -53,11 +63,12 @@ def left_join(
 
     def aligned(left_key: str, right_key: str) -> tuple[Column, Column]:
         a, b = quoted(left_key), quoted(hidden[right_key])
-        target = common_type(left.schema[left_key].dataType, right.schema[right_key].dataType)
-        if target is not None:
-            # an unparsable value must not fail the join: it simply matches nothing
-            a, b = a.try_cast(target), b.try_cast(target)
-        return a, b
+        kinds = left.schema[left_key].dataType, right.schema[right_key].dataType
+        target = common_type(*kinds)
+        if target is None:
+            return a, b
+        # an unparsable value must not fail the join: it simply matches nothing
+        return _comparable(a, kinds[0], target), _comparable(b, kinds[1], target)
 
     pairs = list(map(aligned, left_keys, right_keys))
     tests = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]

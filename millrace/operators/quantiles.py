@@ -1,13 +1,12 @@
 """Exact quantiles of any number of columns without gathering a column in one task.
 
-The built-in exact percentile merges all distinct values of a column in a single task, so it is
-used only for tables counted to be small. Beyond that size the order statistics are found by
-narrowing: values are counted per distinct value (so copies
-collapse before anything else), then per bucket of a monotone function, and only the buckets
-that hold a wanted rank are split further. Every histogram is bounded: the first one splits the
-whole double range by magnitude (about 67,000 buckets), each later one splits a bucket into
-65,536 equal parts. After two such splits a bucket spans fewer than 2**17 doubles, so the last
-step, which ranks single values, is bounded as well.
+The built-in exact percentile merges all distinct values of a column in a single task. Here the
+order statistics are found by narrowing, at every size: values are counted per distinct value (so
+copies collapse before anything else), then per bucket of a monotone function, and only the
+buckets that hold a wanted rank are split further. Every histogram is bounded: the first one
+splits the whole double range by magnitude (about 67,000 buckets), each later one splits a bucket
+into 65,536 equal parts. After two such splits a bucket spans fewer than 2**17 doubles, so the
+last step, which ranks single values, is bounded as well.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from millrace.functions.columns import as_double, quoted
 
 DECILES = tuple(i / 10 for i in range(11))
 
-SMALL_ROWS = 1_000_000
-
 _SPLITS = 65536
 _STEPS_PER_OCTAVE = 16
 _LOWEST_EXPONENT = 1100  # below the exponent of the smallest positive double
@@ -73,18 +70,6 @@ def _ranks(total: Column, probabilities: Sequence[float]) -> Column:
     return F.transform(wanted, lambda r: F.struct(r.alias("rank"), r.alias("at")))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float] = DECILES,
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """Rows (column, probability, quantile) with linear interpolation; nulls are ignored."""
-    if small_rows and df.count() <= small_rows:
-        return _one_pass(df, columns, probabilities, F.percentile("value", _floats(probabilities)))
-    return _by_narrowing(df, columns, probabilities)
-
-
 def _floats(probabilities: Sequence[float]) -> list[float]:
     return [float(p) for p in probabilities]
 
@@ -98,9 +83,10 @@ def _one_pass(
     return found.select("column", F.inline(pairs))
 
 
-def _by_narrowing(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = DECILES
 ) -> DataFrame:
+    """Rows (column, probability, quantile) with linear interpolation; nulls are ignored."""
     counts = (
         unpivot_numbers(df, columns)
         .groupBy("column", "value")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import quoted
+from millrace.functions.columns import joined_id, quoted
 from millrace.operators.joins import left_join
 
 _GROUP = "GroupBy: struct<IsEnable: string, TargetColumnList: array<string>>"
@@ -245,15 +245,28 @@ def accumulate(usage: DataFrame) -> DataFrame:
     )
     gaps = last_gaps(usage, USAGE_KEY, "submitted_at")
     joined = left_join(totals, gaps, USAGE_KEY, USAGE_KEY, null_safe=True)
-    return joined.withColumn("id", F.concat_ws(":", *USAGE_KEY))
+    return joined.withColumn("id", joined_id(*USAGE_KEY))
 
 
-def merge_usage(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """Fold the counters of new tasks into a stored usage table, without reading old tasks."""
+def merge_users(stored: DataFrame, added: DataFrame, keys: Sequence[str] = (*USAGE_KEY, "user")) -> DataFrame:
+    """Fold the `first_uses` of new tasks into the stored ones: each user keeps the earliest use."""
+    return stored.unionByName(added).groupBy(*keys).agg(F.min("first_used").alias("first_used"))
+
+
+def merge_usage(stored: DataFrame, added: DataFrame, users: DataFrame) -> DataFrame:
+    """Fold the counters of new tasks into a stored usage table, without reading old tasks.
+
+    `users` has the merged `first_uses` rows; counts of users cannot be added, so they are counted there.
+    """
+    known = users.groupBy(*USAGE_KEY).agg(F.count("user").alias("users"))
+    return left_join(_merged_counters(stored, added), known, USAGE_KEY, USAGE_KEY, null_safe=True)
+
+
+def _merged_counters(stored: DataFrame, added: DataFrame) -> DataFrame:
     counters = ["column_count", "merge_count", *FUNCTION_COUNTS.values()]
     since = F.timestamp_diff("SECOND", F.min("last_used"), F.max("last_used"))
     newest_gap = F.max_by("gap_seconds", F.struct("last_used", "__added"))
-    both = stored.withColumn("__added", F.lit(0)).unionByName(added.withColumn("__added", F.lit(1)))
+    both = stored.withColumn("__added", F.lit(0)).unionByName(added.withColumn("__added", F.lit(1))).drop("users")
     return both.groupBy("id", *USAGE_KEY).agg(
         F.max_by("db_type", "last_used").alias("db_type"),
         F.max_by("user_name", "last_used").alias("user_name"),

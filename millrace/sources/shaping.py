@@ -44,11 +44,12 @@ def flatten_struct(df: DataFrame, names: Sequence[str]) -> DataFrame:
             if not isinstance(kind, T.StructType) or part not in kind.fieldNames():
                 raise ValueError(f"no field {part!r} for {name!r}")
             value, kind = value.getField(part), kind[part].dataType
-        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+        if nested:
             value = F.to_json(value)
-        if not rest:
+        if not rest and (nested or isinstance(kind, T.StringType)):
             # only an absent value of a top-level name becomes empty text
-            value = F.coalesce(value.cast("string"), F.lit("")) if isinstance(kind, T.StringType) else value
+            value = F.coalesce(value, F.lit(""))
         return value.alias(name)
 
     return df.select([field(n) for n in names])

@@ -18,7 +18,6 @@ from millrace.operators.detect import FAR, NEAR, baseline_bounds, beyond, numeri
 from millrace.operators.incremental import hash_number, mark_value
 from millrace.workspace import fresh_dir
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 DRIFT_SALTS = 32
 
 
@@ -73,29 +72,14 @@ def window_verdicts(
     )
 
 
-def known_bytes(known: DataFrame) -> int:
-    size = F.sum(F.octet_length("value") + F.lit(32))
-    return known.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
-
-
-def drift_rows(
-    stream: DataFrame,
-    column: str,
-    known: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = DRIFT_SALTS,
-) -> DataFrame:
+def drift_rows(stream: DataFrame, column: str, known: DataFrame, salts: int = DRIFT_SALTS) -> DataFrame:
     """Rows whose category is not in the baseline; null is never known.
 
-    The known values are measured before the stream starts. Up to `broadcast_bytes` they are
-    broadcast. A larger set is joined by shuffle, with the stream side spread over `salts` so
-    that no value, and no null, sends all its rows to one task.
+    The stream side is spread over `salts`, so that in a shuffle join no value, and no null, sends
+    all its rows to one task. There is no hint: Spark broadcasts known values that it sees to be small.
     """
     values = known.where(F.col("column") == column).select("value")
     text = quoted(column).cast("string")
-    if known_bytes(values) <= broadcast_bytes:
-        values = F.broadcast(values.withColumnRenamed("value", "__known"))
-        return stream.join(values, text == F.col("__known"), "left_anti")
     salted = values.select(
         F.col("value").alias("__known"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__slot")
     )
@@ -109,10 +93,18 @@ def split_late(stream: DataFrame, ts: str, mark: Any | None) -> tuple[DataFrame,
 
     The mark is fixed while a run lasts, so this is a plain filter; `next_mark` moves it on.
     """
-    if mark is None:
-        return stream, stream.where(F.lit(False))
-    late = F.coalesce(quoted(ts) <= mark_value(stream, ts, mark), F.lit(False))
-    return stream.where(~late), stream.where(late)
+    flagged = flag_late(stream, ts, mark)
+    return tuple(flagged.where(F.col("is_late") == late).drop("is_late") for late in (False, True))
+
+
+def flag_late(stream: DataFrame, ts: str, mark: Any | None) -> DataFrame:
+    """All rows of a run with `is_late`, for one drain into both outputs.
+
+    Two drains of the parts of `split_late` judge a file that arrives in between by two marks;
+    one drain with `partition_by=["is_late"]` puts each row into exactly one of them.
+    """
+    late = F.lit(False) if mark is None else quoted(ts) <= mark_value(stream, ts, mark)
+    return stream.withColumn("is_late", F.coalesce(late, F.lit(False)))
 
 
 def next_mark(written: DataFrame, ts: str, mark: str | None = None) -> str | None:

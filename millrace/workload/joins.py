@@ -36,7 +36,7 @@ def join_left_multi(spark, sf_dir):
     returned = lines.where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("ok"), F.col("l_partkey").alias("pk"))
     sums = returned.agg(F.sum("l_quantity").alias("pair_quantity"))
     left = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    return left_join(left, sums, ["l_orderkey", "l_partkey"], ["ok", "pk"])
+    return left_join(left, sums, ["l_orderkey", "l_partkey"], ["ok", "pk"], spread=True)
 
 
 @query(

@@ -11,7 +11,10 @@ from millrace.operators import catalogue, graph, usage
 from millrace.workload.registry import query, table
 from millrace.workspace import stored
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query(
@@ -203,13 +206,18 @@ _MEMBERS_SQL = """
 @query(
     f"""
     WITH {_MEMBERS_SQL}
-    SELECT DISTINCT 'Column' AS kind, db || ':' || t || ':' || c AS id FROM m
-    UNION SELECT 'Table', db || ':' || t FROM m UNION SELECT 'Database', db FROM m UNION SELECT 'DBType', dbtype FROM m
+    SELECT DISTINCT 'Column' AS kind, coalesce(nullif(db, 'N'), '\\N') || ':' || t || '\\:x:' || c AS id FROM m
+    UNION SELECT 'Table', coalesce(nullif(db, 'N'), '\\N') || ':' || t || '\\:x' FROM m
+    UNION SELECT 'Database', coalesce(nullif(db, 'N'), '\\N') FROM m UNION SELECT 'DBType', dbtype FROM m
     """
 )
 def graph_vertices(spark, sf_dir):
+    """With members that lack a database, and colons in table names."""
     kinds = {"Column": ["db", "table", "column"], "Table": ["db", "table"], "Database": ["db"], "DBType": ["db_type"]}
-    return graph.vertices(_members(spark, sf_dir), kinds)
+    members = _members(spark, sf_dir).withColumns(
+        {"db": F.nullif("db", F.lit("N")), "table": F.concat(F.col("table").cast("string"), F.lit(":x"))}
+    )
+    return graph.vertices(members, kinds)
 
 
 @query(
@@ -229,57 +237,86 @@ def contains_edges(spark, sf_dir):
     return graph.containment_edges(_members(spark, sf_dir), levels)
 
 
-def _edges_sql(item: str, kind: str, wide: int) -> str:
+def _pairs_sql(item: str) -> str:
     return f"""
-    p AS (SELECT DISTINCT task, {item} AS i FROM m),
-    z AS (SELECT task, count(*) AS size FROM p GROUP BY 1),
-    e AS (SELECT DISTINCT CAST(a.i AS VARCHAR) AS src, CAST(b.i AS VARCHAR) AS dst, '{kind}' AS kind
-          FROM p a JOIN p b USING (task) JOIN z USING (task) WHERE a.i <> b.i AND size <= {wide}
-          UNION ALL SELECT CAST(i AS VARCHAR), CAST(task AS VARCHAR), '{kind}_VIA' FROM p JOIN z USING (task) WHERE size > {wide})
+    p AS (SELECT DISTINCT task, CAST({item} AS VARCHAR) AS i FROM m),
+    e AS (SELECT DISTINCT a.i AS src, b.i AS dst FROM p a JOIN p b USING (task) WHERE a.i <> b.i)
     """
 
 
-@query(f"WITH {_MEMBERS_SQL}, {_edges_sql('c', 'RELATED', 8)} SELECT * FROM e")
+def _edges_sql(item: str, kind: str) -> str:
+    return f"SELECT DISTINCT CAST({item} AS VARCHAR) AS src, CAST(task AS VARCHAR) AS dst, '{kind}' AS kind FROM m"
+
+
+@query(f"WITH {_MEMBERS_SQL} {_edges_sql('c', 'RELATED')}")
 def related_edges(spark, sf_dir):
-    """Orders with more than eight parts are kept as VIA edges."""
-    return graph.related_edges(_members(spark, sf_dir), "task", "column", wide=8)
+    return graph.related_edges(_members(spark, sf_dir), "task", "column")
 
 
-@query(f"WITH {_MEMBERS_SQL}, {_edges_sql('t', 'TABLE_RELATED', 500)} SELECT * FROM e")
+@query(f"WITH {_MEMBERS_SQL} {_edges_sql('t', 'TABLE_RELATED')}")
 def table_edges(spark, sf_dir):
     return graph.related_edges(_members(spark, sf_dir), "task", "table", graph.TABLE_RELATED)
 
 
+@query(f"WITH {_MEMBERS_SQL}, {_pairs_sql('c')} SELECT src, dst FROM e WHERE CAST(src AS BIGINT) % 100 = 0")
+def related_neighbours(spark, sf_dir):
+    """The parts whose number is divisible by 100 are asked for."""
+    edges = graph.related_edges(_members(spark, sf_dir), "task", "column")
+    asked = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    return graph.neighbours(edges, asked.select(F.col("p_partkey").cast("string").alias("src")))
+
+
 _HASH = "CAST('0x' || substr(md5(dst), 1, 8) AS BIGINT)"
 
 
 @query(
     f"""
-    WITH {_MEMBERS_SQL}, {_edges_sql('c', 'RELATED', 500)},
+    WITH {_MEMBERS_SQL}, {_pairs_sql('c')},
     d AS (SELECT src, count(*) AS size FROM e GROUP BY 1)
     SELECT src, size, (size + 49) // 50 AS parts, {_HASH} % ((size + 49) // 50) AS part, string_agg(dst, ',' ORDER BY dst) AS related
     FROM e JOIN d USING (src) GROUP BY ALL
     """
 )
 def related_list(spark, sf_dir):
-    edges = stored(graph.related_edges(_members(spark, sf_dir), "task", "column"), "edges")
-    out = graph.related_lists(edges, limit=50)
-    return out.withColumn("related", F.array_join("related", ","))
+    edges = graph.related_edges(_members(spark, sf_dir), "task", "column")
+    lists = graph.related_lists(edges, limit=50)
+    return lists.withColumn("related", F.array_join("related", ","))
 
 
 @query(
     f"""
-    WITH {_MEMBERS_SQL}, {_edges_sql('t', 'RELATED', 500)},
-    r AS (SELECT src, string_agg('"' || dst || '"', ',' ORDER BY dst) AS related FROM e GROUP BY 1)
-    SELECT CAST(t AS VARCHAR) AS id, '{{"name":"' || t || '","usagecount":' || count(*) || ',"related_columns":[' || coalesce(any_value(related), '') || ']}}' AS document
-    FROM m LEFT JOIN r ON CAST(t AS VARCHAR) = src GROUP BY t
+    WITH {_MEMBERS_SQL}, {_pairs_sql('t')},
+    d AS (SELECT src, (count(*) + 19) // 20 AS parts FROM e GROUP BY 1),
+    r AS (SELECT src, {_HASH} % parts AS part, string_agg('"' || dst || '"', ',' ORDER BY dst) AS related FROM e JOIN d USING (src) GROUP BY 1, 2),
+    n AS (SELECT CAST(t AS VARCHAR) AS id, count(*) AS uses FROM m GROUP BY 1)
+    SELECT id, coalesce(part, 0) AS part,
+           '{{"name":"' || id || '","usagecount":' || uses || ',"related_columns":[' || coalesce(related, '') || ']}}' AS document
+    FROM n LEFT JOIN r ON id = src
     """
 )
 def search_doc(spark, sf_dir):
+    """Lists of at most about 20 tables, so that popular tables have several documents."""
     members = _members(spark, sf_dir)
     totals = usage.usage_count(members.select(F.col("table").cast("string").alias("id")), ["id"])
     totals = totals.select("id", F.col("id").alias("name"), F.col("column_count").alias("usagecount"))
-    edges = stored(graph.related_edges(members, "task", "table"), "edges")
-    related = graph.related_lists(edges)
-    out = graph.search_documents(totals, related, ["name", "usagecount"])
-    return out.select("id", "document")
+    related = graph.related_lists(graph.related_edges(members, "task", "table"), limit=20)
+    return graph.search_documents(totals, related, ["name", "usagecount"])
+
+
+@query(
+    f"""
+    WITH {_CORPUS_SQL}
+    SELECT 'h:1:d:' || "table" || ':' || "column" AS id, count(*) AS column_count, CAST(sum(merge_count) AS BIGINT) AS merge_count,
+           CAST(sum(sum_count) AS BIGINT) AS sum_count, count(DISTINCT user_id) AS users,
+           strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_used
+    FROM used GROUP BY "table", "column"
+    """
+)
+def usage_merged(spark, sf_dir):
+    """Two halves of the corpus, folded, are the whole corpus."""
+    tasks = stored(usage.task_usage(corpus(spark, sf_dir)), "tasks")
+    halves = [tasks.where(F.pmod("submission", F.lit(2)) == k) for k in (0, 1)]
+    users = usage.merge_users(*[usage.first_uses(h, usage.USAGE_KEY, "user", "submitted_at") for h in halves])
+    out = usage.merge_usage(*map(usage.accumulate, halves), users)
+    shown = F.date_format("last_used", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_used")
+    return out.select("id", "column_count", "merge_count", "sum_count", "users", shown)

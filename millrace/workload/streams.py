@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 from millrace.streaming.checks import (
     drain_to_table,
     drift_rows,
+    flag_late,
     flag_rows,
     next_mark,
     read_files,
-    split_late,
     window_verdicts,
 )
-from millrace.workload.quality import FIRST_DAY, SHARE, SPLIT, known_users, value_baseline
+from millrace.workload import quality
+from millrace.workload.quality import FIRST_DAY, SHARE, SPLIT
 from millrace.workload.registry import query, table
+from millrace.workspace import stored
+
+
+def value_baseline(spark, sf_dir):
+    """Stored first, or each micro-batch would profile the baseline rows again."""
+    return stored(quality.value_baseline(spark, sf_dir), "baseline")
+
+
+def known_users(spark, sf_dir):
+    return stored(quality.known_users(spark, sf_dir), "known")
 
 
 def _stream(spark, sf_dir):
@@ -66,10 +77,9 @@ def stream_drift(spark, sf_dir):
 
 @query(_DRIFT)
 def stream_drift_salted(spark, sf_dir):
-    """The form used for known sets too large to broadcast, forced."""
+    """The same with fewer salts."""
     stream = _stream(spark, sf_dir).select("event_id", "user_id")
-    known = known_users(spark, sf_dir)
-    return drain_to_table(drift_rows(stream, "user_id", known, broadcast_bytes=-1, salts=8), "drift")
+    return drain_to_table(drift_rows(stream, "user_id", known_users(spark, sf_dir), salts=8), "drift")
 
 
 @query(
@@ -84,11 +94,5 @@ def stream_late(spark, sf_dir):
     first = drain_to_table(_stream(spark, sf_dir).where(early).select("event_id", "ts"), "first")
     mark = next_mark(first, "ts")
     second = _stream(spark, sf_dir).where(f"NOT ({early})").select("event_id", "ts")
-    on_time, late = split_late(second, "ts", mark)
-    parts = [
-        (first, False),
-        (drain_to_table(on_time, "ontime"), False),
-        (drain_to_table(late, "late"), True),
-    ]
-    flagged = [rows.select("event_id", F.lit(flag).alias("is_late")) for rows, flag in parts]
-    return flagged[0].unionByName(flagged[1]).unionByName(flagged[2])
+    both = drain_to_table(flag_late(second, "ts", mark), "second").select("event_id", "is_late")
+    return first.select("event_id", F.lit(False).alias("is_late")).unionByName(both)

@@ -32,6 +32,13 @@ def test_types_are_aligned(spark):
     assert rows(left_join(whole, spark.createDataFrame([(1.0, "m")], "f double, v string"), ["k"], ["f"])) == [(1, "m"), (2, None)]
 
 
+def test_long_keys_meet_only_equal_doubles(spark):
+    whole = spark.createDataFrame([(2**53,), (2**53 + 1,), (7,), (2**63 - 1,)], "k bigint")
+    real = spark.createDataFrame([(float(2**53), "m"), (7.5, "n"), (float(2**63), "o"), (float("nan"), "p"), (None, "q")], "f double, v string")
+    expected = [(7, None), (2**53, "m"), (2**53 + 1, None), (2**63 - 1, None)]
+    assert rows(left_join(whole, real, ["k"], ["f"])) == expected
+
+
 def test_self_join_and_shared_names(spark):
     df = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
     out = left_join(df, df, ["a"], ["b"])

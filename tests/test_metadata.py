@@ -66,11 +66,13 @@ def test_accumulated_usage(spark):
 def test_folding_new_tasks_equals_counting_all(spark):
     one = [("a", ["p"], "mysql")]
     parts = [corpus(spark, document("x", one), document("x", one)), corpus(spark, document("x", one), document("x", one), document("x", one))]
-    old = usage.accumulate(usage.task_usage(parts[0])).drop("users")
-    new = usage.accumulate(usage.task_usage(parts[1].where("submission = 2"))).drop("users")
-    everything = usage.accumulate(usage.task_usage(parts[1])).drop("users")
-    columns = ["id", "column_count", "last_used", "gap_seconds"]
-    assert rows(usage.merge_usage(old, new), *columns) == rows(everything, *columns)
+    tasks = [usage.task_usage(d) for d in (parts[0], parts[1].where("submission = 2"), parts[1])]
+    old, new, everything = map(usage.accumulate, tasks)
+    firsts = [usage.first_uses(t, usage.USAGE_KEY, "user", "submitted_at") for t in tasks]
+    users = usage.merge_users(firsts[0], firsts[1])
+    assert rows(users) == rows(firsts[2])
+    columns = ["id", "column_count", "last_used", "gap_seconds", "users"]
+    assert rows(usage.merge_usage(old, new, users), *columns) == rows(everything, *columns)
 
 
 def test_uses_within_a_second(spark):
@@ -87,17 +89,32 @@ def members(spark):
     return spark.createDataFrame(data, "task int, item string")
 
 
-def test_edges_are_symmetric_and_unique(members):
-    edges = set(rows(graph.related_edges(members, "task", "item"), "src", "dst"))
-    assert len(edges) == 30 and edges == {(b, a) for a, b in edges}
+def test_neighbours_are_symmetric_and_unique(members):
+    found = rows(graph.neighbours(graph.related_edges(members, "task", "item")))
+    assert len(found) == 30 == len(set(found)) and set(found) == {(b, a) for a, b in found}
 
 
-def test_wide_tasks_lose_nothing(members):
-    full = graph.related_edges(members, "task", "item")
-    folded = graph.related_edges(members, "task", "item", wide=3)
-    assert rows(folded.groupBy("kind").count()) == [("RELATED", 4), ("RELATED_VIA", 6)]
-    everyone = members.select(F.col("item").alias("src"))
-    assert rows(graph.neighbours(folded, everyone)) == rows(full.select("src", "dst"))
+def test_wide_tasks_lose_nothing(spark):
+    """One task of 1,501 items: as many edges, and full lists and documents for an item."""
+    members = spark.range(1501).selectExpr("1 AS task", "cast(id AS string) AS item").unionByName(
+        spark.sql("SELECT 2 AS task, explode(array('0', 'x')) AS item"))
+    edges = graph.related_edges(members, "task", "item")
+    assert edges.count() == 1503
+    asked = spark.createDataFrame([("0",)], "src string")
+    lists = graph.related_lists(edges, of=asked)
+    assert rows(lists, "size", "parts", "part")[0][:2] == (1501, 2)
+    expected = {*map(str, range(1, 1501)), "x"}
+    found = [x for r in lists.collect() for x in r.related]
+    assert len(found) == 1501 and set(found) == expected
+    documents = graph.search_documents(asked.withColumnRenamed("src", "id"), lists, ["id"])
+    assert rows(documents, "part") == [(0,), (1,)]
+
+
+def test_ids_of_different_members_differ(spark):
+    data = [(None, "a", "b"), ("a", None, "b"), ("a:b", None, None), ("a", "b", None), ("\\N", "a", "b"), ("a\\", "b", "c"), ("a\\:b", "c", None)]
+    members = spark.createDataFrame(data, "x string, y string, z string")
+    assert graph.vertices(members, {"Column": ["x", "y", "z"]}).count() == len(data)
+    assert graph.containment_edges(members, [("HAS", ["x"], ["x", "y", "z"])]).count() == len(data)
 
 
 def test_search_documents(spark, members):
@@ -148,7 +165,8 @@ def test_graph_of_a_corpus(spark):
     docs = corpus(spark, document("x", [("a", ["p", "q"], "mysql"), ("b", ["r"], "mysql")]), document("y", [("a", ["p"], "mysql")]))
     members = graph.task_members(usage.columns_used(docs))
     edges = graph.related_edges(members, "task", "id")
-    assert edges.count() == 6 and rows(graph.merge_edges(edges, edges)) == rows(edges)
+    assert edges.count() == 4 and rows(graph.merge_edges(edges, edges)) == rows(edges)
+    assert graph.neighbours(edges).count() == 6
     kinds = {"Column": ["id"], "Table": ["ip", "port", "table"], "DBType": ["db_type", "ip", "port"]}
     assert rows(graph.vertices(members, kinds).groupBy("kind").count()) == [("Column", 3), ("DBType", 1), ("Table", 2)]
     totals = usage.accumulate(usage.task_usage(docs)).select("id", "column_count")

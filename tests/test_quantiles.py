@@ -12,8 +12,8 @@ numbers = st.one_of(
 )
 
 
-def found(df, **settings_):
-    return [r.quantile for r in exact_quantiles(df, ["v"], **settings_).orderBy("probability").collect()]
+def found(df):
+    return [r.quantile for r in exact_quantiles(df, ["v"]).orderBy("probability").collect()]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -21,20 +21,20 @@ def found(df, **settings_):
 def test_narrowing_equals_numpy(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     expected = np.percentile(values, [p * 100 for p in DECILES])
-    assert np.allclose(found(df, small_rows=0), expected, rtol=1e-12, atol=0)
+    assert np.allclose(found(df), expected, rtol=1e-12, atol=0)
 
 
 def test_one_value_holds_most_rows(spark):
     df = spark.range(30000).selectExpr("IF(id % 3 = 0, 7.0D, id * 0.5D) AS v")
     values = [7.0 if i % 3 == 0 else i * 0.5 for i in range(30000)]
     expected = np.percentile(values, range(0, 101, 10))
-    assert np.allclose(found(df, small_rows=0), expected) and np.allclose(found(df), expected)
+    assert np.allclose(found(df), expected)
 
 
 def test_empty_and_single(spark):
     one = spark.createDataFrame([(3.5,)], "v double")
-    assert found(one, small_rows=0) == [3.5] * 11
-    assert found(one.limit(0), small_rows=0) == []
+    assert found(one) == [3.5] * 11
+    assert found(one.limit(0)) == []
 
 
 def test_approximate_rank_error(spark):

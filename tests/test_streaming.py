@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from millrace.operators.detect import drifting_rows, outliers
 from millrace.operators.profile import category_set, numeric_profile
-from millrace.streaming.checks import drain, drain_to_table, drift_rows, flag_rows, next_mark, read_files, split_late, window_verdicts
+from millrace.streaming.checks import drain, drain_to_table, drift_rows, flag_late, flag_rows, next_mark, read_files, split_late, window_verdicts
 from millrace.workspace import fresh_dir
 
 
@@ -26,10 +26,10 @@ def test_flags_equal_batch_outliers(stream, events):
     assert rows(flagged, "event_id") == rows(outliers(events, "value", baseline), "event_id")
 
 
-@pytest.mark.parametrize("limit", [1 << 20, -1])
-def test_drift_equals_batch(stream, events, limit):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_drift_equals_batch(stream, events, salts):
     known = category_set(events.where("ts < '2024-01-03'"), ["user_id"])
-    found = drain_to_table(drift_rows(stream, "user_id", known, broadcast_bytes=limit, salts=3), "drift")
+    found = drain_to_table(drift_rows(stream, "user_id", known, salts=salts), "drift")
     assert rows(found, "event_id") == rows(drifting_rows(events, "user_id", known), "event_id")
 
 
@@ -56,3 +56,18 @@ def test_late_rows_over_two_runs_with_one_checkpoint(spark):
     assert rows(spark.read.parquet(out), "id") == [(i,) for i in range(10)] + [(i,) for i in range(15, 20)]
     assert next_mark(spark.read.parquet(out), "at", mark) > mark
     assert split_late(first, "at", None)[1].count() == 0
+
+
+def test_a_file_between_two_runs_lands_in_one_output(spark):
+    """One drain writes late and on-time rows, so a file that comes later waits for the next run."""
+    folder, out, checkpoint = (fresh_dir(spark, n) for n in ("in", "out", "checkpoint"))
+    at = "timestamp'2024-01-01' + make_interval(0,0,0,0,%s) AS at"
+    first = spark.sql(f"SELECT id, {at % 'id'} FROM range(10)")
+    first.write.parquet(folder)
+    run = lambda mark: drain(flag_late(read_files(spark, folder, first.schema, "*.parquet"), "at", mark), out, checkpoint, ["is_late"])
+    run("2024-01-01 04:00:00")
+    spark.sql(f"SELECT id + 10 AS id, {at % 'id + 3'} FROM range(10)").write.mode("append").parquet(folder)
+    run("2024-01-01 09:00:00")
+    found = spark.read.parquet(out)
+    assert rows(found.where("is_late = 'true'"), "id") == [(i,) for i in [0, 1, 2, 3, 4, *range(10, 17)]]
+    assert rows(found.where("is_late = 'false'"), "id") == [(i,) for i in [5, 6, 7, 8, 9, 17, 18, 19]]
