@@ -17,6 +17,7 @@ from millrace.plans.quality import QualitySpec
 
 NEAR, FAR = 3, 5  # fixed values: deviations of the two standard bounds
 NEAR_SHARE = 9  # fixed value: more than 1/9 of the rows beyond the near bound fails
+NO_BASELINE, NO_NUMBERS = "no baseline", "no numbers"
 NO_NEW_ROWS = "No new data between two detection periods."  # fixed text
 
 
@@ -48,7 +49,10 @@ def numeric_passes(rows: Column, near: Column, custom: Column, bound: Column) ->
 
 
 def check_numbers(df: DataFrame, columns: Sequence[str], baseline: DataFrame) -> DataFrame:
-    """One row per column with outlier counts and verdict; all columns in one scan."""
+    """One row per column with outlier counts and verdict; all columns in one scan.
+
+    A column without a baseline, or without a number among the rows, fails and has a `reason`.
+    """
     bounds = baseline_bounds(baseline)
     measures = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
@@ -61,8 +65,13 @@ def check_numbers(df: DataFrame, columns: Sequence[str], baseline: DataFrame) ->
             F.bround(F.coalesce(F.stddev_samp(v), F.lit(0.0))).cast("bigint").alias(f"dev{i}"),
             F.min(v).alias(f"min{i}"),
             F.max(v).alias(f"max{i}"),
+            F.count(v).alias(f"numbers{i}"),
         ]
     counted = df.agg(*measures)
+    reasons = [
+        F.when(bounds[c]["mean"].isNull(), NO_BASELINE).when(F.col(f"numbers{i}") == 0, NO_NUMBERS)
+        for i, c in enumerate(columns)
+    ]
     per_column = [
         F.struct(
             F.lit(c).alias("column"),
@@ -74,9 +83,11 @@ def check_numbers(df: DataFrame, columns: Sequence[str], baseline: DataFrame) ->
             F.col(f"near{i}").alias("beyond_3"),
             F.col(f"far{i}").alias("beyond_5"),
             F.when(bounds[c]["bound"].isNotNull(), F.col(f"custom{i}")).alias("beyond_custom"),
-            numeric_passes(
-                F.col("rows"), F.col(f"near{i}"), F.col(f"custom{i}"), bounds[c]["bound"]
+            (
+                reasons[i].isNull()
+                & numeric_passes(F.col("rows"), F.col(f"near{i}"), F.col(f"custom{i}"), bounds[c]["bound"])
             ).alias("is_pass"),
+            reasons[i].alias("reason"),
         )
         for i, c in enumerate(columns)
     ]

@@ -51,7 +51,10 @@ def flag_rows(stream: DataFrame, column: str, baseline: DataFrame) -> DataFrame:
 def window_verdicts(
     stream: DataFrame, column: str, ts: str, baseline: DataFrame, hours: int, delay: str = "1 hour"
 ) -> DataFrame:
-    """One verdict per closed interval, from partial counts that are merged per window."""
+    """One verdict per closed interval, from partial counts that are merged per window.
+
+    Without a baseline, or without a number in the interval, it fails.
+    """
     b = baseline_bounds(baseline)[column]
     flagged = flag_rows(event_time(stream, ts), column, baseline).withWatermark(ts, delay)
     counted = flagged.groupBy(F.window(ts, f"{hours} hours")).agg(
@@ -59,8 +62,10 @@ def window_verdicts(
         F.count_if("beyond_3").alias("beyond_3"),
         F.count_if("beyond_5").alias("beyond_5"),
         F.count_if("beyond_custom").alias("beyond_custom"),
+        F.count(as_double(quoted(column))).alias("numbers"),
     )
-    verdict = numeric_passes(F.col("rows"), F.col("beyond_3"), F.col("beyond_custom"), b["bound"])
+    known = b["mean"].isNotNull() & (F.col("numbers") > 0)
+    verdict = known & numeric_passes(F.col("rows"), F.col("beyond_3"), F.col("beyond_custom"), b["bound"])
     return counted.select(
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),

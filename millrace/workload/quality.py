@@ -156,7 +156,7 @@ def outliers_chebyshev(spark, sf_dir):
     """
 )
 def verdict_numeric(spark, sf_dir):
-    return check_numbers(checked_rows(spark, sf_dir), ["value"], value_baseline(spark, sf_dir))
+    return check_numbers(checked_rows(spark, sf_dir), ["value"], value_baseline(spark, sf_dir)).drop("reason")
 
 
 _DRIFT_SQL = f"""

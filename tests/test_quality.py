@@ -59,6 +59,13 @@ def test_bound_decides_when_given(spark):
     assert check_numbers(df, ["v"], stored(spark, bound=0.19, multiplier=2.29)).first().is_pass is False
 
 
+def test_without_baseline_or_numbers_a_column_fails(spark):
+    df = spark.createDataFrame([(10.0, 1.0, None, "x")], "v double, w double, n double, t string")
+    more = stored(spark).unionByName(stored(spark).withColumn("column", F.explode(F.array(F.lit("n"), F.lit("t")))))
+    found = rows(check_numbers(df, ["v", "w", "n", "t"], more), "column", "is_pass", "reason")
+    assert found == [("n", False, "no numbers"), ("t", False, "no numbers"), ("v", True, None), ("w", False, "no baseline")]
+
+
 def test_moments(spark):
     found = dict(rows(central_moments(numbers(spark, [1.0, 2.0, 6.0, None]), ["v"], 4), "order", "moment"))
     assert found[3] == pytest.approx(6.0) and found[4] == pytest.approx((16 + 1 + 81) / 3)
