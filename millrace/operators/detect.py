@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, quoted
 from millrace.operators.custom import custom_check, custom_statistic
-from millrace.operators.incremental import rows_above_key, rows_after, size_probe
+from millrace.operators.incremental import rows_above_key, rows_after, size_probe, stored_mark
 from millrace.operators.profile import category_counts, category_set, numeric_profile, numeric_shape
 from millrace.plans.quality import QualitySpec
 
@@ -234,18 +234,36 @@ def run_quality(
     """Profile on the first run, check on every later one; returns what was done.
 
     The baseline is written once and read back, so later runs compare with stored values. Each
-    run appends one result row, also when it fails.
+    run appends one result row, also when it fails. A run covers the rows above the mark: the one
+    of the task document, or else the greatest key (time) of the profile and of all automatic runs.
+    The result row holds the key range that was checked, so result and mark advance together.
+    Automatic runs are numbered, manual ones have -1; after `expect_count` automatic runs nothing
+    is done any more.
     """
+    results = results_of(spark, spec, results_path)
+    executions = results.where("execution_type = 'Auto'").count() if results else 0
+    if not manual and spec.expect_count and executions >= spec.expect_count:
+        return "disabled"
+    iteration = -1 if manual else executions + 1
     try:
-        return _profile_or_check(spark, df, spec, baseline_path, results_path, manual)
+        report = _profile_or_check(spark, df, spec, baseline_path, results, manual)
+        if report is None:
+            return "profiled"
+        _append(report, iteration, results_path)
+        return "checked"
     except Exception as error:  # noqa: BLE001 - any failure becomes a result row
-        _append(failed_report(spark, spec, error, manual), results_path)
+        _append(failed_report(spark, spec, error, manual), iteration, results_path)
         return "failed"
 
 
-def _append(report: DataFrame, path: str) -> None:
-    stamped = report.withColumn("timestamp", F.lit(datetime.now()))
-    stamped.write.mode("append").parquet(path)
+def results_of(spark: SparkSession, spec: QualitySpec, path: str) -> DataFrame | None:
+    """The result rows of the task, or None before the first."""
+    return spark.read.parquet(path).where(F.col("task_id") == spec.task_id) if _is_stored(spark, path) else None
+
+
+def _append(report: DataFrame, iteration: int, path: str) -> None:
+    stamped = report.withColumn("iteration", F.lit(iteration).cast("bigint"))
+    stamped.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def _is_stored(spark: SparkSession, path: str) -> bool:
@@ -257,7 +275,7 @@ def _is_stored(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _profile_or_check(spark, df, spec, baseline_path, results_path, manual) -> str:
+def _profile_or_check(spark, df, spec, baseline_path, results, manual) -> DataFrame | None:
     spec = spec.resolved(df.columns)
     names = {"numbers": spec.numeric, "categories": spec.category, "custom": spec.custom}
     wanted = [name for name, columns in names.items() if columns]
@@ -267,7 +285,11 @@ def _profile_or_check(spark, df, spec, baseline_path, results_path, manual) -> s
         # written last: a profile that was cut short starts over
         probe = size_probe(new_rows(df, spec), spec.key, spec.ts)
         probe.write.mode("overwrite").parquet(f"{baseline_path}/profiled")
-        return "profiled"
+        return None
+    marked = spec.key or spec.ts
+    if marked and (spec.key_mark if spec.key else spec.ts_mark) is None:
+        profiled = spark.read.parquet(f"{baseline_path}/profiled")
+        mark = stored_mark(profiled, results, df.schema[marked].dataType)
+        spec = replace(spec, **{"key_mark" if spec.key else "ts_mark": mark})
     baseline = {name: spark.read.parquet(f"{baseline_path}/{name}") for name in wanted}
-    _append(quality_report(df, spec, baseline, manual), results_path)
-    return "checked"
+    return quality_report(df, spec, baseline, manual)

@@ -17,7 +17,7 @@ SAMPLE_ABOVE = 100_000  # fixed value: row count above which a check may use a s
 
 
 def rows_above_key(df: DataFrame, key: str, mark: int | None) -> DataFrame:
-    return df if mark is None else df.where(quoted(key) > F.lit(mark))
+    return df if mark is None else df.where(quoted(key) > F.lit(mark).cast(df.schema[key].dataType))
 
 
 def mark_value(df: DataFrame, ts: str, mark: Any) -> Column:
@@ -79,6 +79,15 @@ def sample_rows(df: DataFrame, key: str, rows: int = SAMPLE_ABOVE) -> DataFrame:
     return pool.orderBy(*order).limit(rows)
 
 
+def stored_mark(profiled: DataFrame, results: DataFrame | None, kind: T.DataType) -> str | None:
+    """The mark of a task as text: the greatest of what was profiled and of its automatic, completed runs."""
+    marks = profiled.select(F.col("key_max").cast("string"))
+    if results is not None:
+        done = results.where("execution_type = 'Auto' AND task_status")
+        marks = marks.unionByName(done.select(F.col("key_max").cast("string")))
+    return marks.agg(F.max(F.col("key_max").cast(kind)).cast("string")).first()[0]
+
+
 def advance_marks(marks: DataFrame, probes: DataFrame, manual: bool = False) -> DataFrame:
     """Marks (task_id, mark) after a run; manual runs leave them as they are."""
     if manual:

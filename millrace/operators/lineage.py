@@ -15,7 +15,7 @@ EVENT_SCHEMA = (
     "run_id string, action_id string, action_type string, action_owner string, "
     "action_name string, action_desc string, start timestamp, `end` timestamp, "
     f"result string, message string, input_data array<{_NODE}>, input_runs array<string>, "
-    f"output_data array<{_NODE}>"
+    f"output_data array<{_NODE}>, process_id string"
 )
 NODE_KEYS = ["db_type", "ip", "port", "db_name", "table_name"]
 
@@ -85,6 +85,25 @@ def event_inputs(events: DataFrame) -> DataFrame:
     return data.unionByName(runs).distinct()
 
 
+def event_members(events: DataFrame) -> DataFrame:
+    """Rows (run_id, action_id, action_type, size, process_id) of an event table.
+
+    Task events carry the id of their process, which is known when the task is planned.
+    """
+    size = F.array_size(F.array_distinct("input_data")) + F.array_size(F.array_distinct("input_runs"))
+    return events.select("run_id", "action_id", "action_type", size.cast("bigint").alias("size"), "process_id").distinct()
+
+
+def event_edges(events: DataFrame) -> DataFrame:
+    """The edges of an event table; data nodes are named by `node_id`."""
+    data = events.select("run_id", F.explode("input_data").alias("node"))
+    data = data.select("run_id", F.lit("data").alias("input_kind"), node_id(F.col("node")).alias("input"))
+    runs = events.select("run_id", F.lit("run").alias("input_kind"), F.explode("input_runs").alias("input"))
+    outputs = events.select("run_id", F.explode("output_data").alias("node"))
+    outputs = outputs.select("run_id", node_id(F.col("node")).alias("output"))
+    return lineage_edges(data.unionByName(runs), outputs, event_members(events), "run_id")
+
+
 def event_touches(events: DataFrame) -> DataFrame:
     """Rows (node keys, run_id): the data nodes an event reads or writes."""
     both = F.concat(F.coalesce("input_data", F.array()), F.coalesce("output_data", F.array()))

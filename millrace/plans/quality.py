@@ -27,7 +27,7 @@ class QualitySpec:
     task_id: str
     name: str = ""
     key: str | None = None
-    key_mark: int | None = None
+    key_mark: int | str | None = None
     ts: str | None = None
     ts_mark: str | None = None
     numeric: tuple[str, ...] = ()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from millrace.operators.joins import left_join
 from millrace.operators.lineage import EVENT_SCHEMA
 from millrace.plans.naming import plan_names
 from millrace.plans.spec import ColumnSpec, Source, TaskSpec
+from millrace.sources.sinks import store_result
 
 Resolver = Callable[[Source], DataFrame]
 
@@ -47,6 +50,43 @@ STORE_FILE_ACTION = ("DF60-1", "STORE", "Store file")
 STORE_TABLE_ACTION = ("DF60-2", "STORE", "Store table")
 
 
+class _Recorder:
+    """Events of a planned task.
+
+    A process is an action on a set of inputs, where a run that is an input counts as its own
+    process, so the same task has the same processes each time it is planned.
+    """
+
+    def __init__(self, owner: str):
+        self.owner = owner
+        self.events: list[dict] = []
+        #: Runs that the result comes from.
+        self.last: list[str] = []
+        self._process: dict[str, str] = {}
+
+    def add(self, action, inputs=(), runs=(), outputs=()) -> str:
+        action_id, action_type, name = action
+        run_id = uuid.uuid4().hex
+        data = sorted({json.dumps(i, sort_keys=True) for i in inputs})
+        identity = [action_id, action_type, data, sorted({self._process[r] for r in runs})]
+        self._process[run_id] = hashlib.sha256(json.dumps(identity).encode()).hexdigest()
+        self.events.append(
+            {
+                "run_id": run_id,
+                "action_id": action_id,
+                "action_type": action_type,
+                "action_owner": self.owner,
+                "action_name": name,
+                "action_desc": name,
+                "input_data": list(inputs),
+                "input_runs": list(runs),
+                "output_data": list(outputs),
+                "process_id": self._process[run_id],
+            }
+        )
+        return run_id
+
+
 @dataclass
 class TaskRun:
     """The planned result and one lineage event per action that makes it up."""
@@ -54,12 +94,26 @@ class TaskRun:
     spec: TaskSpec
     result: DataFrame
     columns: tuple[ColumnSpec, ...]
-    events: list[dict] = field(default_factory=list)
+    recorder: _Recorder
+
+    @property
+    def events(self) -> list[dict]:
+        return self.recorder.events
 
     @property
     def last_run(self) -> str:
         return self.events[-1]["run_id"]
 
+    def store(self, root: str, base: str) -> str:
+        """Write the result as the document asks, and record what was written; returns the path."""
+        spec = self.spec
+        path = store_result(self.result, spec, self.columns, root, base)
+        kind = "table" if spec.store_table else "csv"
+        output = {"db_type": kind, "ip": "", "port": "", "db_name": root.rstrip("/"), "table_name": spec.table_name.upper()}
+        action = STORE_TABLE_ACTION if spec.store_table else STORE_FILE_ACTION
+        self.recorder.add(action, runs=self.recorder.last, outputs=[output])
+        return path
+
     def lineage(
         self,
         spark: SparkSession,
@@ -83,30 +137,6 @@ def data_node(source: Source) -> dict[str, str]:
     }
 
 
-class _Recorder:
-    def __init__(self, owner: str):
-        self.owner = owner
-        self.events: list[dict] = []
-
-    def add(self, action, inputs=(), runs=(), outputs=()) -> str:
-        action_id, action_type, name = action
-        run_id = uuid.uuid4().hex
-        self.events.append(
-            {
-                "run_id": run_id,
-                "action_id": action_id,
-                "action_type": action_type,
-                "action_owner": self.owner,
-                "action_name": name,
-                "action_desc": name,
-                "input_data": list(inputs),
-                "input_runs": list(runs),
-                "output_data": list(outputs),
-            }
-        )
-        return run_id
-
-
 def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> TaskRun:
     """Build the whole task as one logical plan; nothing runs until the result is written."""
     recorder = _Recorder(spec.user)
@@ -141,8 +171,9 @@ def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> Ta
         runs = [recorder.add(MERGE_ACTION, runs=runs)]
     if any(c.renames for c in columns):
         current = rename_columns(current, columns)
-        recorder.add(RENAME_ACTION, runs=runs)
-    return TaskRun(spec, current, columns, recorder.events)
+        runs = [recorder.add(RENAME_ACTION, runs=runs)]
+    recorder.last = runs
+    return TaskRun(spec, current, columns, recorder)
 
 
 def run_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from millrace.operators import lineage
+from millrace.plans.runner import plan_task
+from millrace.plans.spec import parse_task
+from millrace.sources.readers import Resolver
 from millrace.workload.registry import query, table
-from millrace.workspace import stored
+from millrace.workspace import fresh_dir, stored
 
 
 def _events(spark, sf_dir):
@@ -104,3 +109,53 @@ def lineage_edges(spark, sf_dir):
         "run", F.lit("run").alias("input_kind"), F.concat("l_orderkey", F.lit("-A")).alias("input")
     )
     return lineage.lineage_edges(data.unionByName(runs), events.select("run", "output"), members, "run")
+
+
+def _totals_task(of, column, group):
+    """Load a table, then sum a column per group."""
+    total = {"IsEnable": "True", "Step": 1, "Naming": "total", "TargetColumn": column, "GroupBy": {"IsEnable": "True", "TargetColumnList": [group]}}
+    return parse_task({
+        "TaskAction": {"TaskId": of, "TableName": f"{of}_totals", "SubmittedUser": "user"},
+        "Base": {"Databases": [{
+            "ConnectionInfo": {"DbType": "mysql", "Ip": "db", "Port": "3306", "UserName": "u", "Password": ""},
+            "DbInfo": {"DbName": "shop", "TableName": of, "ColumnsName": []},
+            "SqlStatement": "",
+            "Condition": {"FunctionCondition": {"ToSum": [total]}, "SpecialFunction": {}},
+        }]},
+        "Merge": {"Tables": []},
+        "ResultParameterSetting": {"ColumnTypeList": []},
+    })
+
+
+@query(
+    """
+    SELECT * FROM (VALUES
+      ('orders', 'DF10-1', 2), ('DF10-1', 'DF40-1', 2), ('DF40-1', 'DF60-1', 2), ('DF60-1', 'ORDERS_TOTALS', 2),
+      ('customer', 'DF10-1', 1), ('DF10-1', 'DF40-1', 1), ('DF40-1', 'DF60-1', 1), ('DF60-1', 'CUSTOMER_TOTALS', 1)
+    ) AS e(src, dst, runs), (SELECT count(*) AS stored_rows FROM orders)
+    """
+)
+def lineage_task_twice(spark, sf_dir):
+    """Edges of a task run twice and of another one; the same action on the same inputs is one node."""
+    start = datetime(2024, 1, 1)
+    events = path = None
+    for of, column, group in (("customer", "c_acctbal", "c_nationkey"), *[("orders", "o_totalprice", "o_custkey")] * 2):
+        root = fresh_dir(spark, "results")
+        run = plan_task(_totals_task(of, column, group), Resolver(spark, tables={of: table(spark, sf_dir, of)}))
+        path = run.store(root, "2024-01-01 00:00:00")
+        # each run has its own folder here; the result counts as the same table
+        rows = run.lineage(spark, start, start).withColumn(
+            "output_data", F.transform("output_data", lambda o: o.withField("db_name", F.lit("results"))))
+        events = rows if events is None else events.unionByName(rows)
+    events = stored(events, "events")
+    names = lineage.event_members(events).groupBy("process_id").agg(
+        F.first("action_id").alias("name"), F.count("*").alias("runs"))
+    edges = lineage.event_edges(events)
+    data = lambda c: F.get_json_object(c, "$.table_name")
+    source, target = (names.select(F.col("process_id").alias(c), F.col("name").alias(f"{c}_name"), F.col("runs").alias(f"{c}_runs")) for c in ("src", "dst"))
+    named = edges.join(source, "src", "left").join(target, "dst", "left")
+    kept = spark.read.option("header", True).csv(path).agg(F.count("*")).scalar()
+    return named.select(
+        F.coalesce("src_name", data("src")).alias("src"), F.coalesce("dst_name", data("dst")).alias("dst"),
+        F.coalesce("dst_runs", "src_runs").cast("int").alias("runs"), kept.alias("stored_rows"),
+    )

@@ -18,6 +18,7 @@ from millrace.operators.detect import (
     drifting_rows,
     outliers,
     quality_report,
+    run_quality,
     take_baseline,
     unseen_values,
 )
@@ -25,6 +26,7 @@ from millrace.operators.profile import category_set, central_moments, numeric_pr
 from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.quality import QualitySpec
 from millrace.workload.registry import query, table
+from millrace.workspace import fresh_dir
 
 SPLIT = "2024-01-16"
 FIRST_DAY = "2024-01-02"
@@ -284,3 +286,34 @@ def no_new_rows(spark, sf_dir):
 
 def _plain(spec):
     return QualitySpec(task_id=spec.task_id, key=spec.key, numeric=spec.numeric)
+
+
+@query(
+    f"""
+    WITH o AS (SELECT * FROM events WHERE ts < '{FIRST_DAY}'),
+         b AS (SELECT round_even(avg(value), 0) AS m, round_even(stddev_samp(value), 0) AS s FROM o),
+         k AS (SELECT DISTINCT event_type FROM o),
+         n AS (SELECT * FROM events WHERE ts > (SELECT max(ts) FROM o)),
+         one AS (SELECT count(*) AS sample_num, max(ts) AS mark,
+                   count(*) FILTER (value > m + 3 * s OR value < m - 3 * s) <= count(*) / 9.0
+                   AND count(*) FILTER (event_type NOT IN (SELECT event_type FROM k)) = 0 AS validation_result
+                 FROM n, b)
+    SELECT i AS iteration, CASE WHEN i < 0 THEN 'Manual' ELSE 'Auto' END AS execution_type, true AS task_status,
+           CASE WHEN i = 2 THEN 0 ELSE sample_num END AS sample_num, i <> 2 AND validation_result AS validation_result,
+           CASE WHEN i <> 2 THEN mark END AS mark,
+           CASE WHEN i = 2 THEN 'No new data between two detection periods.' END AS error_msg
+    FROM one, (VALUES (-1), (1), (2)) AS v(i)
+    """
+)
+def quality_two_runs(spark, sf_dir):
+    """Profile, a manual run, an automatic one over the same new rows, and one that finds nothing new."""
+    spec = QualitySpec(task_id="8", name="events", ts="TS", numeric=("value",), category=("event_type",), expect_count=2)
+    base, results = fresh_dir(spark, "baseline"), fresh_dir(spark, "results")
+    events = table(spark, sf_dir, "events")
+    run_quality(spark, baseline_rows(spark, sf_dir, FIRST_DAY), spec, base, results)
+    for manual in (True, False, False, False):  # the last is beyond the expected number
+        run_quality(spark, events, spec, base, results, manual)
+    return spark.read.parquet(results).select(
+        "iteration", "execution_type", "task_status", "sample_num", "validation_result",
+        F.col("key_max").cast("timestamp_ntz").alias("mark"), "error_msg",
+    )

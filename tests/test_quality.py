@@ -115,3 +115,30 @@ def test_profile_then_check_then_nothing_new_then_failure(spark):
     assert found[(True, 1)].validation_result is False and found[(True, 1)].key_max == "101"
     assert found[(True, 0)].error_msg == NO_NEW_ROWS and found[(True, 0)].execution_type == "Manual"
     assert found[(True, 0)].validation_result is False and found[(False, None)].error_msg
+
+
+def test_mark_moves_with_automatic_runs_only(spark):
+    base, results = fresh_dir(spark, "baseline"), fresh_dir(spark, "results")
+    spec = QualitySpec("5", key="id", numeric=("v",), expect_count=3)
+
+    def run(until, manual=False, broken=False):
+        df = spark.range(1, until + 1).selectExpr("id", "cast(id % 10 AS double) AS v")
+        df = df.withColumn("v", F.assert_true(F.col("id") < 0).cast("double")) if broken else df
+        return run_quality(spark, df, spec, base, results, manual)
+
+    assert [run(100), run(120, manual=True), run(130), run(150, broken=True)] == ["profiled", "checked", "checked", "failed"]
+    assert [run(150), run(200), run(200, manual=True)] == ["checked", "disabled", "checked"]
+    found = rows(spark.read.parquet(results), "iteration", "sample_num", "key_min", "key_max", "task_status")
+    assert found == [
+        (-1, 20, "101", "120", True), (-1, 50, "151", "200", True), (1, 30, "101", "130", True),
+        (2, None, None, None, False), (3, 20, "131", "150", True)]
+
+
+def test_tasks_in_one_results_table_have_their_own_marks(spark):
+    results = fresh_dir(spark, "results")
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id / 4) AS at, id * 1D AS v FROM range(9)")
+    for task in ("a", "b"):
+        spec, base = QualitySpec(task, ts="at", numeric=("v",)), fresh_dir(spark, "baseline")
+        assert run_quality(spark, df.where("v < 5" if task == "a" else "v < 2"), spec, base, results) == "profiled"
+        assert run_quality(spark, df, spec, base, results) == "checked"
+    assert rows(spark.read.parquet(results), "task_id", "sample_num", "iteration") == [("a", 4, 1), ("b", 7, 1)]
