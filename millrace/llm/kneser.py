@@ -175,26 +175,28 @@ class Model:
         self.grams[n] = stored(levels, "kn_grams")
 
     def score(self, seen: DataFrame) -> DataFrame:
-        """lang, gram, logp for windows (lang, gram) of languages that have a model."""
-        by_length = {ORDER: seen.select("lang", "gram").distinct()}
-        for n in range(ORDER - 1, 0, -1):
-            shorter = by_length[n + 1].where(F.length("gram") > n).select("lang", F.substring("gram", -n, n).alias("gram"))
-            by_length[n] = by_length[n + 1].where(F.length("gram") <= n).unionByName(shorter).distinct()
+        """lang, gram, logp for windows (lang, gram) of languages that have a model.
+
+        All suffixes of the windows are listed in one pass; then each order needs that below it only.
+        """
+        tails = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.substring(F.col("gram"), -n, n))
+        listed = seen.select("lang", F.explode(tails).alias("gram")).distinct()
+        listed = stored(listed.withColumn("order", F.length("gram")), "kn_suffixes")
         unknown = self.gammas[1].select(F.col("lang").alias("_lang"), (F.col("gamma") / (F.col("kinds") + 1)).alias("none"))
-        level = _joined(by_length[1], self.grams[1], "gram", "gram", "p")
-        level = level.join(unknown, F.col("lang") == F.col("_lang")).select(
-            "lang", "gram", F.coalesce("p", "none").alias("value")
-        )
+        level = _joined(listed.where(F.col("order") == 1), self.grams[1], "gram", "gram", "p")
+        level = level.join(unknown, F.col("lang") == F.col("_lang"))
+        levels = [stored(level.select("lang", "gram", F.coalesce("p", "none").alias("value")), "kn_scores")]
         for n in range(2, ORDER + 1):
-            level = stored(level, "kn_scores")
-            longer = by_length[n].where(F.length("gram") == n).withColumn("suffix", _suffix()).withColumn("ctx", _context())
-            longer = _joined(longer, level.withColumnRenamed("value", "lower"), "suffix", "gram", "lower")
-            longer = _joined(longer, self.gammas[n], "ctx", "ctx", "gamma")
-            longer = _joined(longer, self.grams[n], "gram", "gram", "p").where("lower is not null")
+            longer = listed.where(F.col("order") == n).withColumn("suffix", _suffix()).withColumn("ctx", _context())
+            longer = _joined(longer, levels[-1].withColumnRenamed("value", "lower"), "suffix", "gram", "lower")
+            longer = _joined(longer.where("lower is not null"), self.gammas[n], "ctx", "ctx", "gamma")
+            longer = _joined(longer, self.grams[n], "gram", "gram", "p")
             value = F.coalesce(F.col("p"), F.coalesce("gamma", F.lit(1.0)) * F.col("lower"))
-            # shorter windows end here: they start with the mark of a word
-            level = level.unionByName(longer.select("lang", "gram", value.alias("value")))
-        return level.select("lang", "gram", F.log("value").alias("logp"))
+            levels.append(stored(longer.select("lang", "gram", value.alias("value")), "kn_scores"))
+        scored = levels[-1]
+        for level in levels[:-1]:  # shorter windows are those at the start of a word
+            scored = scored.unionByName(level.where(F.col("gram").startswith(BEGIN)))
+        return scored.select("lang", "gram", F.log("value").alias("logp"))
 
 
 def hot_windows(counts: DataFrame, scored: DataFrame) -> dict[str, dict[str, float]]:
@@ -298,7 +300,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str =
     trusted = F.broadcast(stored(trusted, "kn_trusted"))  # at most MOST_TRUSTED ids
     model = Model(window_counts(named.join(trusted, F.col("id") == F.col("of"), "left_semi")))
     counts = stored(window_counts(named), "kn_windows")
-    scored = stored(model.score(counts), "kn_window_scores")
+    scored = model.score(counts)
     sums = stored(document_sums(named, hot_windows(counts, scored)), "kn_sums")
     other = scored.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.col("logp").alias("p"))
     cold = sums.select("id", "lang", "node", F.explode("cold").alias("x")).distinct()
