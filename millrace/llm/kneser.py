@@ -315,10 +315,17 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str =
     return _judged(whole, trusted, model).withColumnRenamed("id", key)
 
 
+def _per_language(table: DataFrame) -> DataFrame:
+    """A table with a row per language, sent to all tasks if it is as small as it should be."""
+    table = stored(table, "kn_languages")
+    return F.broadcast(table) if table.count() <= MOST_TRUSTED else table
+
+
 def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
-    known = model.gammas[1].select(F.col("lang").alias("_lang"))
+    known = _per_language(model.gammas[1].select(F.col("lang").alias("_lang")))
     good = whole.join(trusted, F.col("id") == F.col("of"), "left_semi").where("n > 0")
     means = good.groupBy(F.col("lang").alias("of_lang")).agg((F.sum("logp") / F.sum("n")).alias("mean"))
+    means = _per_language(means)
 
     def shrunk(frame: DataFrame) -> DataFrame:
         near = frame.join(means, F.col("lang") == F.col("of_lang"), "left").drop("of_lang")
@@ -332,6 +339,7 @@ def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
         (below - MARGIN * (middle - below) - WIDEN).alias("least"),
         (above + MARGIN * (above - middle) + WIDEN).alias("most"),
     )
+    limits = _per_language(limits)
     judged = shrunk(whole).join(limits, F.col("lang") == F.col("of"), "left").join(
         known, F.col("lang") == F.col("_lang"), "left"
     )
