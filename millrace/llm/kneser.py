@@ -20,8 +20,8 @@ the weight of SHRINK characters. Documents outside the language's quantiles of t
 by MARGIN times their distance from the median and by WIDEN, are rejected: above, text unlike the language; below,
 text of a few repeated words.
 
-Fitting uses at most MOST_TRUSTED trusted documents, those with the least hashes of their id; corpus
-counts and scores cover all. A null text is empty; texts without words are rejected. A null language
+Fitting, the mean and the quantiles use all trusted documents of a language. Quantiles are taken from counts
+of scores in steps of 1 / STEPS, in which documents are compared with them too. A null text is empty; texts without words are rejected. A null language
 is a language of its own; one without trusted text has no model, and its documents are kept. Rows
 that repeat id, language and text share one result. Other columns are left out by `scores`;
 `keep_good` returns exactly the columns it was given.
@@ -41,10 +41,12 @@ from millrace.llm.arrow import blocks, span_hashes, words
 from millrace.workspace import stored
 
 ORDER = 5
-MOST_TRUSTED = 20_000
+#: Trusted ids, and rows of tables with a row per language, that are sent to all tasks; more go by a shuffle join.
+MOST_SENT_IDS, MOST_SENT_LANGUAGES = 500_000, 20_000
 HOT_WINDOWS = 1 << 17
 SHRINK = 100
 LOW, HIGH, MARGIN, WIDEN = 0.005, 0.995, 0.5, 0.1
+STEPS = 10_000
 BEGIN, END = "\x02", "\x03"
 #: Distinct words that a task remembers.
 TASK_WORDS = 400_000
@@ -296,8 +298,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str =
     """key, lang, node (of the text), n_windows, perplexity, low, high and kept."""
     named = _named(docs, key, lang, text)
     trusted = labels.where("quality = 1").select(F.col(key).alias("of")).where("of is not null").distinct()
-    trusted = trusted.orderBy(F.xxhash64("of"), "of").limit(MOST_TRUSTED)
-    trusted = F.broadcast(stored(trusted, "kn_trusted"))  # at most MOST_TRUSTED ids
+    trusted = _sent(trusted, "kn_trusted", MOST_SENT_IDS)
     model = Model(window_counts(named.join(trusted, F.col("id") == F.col("of"), "left_semi")))
     counts = stored(window_counts(named), "kn_windows")
     scored = model.score(counts)
@@ -315,10 +316,14 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str =
     return _judged(whole, trusted, model).withColumnRenamed("id", key)
 
 
+def _sent(table: DataFrame, label: str, most: int) -> DataFrame:
+    """The table, sent to all tasks by joins if it has at most so many rows."""
+    table = stored(table, label)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _per_language(table: DataFrame) -> DataFrame:
-    """A table with a row per language, sent to all tasks if it is as small as it should be."""
-    table = stored(table, "kn_languages")
-    return F.broadcast(table) if table.count() <= MOST_TRUSTED else table
+    return _sent(table, "kn_languages", MOST_SENT_LANGUAGES)
 
 
 def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
@@ -329,10 +334,13 @@ def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
 
     def shrunk(frame: DataFrame) -> DataFrame:
         near = frame.join(means, F.col("lang") == F.col("of_lang"), "left").drop("of_lang")
-        return near.withColumn("score", (F.col("logp") + SHRINK * F.col("mean")) / (F.col("n") + SHRINK))
+        near = near.withColumn("score", (F.col("logp") + SHRINK * F.col("mean")) / (F.col("n") + SHRINK))
+        return near.withColumn("step", F.round(F.col("score") * STEPS) / STEPS)
 
-    quantiles = F.percentile("score", F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)))  # of the bounded sample
-    limits = shrunk(good).groupBy(F.col("lang").alias("of")).agg(quantiles.alias("q"))
+    # partial sums first: a language has as many rows as it has different steps, however many documents it has
+    steps = shrunk(good).groupBy(F.col("lang").alias("of"), "step").agg(F.count("*").alias("times"))
+    quantiles = F.percentile("step", F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)), F.col("times"))
+    limits = steps.groupBy("of").agg(quantiles.alias("q"))
     below, middle, above = (F.element_at("q", i) for i in (1, 2, 3))
     limits = limits.select(
         "of",
@@ -343,7 +351,7 @@ def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
     judged = shrunk(whole).join(limits, F.col("lang") == F.col("of"), "left").join(
         known, F.col("lang") == F.col("_lang"), "left"
     )
-    inside = F.col("score").between(F.col("least"), F.col("most"))
+    inside = F.col("step").between(F.col("least"), F.col("most"))
     return judged.select(
         "id", "lang", "node", F.col("n").alias("n_windows"),
         F.when(F.col("_lang").isNotNull(), F.exp(-F.col("score"))).alias("perplexity"),

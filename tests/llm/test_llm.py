@@ -283,3 +283,18 @@ def test_perplexity_equals_the_definition(spark, monkeypatch, hot):
     expected = (brute_logp(corpus, other) + kneser.SHRINK * mean) / (size(other) + kneser.SHRINK)
     assert rows[1].n_windows == size(other)
     assert np.log(rows[1].perplexity) == pytest.approx(-expected, rel=1e-6)
+
+
+def test_every_trusted_document_is_counted(spark, monkeypatch):
+    for name in ("MOST_TRUSTED", "MOST_SENT_IDS"):  # however few ids are handled at once
+        monkeypatch.setattr(kneser, name, 3, raising=False)
+    texts = [sentence(60, 600 + i) for i in range(12)]
+    docs = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "rare").otherwise("en"))
+    table = spark.createDataFrame([(i, 1) for i in range(11)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in kneser.scores(docs, table).collect()}
+    corpus = " ".join(texts[i] for i in range(11) if i % 4)
+    size = lambda t: sum(len(kneser.windows(w)) for w in t.split())
+    mean = brute_logp(corpus, corpus) / size(corpus)
+    expected = (brute_logp(corpus, texts[11]) + kneser.SHRINK * mean) / (size(texts[11]) + kneser.SHRINK)
+    assert np.log(rows[11].perplexity) == pytest.approx(-expected, rel=1e-6)
+    assert all(rows[i].perplexity is not None and rows[i].low is not None for i in (0, 4, 8))
