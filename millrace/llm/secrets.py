@@ -5,7 +5,7 @@ decoded and reported only if what comes out has the form of a secret:
 
 * `signed`: three base64url parts of which the first is a JSON object with an `alg`;
 * `openssh`: an OpenSSH private key, whose lengths must nest up to the last byte;
-* `der`: a PKCS#1, PKCS#8 or SEC1 private key, whose ASN.1 lengths must nest exactly.
+* `der`: a PKCS#1, PKCS#8, SEC1 or DSA private key, whose ASN.1 lengths must nest exactly.
 
 A span is (kind, start, end) in code points, end exclusive. One pass over each text, one text at a
 time, no shuffle. A null text is empty and has no spans; repeated rows give repeated rows; columns
@@ -36,7 +36,7 @@ BASE_KINDS = KINDS[:3]
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*)={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{40,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*)={0,2}")
 _HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\x00"
 
@@ -86,6 +86,8 @@ def is_der_key(data: bytes) -> bool:
     version, tags = data[parts[0][1]], [p[0] for p in parts]
     if version in (0, 1) and len(tags) in (9, 10) and set(tags[:9]) == {0x02}:
         return True  # PKCS#1: nine numbers
+    if version == 0 and tags == [0x02] * 6:
+        return True  # DSA: version, p, q, g and both keys
     if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
         algorithm = _elements(data, parts[1][1], parts[1][2])
         return bool(algorithm) and algorithm[0][0] == 0x06  # PKCS#8: algorithm id, then the key

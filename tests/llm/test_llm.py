@@ -98,6 +98,33 @@ def test_secrets_need_structure():
     assert secrets.redacted("é token=abcdefgh.") == "é [assign]"
 
 
+@pytest.mark.parametrize("size", [119, 120, 121])
+def test_pem_keys_of_all_paddings(size):
+    def number(n):
+        return bytes([2, n]) + bytes([1] * n)
+
+    def of(*parts):
+        content = b"".join(parts)
+        return bytes([0x30, 0x81, len(content)] if len(content) > 127 else [0x30, len(content)]) + content
+
+    version, algorithm = b"\x02\x01\x00", bytes.fromhex("300506032b6570")
+    inner = size - 2 - len(version) - len(algorithm) - 2
+    dsa = [number(20)] * 4
+    keys = [of(version, algorithm, bytes([4, inner]) + bytes(range(inner))), of(version, *dsa, number(size - 95))]
+    opened = [b"none", b"none", b"", bytes(range(40)), bytes(range(size - 87))]
+    lengths = [len(x).to_bytes(4, "big") + x for x in opened]
+    keys.append(b"openssh-key-v1\x00" + b"".join(lengths[:3]) + bytes([0, 0, 0, 1]) + b"".join(lengths[3:]))
+    for key, kind in zip(keys, ("der", "der", "openssh")):
+        assert len(key) == size
+        body = base64.encodebytes(key).decode().replace("\n", "")
+        for end in ("\n", "\r\n"):
+            rows = end.join(body[i : i + 64] for i in range(0, len(body), 64))
+            text = f"-----BEGIN PRIVATE KEY-----{end}{rows}{end}-----END PRIVATE KEY-----{end}"
+            start = text.index(body[:64])
+            assert secrets.all_spans(text) == [(kind, start, start + len(rows))]
+            assert rows not in secrets.redacted(text) and secrets.redacted(text).count("-----") == 4
+
+
 def repeated(text):
     found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     runs = Counter(tuple(found[i : i + 5]) for i in range(len(found) - 4))
