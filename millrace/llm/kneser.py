@@ -16,9 +16,10 @@ characters, go to all tasks; each document adds them up by itself, and only its
 shuffle join. Sums per document are partial sums; no n-gram table is gathered anywhere.
 
 A document's score is its mean log probability per character, drawn to the mean of trusted text with
-the weight of SHRINK characters. Documents outside the language's quantiles of trusted text, widened
-by MARGIN times their distance from the median and by WIDEN, are rejected: above, text unlike the language; below,
-text of a few repeated words.
+the weight of SHRINK characters. Documents outside the language's quantiles of trusted text are
+rejected: above, text unlike the language; below, text of a few repeated words. The quantiles are those
+of held-out text: trusted texts are in two folds by their hash, and each is scored by a model of the
+other fold. A language all of whose trusted texts are in one fold has the quantiles of the model's own text.
 
 Fitting, the mean and the quantiles use all trusted documents of a language. Quantiles are taken from counts
 of scores in steps of 1 / STEPS, in which documents are compared with them too. A null text is empty; texts without words are rejected. A null language
@@ -45,9 +46,11 @@ ORDER = 5
 MOST_SENT_IDS, MOST_SENT_LANGUAGES = 500_000, 20_000
 HOT_WINDOWS = 1 << 17
 SHRINK = 100
-LOW, HIGH, MARGIN, WIDEN = 0.005, 0.995, 0.5, 0.1
+LOW, HIGH = 0.005, 0.995
 STEPS = 10_000
 BEGIN, END = "\x02", "\x03"
+#: Before a language: all of its trusted text, or one of its folds. Each has a model.
+WHOLE, FOLDS = "-", ("0", "1")
 #: Distinct words that a task remembers.
 TASK_WORDS = 400_000
 
@@ -294,15 +297,31 @@ def _named(docs: DataFrame, key: str, lang: str, text: str) -> DataFrame:
     )
 
 
+_SWAP = ("".join(FOLDS), "".join(reversed(FOLDS)))
+MOST_LETTERS = 2**31 - 1
+
+
+def _of(part: str) -> Column:
+    """The key of a part of the same language."""
+    return F.concat(F.lit(part), F.substring("lang", 2, MOST_LETTERS))
+
+
 def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """key, lang, node (of the text), n_windows, perplexity, low, high and kept."""
     named = _named(docs, key, lang, text)
     trusted = labels.where("quality = 1").select(F.col(key).alias("of")).where("of is not null").distinct()
     trusted = _sent(trusted, "kn_trusted", MOST_SENT_IDS)
-    model = Model(window_counts(named.join(trusted, F.col("id") == F.col("of"), "left_semi")))
-    counts = stored(window_counts(named), "kn_windows")
+    good = named.join(trusted, F.col("id") == F.col("of"), "left_semi")
+    fold = F.when(F.col("node") % 2 == 0, FOLDS[0]).otherwise(FOLDS[1])
+    folds = stored(window_counts(good.withColumn("lang", F.concat(fold, "lang"))), "kn_folds")
+    whole_counts = folds.groupBy(_of(WHOLE).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    model = Model(folds.unionByName(whole_counts))
+    named = named.withColumn("lang", F.concat(F.lit(WHOLE), "lang"))
+    held = good.withColumn("lang", F.concat(F.translate(fold, *_SWAP), "lang"))
+    other_fold = F.concat(F.translate(F.substring("lang", 1, 1), *_SWAP), F.substring("lang", 2, MOST_LETTERS))
+    counts = stored(window_counts(named).unionByName(folds.withColumn("lang", other_fold)), "kn_windows")
     scored = model.score(counts)
-    sums = stored(document_sums(named, hot_windows(counts, scored)), "kn_sums")
+    sums = stored(document_sums(named.unionByName(held), hot_windows(counts, scored)), "kn_sums")
     other = scored.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.col("logp").alias("p"))
     cold = sums.select("id", "lang", "node", F.explode("cold").alias("x")).distinct()
     cold = cold.join(other, (F.col("lang") == F.col("_lang")) & (F.col("x.gram") == F.col("_gram"))).select(
@@ -328,32 +347,32 @@ def _per_language(table: DataFrame) -> DataFrame:
 
 def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
     known = _per_language(model.gammas[1].select(F.col("lang").alias("_lang")))
+    held = whole.where(~F.col("lang").startswith(WHOLE) & (F.col("n") > 0))
+    held = held.join(known, F.col("lang") == F.col("_lang"), "left_semi")
+    whole = whole.where(F.col("lang").startswith(WHOLE))
     good = whole.join(trusted, F.col("id") == F.col("of"), "left_semi").where("n > 0")
     means = good.groupBy(F.col("lang").alias("of_lang")).agg((F.sum("logp") / F.sum("n")).alias("mean"))
     means = _per_language(means)
 
     def shrunk(frame: DataFrame) -> DataFrame:
-        near = frame.join(means, F.col("lang") == F.col("of_lang"), "left").drop("of_lang")
+        near = frame.join(means, _of(WHOLE) == F.col("of_lang"), "left").drop("of_lang")
         near = near.withColumn("score", (F.col("logp") + SHRINK * F.col("mean")) / (F.col("n") + SHRINK))
         return near.withColumn("step", F.round(F.col("score") * STEPS) / STEPS)
 
     # partial sums first: a language has as many rows as it has different steps, however many documents it has
-    steps = shrunk(good).groupBy(F.col("lang").alias("of"), "step").agg(F.count("*").alias("times"))
-    quantiles = F.percentile("step", F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)), F.col("times"))
-    limits = steps.groupBy("of").agg(quantiles.alias("q"))
-    below, middle, above = (F.element_at("q", i) for i in (1, 2, 3))
-    limits = limits.select(
-        "of",
-        (below - MARGIN * (middle - below) - WIDEN).alias("least"),
-        (above + MARGIN * (above - middle) + WIDEN).alias("most"),
-    )
+    steps = shrunk(held.unionByName(good)).withColumn("out", ~F.col("lang").startswith(WHOLE))
+    steps = steps.groupBy(_of(WHOLE).alias("of"), "out", "step").agg(F.count("*").alias("times"))
+    places = F.array(F.lit(LOW), F.lit(HIGH))
+    out, own = (F.percentile(F.when(x, F.col("step")), places, F.col("times")) for x in (F.col("out"), ~F.col("out")))
+    limits = steps.groupBy("of").agg(F.coalesce(out, own).alias("q"))
+    limits = limits.select("of", F.element_at("q", 1).alias("least"), F.element_at("q", 2).alias("most"))
     limits = _per_language(limits)
     judged = shrunk(whole).join(limits, F.col("lang") == F.col("of"), "left").join(
         known, F.col("lang") == F.col("_lang"), "left"
     )
     inside = F.col("step").between(F.col("least"), F.col("most"))
     return judged.select(
-        "id", "lang", "node", F.col("n").alias("n_windows"),
+        "id", F.substring("lang", 2, MOST_LETTERS).alias("lang"), "node", F.col("n").alias("n_windows"),
         F.when(F.col("_lang").isNotNull(), F.exp(-F.col("score"))).alias("perplexity"),
         F.exp(-F.col("most")).alias("low"), F.exp(-F.col("least")).alias("high"),
         ((F.col("n") > 0) & F.coalesce(inside, F.lit(True))).alias("kept"),

@@ -325,3 +325,19 @@ def test_every_trusted_document_is_counted(spark, monkeypatch):
     expected = (brute_logp(corpus, texts[11]) + kneser.SHRINK * mean) / (size(texts[11]) + kneser.SHRINK)
     assert np.log(rows[11].perplexity) == pytest.approx(-expected, rel=1e-6)
     assert all(rows[i].perplexity is not None and rows[i].low is not None for i in (0, 4, 8))
+
+
+def test_quantiles_are_those_of_held_out_text(spark):
+    texts = [sentence(40, 700 + i) for i in range(9)]
+    docs = frame(spark, texts)
+    table = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int")
+    fold = {r.doc_id: r.even for r in docs.select("doc_id", (F.xxhash64("text") % 2 == 0).alias("even")).collect()}
+    size = lambda t: sum(len(kneser.windows(w)) for w in t.split())
+    corpus = " ".join(texts[:8])
+    mean = brute_logp(corpus, corpus) / size(corpus)
+    found = []
+    for i in range(8):
+        other = " ".join(texts[k] for k in range(8) if fold[k] != fold[i])
+        found.append((brute_logp(other, texts[i]) + kneser.SHRINK * mean) / (size(texts[i]) + kneser.SHRINK))
+    row = kneser.scores(docs, table).first()
+    assert -np.log([row.high, row.low]) == pytest.approx(np.quantile(found, [0.005, 0.995]), abs=2e-4)
