@@ -5,8 +5,7 @@ white space as one space. Documents that contain a line are counted for each hos
 whole corpus; lines in more documents of a host than the limits allow are removed, and a document
 that loses too large a part of its words is rejected.
 
-Limits: a line is frequent from `least_docs` documents of its host on, if these are at least
-`least_share` of the host's documents. A document is depleted if frequent lines hold more than
+Limits: a line is frequent from `least_docs` documents of its host on, however large the host. A document is depleted if frequent lines hold more than
 `most_removed` of its word characters. Lines of fewer than `least_words` words are left alone.
 
 Counts are partial sums before the shuffle, one row per host, line and task; nothing is collected
@@ -136,11 +135,8 @@ def _place(rows: np.ndarray, n_rows: int) -> np.ndarray:
     return (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
 
 
-def frequent_lines(measured: DataFrame, least_docs: int, least_share: float) -> DataFrame:
-    """host, line_key of the lines above the limits. Copies of a text are one document."""
-    hosts = (
-        measured.select("host", "row_key").distinct().groupBy(F.col("host").alias("of")).agg(F.count("*").alias("docs"))
-    )
+def frequent_lines(measured: DataFrame, least_docs: int) -> DataFrame:
+    """host, line_key of the lines above the limit. Copies of a text are one document."""
     lines = (
         measured.select("host", "row_key", F.explode("line_keys").alias("line_key"))
         .distinct()
@@ -148,20 +144,16 @@ def frequent_lines(measured: DataFrame, least_docs: int, least_share: float) ->
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= least_docs)
     )
-    return (
-        lines.join(hosts, F.col("host").eqNullSafe(F.col("of")))
-        .where(F.col("n") >= F.lit(least_share) * F.col("docs"))
-        .select("host", "line_key")
-    )
+    return lines.select("host", "line_key")
 
 
 def judge(
     docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text",
-    least_docs: int = 10, least_share: float = 0.01, most_removed: float = 0.5, least_words: int = 3,
+    least_docs: int = 10, most_removed: float = 0.5, least_words: int = 3,
 ) -> DataFrame:
     """One row per document: the measures, removed_chars, base_failed and kept."""
     measured = stored(measure(docs, key, host, text, least_words), "lines")
-    frequent = stored(frequent_lines(measured, least_docs, least_share), "frequent_lines")
+    frequent = stored(frequent_lines(measured, least_docs), "frequent_lines")
     frequent = frequent.select(F.col("host").alias("of"), F.col("line_key").alias("line"))
     same = ["host", "doc_id", "row_key"]
     lines = measured.select(*same, F.explode(F.arrays_zip("line_keys", "line_chars")).alias("x")).select(

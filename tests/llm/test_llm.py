@@ -341,3 +341,12 @@ def test_quantiles_are_those_of_held_out_text(spark):
         found.append((brute_logp(other, texts[i]) + kneser.SHRINK * mean) / (size(texts[i]) + kneser.SHRINK))
     row = kneser.scores(docs, table).first()
     assert -np.log([row.high, row.low]) == pytest.approx(np.quantile(found, [0.005, 0.995]), abs=2e-4)
+
+
+@pytest.mark.parametrize("padding", [0, 2000])
+def test_frequent_lines_are_absolute_counts(spark, padding):
+    banner = "all rights are reserved by the owner"
+    texts = [f"{banner}\n{sentence(3, i)}" for i in range(12)] + [sentence(12, 5_000 + i) for i in range(padding)]
+    found = {r.doc_id: r for r in lines.judge(frame(spark, texts).withColumn("source", F.lit("h"))).collect()}
+    assert [found[i].removed_chars for i in range(12)] == [len(banner.replace(" ", ""))] * 12
+    assert not any(found[i].removed_chars for i in range(12, len(texts)))
