@@ -2,19 +2,19 @@
 
 Each text is measured alone, and its lines are hashed after normalising: lower case, digits as 0,
 white space as one space. Documents that contain a line are counted for each host and line over the
-whole corpus; lines in more documents of a host than the limits allow are removed, and a document
-that loses too large a part of its words is rejected.
-
-Limits: a line is frequent from `least_docs` documents of its host on, however large the host. A document is depleted if frequent lines hold more than
-`most_removed` of its word characters. Lines of fewer than `least_words` words are left alone.
+whole corpus. Lines in `least_docs` documents of their host or more are frequent, whatever the size of
+the host and of the line. `clean` returns the documents without them; `judge` measures what is gone, and
+a document that loses more than `most_removed` of its word characters is rejected.
 
 Counts are partial sums before the shuffle, one row per host, line and task; nothing is collected
-per host. The lines themselves never leave their task, only hashes. Frequent lines are joined to the
-hashes of the lines; only matches go on to be summed per document.
+per host. The lines themselves never leave their task, only hashes. Up to MOST_SENT frequent lines are
+sent to all tasks. More are joined to the hashes of the lines, and each document is joined to those of its
+own; no text is cut.
 
 Documents are told apart by their words, so repeated rows and exact copies count once, and a text is
 not rejected for being copied. A null text has no lines and fails the base rules; a null host is a
-host of its own. Columns other than key, host and text are left out, whatever their names.
+host of its own. `judge` leaves out columns other than key, host and text, whatever their names; `clean`
+keeps all.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import blocks, mix, raw, shingles, span_hashes, words
 from millrace.workspace import stored
 
 WINDOW = 5
+MOST_SENT = 1 << 17
 SCHEMA = (
-    "doc_id {kind}, host string, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, line_keys array<long>, line_chars array<long>"
+    "doc_id {kind}, host string, clean string, n_words long, word_chars long, clean_chars long, n_symbols long, "
+    "n_dup_lines long, n_repeat_words long"
 )
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,71 +64,85 @@ def repeat_words(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarra
     return np.bincount(rows[np.cumsum(edge[:-1]) > 0], minlength=n_rows)
 
 
-def line_facts(text: str, least_words: int) -> tuple[int, dict[str, int]]:
-    """Lines equal to an earlier one, and word characters by normalised line."""
-    seen: set[str] = set()
-    again = 0
-    by_line: dict[str, int] = {}
-    for line in text.split("\n"):
-        found = _WORD.findall(line)
-        if not found:
-            continue
-        again += line in seen
-        seen.add(line)
-        if len(found) >= least_words:
-            name = _DIGITS.sub("0", " ".join(found).lower())
-            by_line[name] = by_line.get(name, 0) + sum(map(len, found))
-    return again, by_line
+def line_name(line: str) -> tuple[str, int]:
+    """The line normalised, and its word characters."""
+    found = _WORD.findall(line)
+    return _DIGITS.sub("0", " ".join(found).lower()), sum(map(len, found))
+
+
+def again(text: str) -> int:
+    """Lines with words that are equal to an earlier one."""
+    lines = [line for line in text.split("\n") if _WORD.search(line)]
+    return len(lines) - len(set(lines))
 
 
-def measure(docs: DataFrame, key: str, host: str, text: str, least_words: int) -> DataFrame:
-    """The measures of each text alone, and the keys of its normalised lines."""
-    kind = docs.select(key).schema[0].dataType.simpleString()
+def line_sets(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """host, node (of the text), row_key (of its words) and the keys of its normalised lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in blocks(batch.column(2)):
-                yield facts(batch.slice(start, end - start))
+                yield sets(batch.slice(start, end - start))
 
-    def facts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         column, n = batch.column(2), len(batch)
         data, starts, ends, rows = words(column)
-        hashes = span_hashes(data, starts, ends)
+        row_hash = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(row_hash, rows, mix(span_hashes(data, starts, ends) ^ mix(_place(rows, n))))
+        found = [{name for name, size in map(line_name, (x or "").split("\n")) if size} for x in column.to_pylist()]
+        parts = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(parts), pa.array(_line_keys([name for x in found for name in x])))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(mix(row_hash).view(np.int64)), keys],
+            ["host", "node", "row_key", "line_keys"],
+        )
+
+    texts = docs.select(F.col(host).cast("string").alias("host"), _node(text).alias("node"), F.col(text).alias("text"))
+    return texts.mapInArrow(run, "host string, node long, row_key long, line_keys array<long>")
+
+
+def measure(rows: DataFrame) -> DataFrame:
+    """The measures of each text (doc_id, host, text, clean), and the word characters of its clean text."""
+    kind = rows.select("doc_id").schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in blocks(batch.column(2)):
+                yield facts(batch.slice(start, end - start))
+
+    def sized(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, starts, ends, rows = words(column)
         letters = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=letters[1:])
-        sizes = letters[ends] - letters[starts]
+        chars = np.bincount(rows, weights=letters[ends] - letters[starts], minlength=len(column)).astype(np.int64)
+        return span_hashes(data, starts, ends), rows, chars
+
+    def facts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column, n = batch.column(2), len(batch)
+        hashes, rows, chars = sized(column)
         texts = [x or "" for x in column.to_pylist()]
-        found = [line_facts(x, least_words) for x in texts]
-        names = pa.array([name for _, by_line in found for name in by_line], pa.large_string())
-        raw_names, at = raw(names)
-        line_hash = span_hashes(raw_names, at[:-1], at[1:]).view(np.int64)
-        parts = np.concatenate([[0], np.cumsum([len(b) for _, b in found])]).astype(np.int32)
-        row_hash = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(row_hash, rows, mix(hashes ^ mix(_place(rows, n))))
-        lists = lambda values: pa.ListArray.from_arrays(pa.array(parts), pa.array(values))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
-                pa.array(mix(row_hash).view(np.int64)),
+                batch.column(3),
                 pa.array(np.bincount(rows, minlength=n)),
-                pa.array(np.bincount(rows, weights=sizes, minlength=n).astype(np.int64)),
+                pa.array(chars),
+                pa.array(sized(batch.column(3))[2]),
                 pa.array([len(_SYMBOLS.findall(x)) for x in texts], pa.int64()),
-                pa.array([again for again, _ in found], pa.int64()),
+                pa.array([again(x) for x in texts], pa.int64()),
                 pa.array(repeat_words(hashes, rows, n)),
-                lists(line_hash),
-                lists(np.array([c for _, b in found for c in b.values()], np.int64)),
             ],
-            ["doc_id", "host", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-             "line_keys", "line_chars"],
+            ["doc_id", "host", "clean", "n_words", "word_chars", "clean_chars", "n_symbols", "n_dup_lines",
+             "n_repeat_words"],
         )
 
-    return docs.select(
-        F.col(key).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")
-    ).mapInArrow(run, SCHEMA.format(kind=kind))
+    return rows.select("doc_id", "host", "text", "clean").mapInArrow(run, SCHEMA.format(kind=kind))
 
 
+def _node(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _place(rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -135,47 +151,87 @@ def _place(rows: np.ndarray, n_rows: int) -> np.ndarray:
     return (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
 
 
-def frequent_lines(measured: DataFrame, least_docs: int) -> DataFrame:
+def frequent_lines(sets: DataFrame, least_docs: int) -> DataFrame:
     """host, line_key of the lines above the limit. Copies of a text are one document."""
-    lines = (
-        measured.select("host", "row_key", F.explode("line_keys").alias("line_key"))
+    return (
+        sets.select("host", "row_key", F.explode("line_keys").alias("line_key"))
         .distinct()
         .groupBy("host", "line_key")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= least_docs)
+        .select("host", "line_key")
     )
-    return lines.select("host", "line_key")
+
+
+def _gone(sets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """h, t, gone: the frequent lines of each text that has some."""
+    frequent = frequent.select(F.col("host").alias("of"), F.col("line_key").alias("line"))
+    found = sets.select("host", "node", F.explode("line_keys").alias("line_key"))
+    same = (F.col("line_key") == F.col("line")) & F.col("host").eqNullSafe(F.col("of"))
+    found = found.join(frequent, same, "left_semi").groupBy(F.col("host").alias("h"), F.col("node").alias("t"))
+    return found.agg(F.collect_set("line_key").alias("gone"))
+
+
+def _line_keys(names: list[str]) -> np.ndarray:
+    data, at = raw(pa.array(names, pa.large_string()))
+    return span_hashes(data, at[:-1], at[1:]).view(np.int64)
+
+
+def without(text: str, gone: set[int]) -> str:
+    """The text without the lines whose key is gone; other lines stay as they are."""
+    lines = text.split("\n")
+    named = [line_name(line) for line in lines]
+    keys = _line_keys([name for name, _ in named]).tolist()
+    return "\n".join(x for x, (_, size), key in zip(lines, named, keys) if not (size and key in gone))
+
+
+def _cleaned(docs: DataFrame, host: str, text: str, least_docs: int) -> DataFrame:
+    """The rows of docs (all their columns as `row`) and their text without frequent lines (`clean`)."""
+    sets = line_sets(docs, host, text)
+    frequent = stored(frequent_lines(sets, least_docs), "frequent_lines")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(host).cast("string").alias("host"), F.col(text).alias("text"), _node(text).alias("node"),
+    )
+    sent: dict[str | None, set[int]] | None = None
+    if frequent.count() <= MOST_SENT:
+        sent = {}
+        for r in frequent.collect():
+            sent.setdefault(r.host, set()).add(r.line_key)
+        rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
+    else:
+        same = (F.col("node") == F.col("t")) & F.col("host").eqNullSafe(F.col("h"))
+        rows = rows.join(_gone(sets, frequent), same, "left")
+    shared = docs.sparkSession.sparkContext.broadcast(sent)
+
+    @F.pandas_udf("string")
+    def clean(hosts: pd.Series, texts: pd.Series, gone: pd.Series) -> pd.Series:
+        known, found = shared.value, []
+        for name, x, keys in zip(hosts, texts, gone):
+            lost = known.get(name) if known is not None else None if keys is None else set(map(int, keys))
+            found.append(without(x, lost) if x and lost else x)
+        return pd.Series(found, dtype=object)
+
+    return rows.select("row", "host", "text", clean("host", "text", "gone").alias("clean"))
+
+
+def clean(docs: DataFrame, host: str = "source", text: str = "text", least_docs: int = 10) -> DataFrame:
+    """The documents, with all their columns, without the frequent lines of their host."""
+    found = _cleaned(docs, host, text, least_docs)
+    return found.select(*[F.col("clean" if c == text else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def judge(
     docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text",
-    least_docs: int = 10, most_removed: float = 0.5, least_words: int = 3,
+    least_docs: int = 10, most_removed: float = 0.5,
 ) -> DataFrame:
-    """One row per document: the measures, removed_chars, base_failed and kept."""
-    measured = stored(measure(docs, key, host, text, least_words), "lines")
-    frequent = stored(frequent_lines(measured, least_docs), "frequent_lines")
-    frequent = frequent.select(F.col("host").alias("of"), F.col("line_key").alias("line"))
-    same = ["host", "doc_id", "row_key"]
-    lines = measured.select(*same, F.explode(F.arrays_zip("line_keys", "line_chars")).alias("x")).select(
-        *same, F.col("x.line_keys").alias("line_key"), F.col("x.line_chars").alias("chars")
-    )
-    # repeated rows are equal in all of these, so one of each line is what each of them loses
-    removed = (
-        lines.join(frequent, (F.col("line_key") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
-        .groupBy(*same, "line_key")
-        .agg(F.max("chars").alias("chars"))
-        .groupBy(*same)
-        .agg(F.sum("chars").alias("removed"))
-        .select(F.col("host").alias("h"), F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "removed")
-    )
-    alike = (F.col("row_key") == F.col("r")) & F.col("host").eqNullSafe(F.col("h"))
-    joined = measured.drop("line_keys", "line_chars").join(
-        removed, alike & F.col("doc_id").eqNullSafe(F.col("d")), "left"
-    )
-    gone = F.coalesce(F.col("removed"), F.lit(0))
+    """One row per document: the measures, removed_chars, base_failed, kept and the clean text."""
+    found = _cleaned(docs, host, text, least_docs)
+    measured = measure(found.select(F.col(f"row.`{key}`").alias("doc_id"), "host", "text", "clean"))
+    gone = F.col("word_chars") - F.col("clean_chars")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = gone > F.lit(most_removed) * F.col("word_chars")
-    return joined.select(
+    return measured.select(
         F.col("doc_id").alias(key), "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        gone.alias("removed_chars"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        gone.alias("removed_chars"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "clean",
     )

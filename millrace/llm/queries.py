@@ -82,8 +82,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality measures of each document, and whether it is kept once frequent lines are gone."""
-    return lines.judge(table(spark, sf_dir, "documents")).drop("host")
+    """Quality measures of each document, whether it is kept, and a digest of its text without frequent lines."""
+    judged = lines.judge(table(spark, sf_dir, "documents")).drop("host")
+    return judged.withColumn("clean_sha256", F.sha2("clean", 256)).drop("clean")
 
 
 @register

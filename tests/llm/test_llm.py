@@ -350,3 +350,18 @@ def test_frequent_lines_are_absolute_counts(spark, padding):
     found = {r.doc_id: r for r in lines.judge(frame(spark, texts).withColumn("source", F.lit("h"))).collect()}
     assert [found[i].removed_chars for i in range(12)] == [len(banner.replace(" ", ""))] * 12
     assert not any(found[i].removed_chars for i in range(12, len(texts)))
+
+
+@pytest.mark.parametrize("sent", [1 << 17, 0])
+def test_clean_texts_have_no_frequent_lines(spark, monkeypatch, sent):
+    monkeypatch.setattr(lines, "MOST_SENT", sent)
+    texts = [f"Menu\n{sentence(20, i)}\n\n  MENU \nPage {i}\n{sentence(15, 90 + i)}" for i in range(12)] + [None, "", "menu"]
+    docs = frame(spark, texts).withColumn("source", F.when(F.col("doc_id") != 14, "h"))
+    rows = {r.doc_id: r for r in lines.clean(docs).collect()}
+    assert lines.clean(docs).dtypes == docs.dtypes
+    for i in range(12):
+        assert rows[i].text == f"{sentence(20, i)}\n\n{sentence(15, 90 + i)}"
+    assert (rows[12].text, rows[13].text, rows[14].text) == (None, "", "menu") and rows[3].row == "clash"
+    judged = {r.doc_id: r for r in lines.judge(docs).collect()}
+    assert all(judged[i].clean == rows[i].text for i in rows)
+    assert judged[3].removed_chars == len("MenuMENUPage3")
