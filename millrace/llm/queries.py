@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html, kneser, lines, minhash, mixing, pieces, pii, secrets, toxicity, vectors
+from millrace.llm import html, kneser, lines, merkle, minhash, mixing, pieces, pii, secrets, toxicity, vectors
 from millrace.workload.registry import table
 
 QUERIES = {}
@@ -131,3 +131,82 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of each document, the limits of its language, and whether it is kept."""
     return kneser.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("node")
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each document, and whether it still verifies after tampering."""
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(odd, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.audit(table(spark, sf_dir, "documents"), tampered).drop("source", "path")
+
+
+def _merkle_field(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _merkle_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_merkle_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE marked AS (
+  -- crc32 by its definition: each byte of the decimal id, then eight shifts; the last bit is inverted
+  SELECT *, list_reduce(
+      flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: list_concat([CAST(unicode(c) AS BIGINT)], [256, 256, 256, 256, 256, 256, 256, 256]))),
+      lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END,
+      CAST(4294967295 AS BIGINT)) & 1 = 1 AS even
+  FROM documents),
+leaves AS (
+  SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS other FROM marked),
+digests AS (SELECT doc_id, source, {_merkle_leaf("text")} AS leaf, {_merkle_leaf("other")} AS changed FROM leaves),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM digests),
+low AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nth, count(*) OVER () AS sources
+  FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, nth AS pos, sources AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n),
+paths AS (
+  SELECT p.doc_id, p.source, p.pos AS place, u.lvl AS step,
+    coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < p.pos // CAST(pow(3, u.lvl) AS BIGINT)), '') AS before,
+    coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > p.pos // CAST(pow(3, u.lvl) AS BIGINT)), '') AS after
+  FROM placed p JOIN low u ON p.source IS NOT DISTINCT FROM u.source AND u.n > 1
+    AND u.pos // 3 = p.pos // CAST(pow(3, u.lvl + 1) AS BIGINT)
+  GROUP BY ALL
+  UNION ALL
+  SELECT p.doc_id, p.source, p.pos, 1000 + u.lvl,
+    coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.nth // CAST(pow(3, u.lvl) AS BIGINT)), ''),
+    coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.nth // CAST(pow(3, u.lvl) AS BIGINT)), '')
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+    JOIN high u ON u.n > 1 AND u.pos // 3 = s.nth // CAST(pow(3, u.lvl + 1) AS BIGINT)
+  GROUP BY ALL),
+whole AS (
+  SELECT source, place, list(before ORDER BY step) AS befores, list(after ORDER BY step) AS afters,
+    string_agg(before || after, '' ORDER BY step) AS siblings
+  FROM paths GROUP BY source, place),
+fold AS (
+  SELECT p.source, p.pos, 1 AS step, p.changed AS h, befores, afters FROM placed p
+    LEFT JOIN whole w ON w.place = p.pos AND w.source IS NOT DISTINCT FROM p.source
+  UNION ALL
+  SELECT source, pos, step + 1, sha256(befores[step] || h || afters[step]), befores, afters
+  FROM fold WHERE step <= len(befores))
+SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM high WHERE n = 1) AS root,
+  sha256(coalesce(w.siblings, '')) AS proof_sha256, f.h AS folded_root,
+  f.h = (SELECT h FROM high WHERE n = 1) AS verified
+FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN whole w ON w.place = p.pos AND w.source IS NOT DISTINCT FROM p.source
+  JOIN fold f ON f.pos = p.pos AND f.source IS NOT DISTINCT FROM p.source AND f.step > coalesce(len(f.befores), 0)
+"""
