@@ -52,10 +52,13 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, then for each word its first byte, the byte after its last, and its row."""
+def words(column: pa.Array, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, then for each word its first byte, the byte after its last, and its row.
+
+    `outside` marks the bytes that are in no word.
+    """
     data, at = raw(column)
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.zeros(len(data), bool)

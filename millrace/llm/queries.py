@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html, kneser, lines, merkle, minhash, mixing, pieces, pii, secrets, toxicity, vectors
+from millrace.llm import html, kneser, langid, lines, merkle, minhash, mixing, pieces, pii, search, secrets, toxicity, vectors
 from millrace.workload.registry import table
 
 QUERIES = {}
@@ -133,6 +133,12 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("node")
 
 
+@register
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned outside the held-out fold."""
+    return langid.classify(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 @register
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of each document, and whether it still verifies after tampering."""
@@ -210,3 +216,34 @@ FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
   LEFT JOIN whole w ON w.place = p.pos AND w.source IS NOT DISTINCT FROM p.source
   JOIN fold f ON f.pos = p.pos AND f.source IS NOT DISTINCT FROM p.source AND f.step > coalesce(len(f.befores), 0)
 """
+
+
+@register
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"""unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term"""
+
+ORACLES["op13_ranked_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS node, doc_id, text FROM documents),
+terms AS (SELECT node, {_TERMS} FROM docs),
+found AS (SELECT node, term, count(*) AS tf FROM terms GROUP BY node, term),
+lengths AS (SELECT node, CAST(sum(tf) AS BIGINT) AS n FROM found GROUP BY node),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found, whole GROUP BY term),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY item_id, term),
+scored AS (
+  SELECT item_id, node,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (node), whole
+  GROUP BY item_id, node)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN docs USING (node) WHERE score > 0
+QUALIFY rank <= 10
+"""
