@@ -6,9 +6,11 @@ probabilities; a forward algorithm gets it in one pass over the word. A text is
 its start. A character without a piece of its own is cut into the vocabulary's byte pieces.
 
 Training counts the words of all training documents per language (partial sums in tasks, one row for each
-different word afterwards) and runs ROUNDS of expectation-maximisation over this table: tasks add up the
-expected count of each piece by forward and backward sums, and only languages times pieces come to the
-driver. A language's probability before any word is its share of the training documents.
+different word afterwards). Expectation-maximisation runs over this table: tasks add up the expected count of
+each piece by forward and backward sums, and only languages times pieces come to the driver. The first
+ROUNDS - 1 rounds only find a start; they take, of each language, the FIRST_WORDS different words with the least
+hashes. The last round, whose counts are the model, takes all words. A language's probability before any word is
+its share of the training documents.
 
 Scoring reads whole texts in one scan. A task segments each different word once, for all languages together.
 The model, languages times pieces, is sent to all tasks; language codes are taken to be a small set.
@@ -22,7 +24,6 @@ id are predicted each. An empty table gives an empty result. Other columns are l
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,75 +38,101 @@ from millrace.workspace import stored
 
 FOLDS = 5
 ROUNDS = 3
+FIRST_WORDS = 50_000
 #: Added to the expected count of each piece.
 ADDED = 0.1
 UNKNOWN = "und"
 MARK = "▁"
 #: Different words that a task remembers, and words and bytes worked on at once.
 TASK_WORDS = 400_000
-SOME_WORDS, SOME_BYTES = 4_096, 1 << 18
+SOME_WORDS, SOME_BYTES = 16_384, 1 << 18
 
 
 class Vocabulary:
-    """The pieces of a model file: `pieces` has the number of each piece, and -1 for its other prefixes."""
+    """The pieces of a model file, and a trie of their bytes: `child[node, byte]` is 0 where no piece goes on."""
 
     def __init__(self, model: str):
         processor = load(model)
         self.size = processor.get_piece_size()
         self.pieces: dict[str, int] = {}
-        self.bytes = [0] * 256
+        self.bytes = np.zeros(256, np.int64)
         for i in range(self.size):
             if processor.is_byte(i):
                 self.bytes[int(processor.id_to_piece(i)[3:-1], 16)] = i
             elif not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)):
                 self.pieces[processor.id_to_piece(i)] = i
+        node: dict[bytes, int] = {b"": 1}
+        for piece in self.pieces:
+            coded = piece.encode()
+            for k in range(1, len(coded) + 1):
+                node.setdefault(coded[:k], len(node) + 1)
+        self.child = np.zeros((len(node) + 1, 256), np.uint16 if len(node) < 1 << 16 else np.uint32)
+        for coded, n in node.items():
+            if coded:
+                self.child[node[coded[:-1]], coded[-1]] = n
+        #: The piece that ends at a node, or -1.
+        self.ends = np.full(len(node) + 1, -1, np.int64)
+        for piece, i in self.pieces.items():
+            self.ends[node[piece.encode()]] = i
         self.longest = max((len(p.encode()) for p in self.pieces), default=1)
-        for piece in list(self.pieces):
-            for k in range(1, len(piece)):
-                self.pieces.setdefault(piece[:k], -1)
 
 
 class Lattice:
     """All pieces of some words by place: `word`, `start`, `end` (in bytes) and `piece` of each edge."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
-        found = [array("q") for _ in range(4)]
-        add = [x.append for x in found]
-        pieces = vocabulary.pieces
-        lengths = []
-        for w, text in enumerate(words):
-            marked = MARK + text
-            coded = [len(MARK.encode())] + ([1] * len(text) if text.isascii() else [len(c.encode()) for c in text])
-            at = [0, *np.cumsum(coded).tolist()]
-            lengths.append(at[-1])
-            for i, char in enumerate(marked):
-                if pieces.get(char, -1) < 0:
-                    for k, byte in enumerate(char.encode()):
-                        for put, value in zip(add, (w, at[i] + k, at[i] + k + 1, vocabulary.bytes[byte])):
-                            put(value)
-                for j in range(i + 1, len(marked) + 1):
-                    piece = pieces.get(marked[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        for put, value in zip(add, (w, at[i], at[j], piece)):
-                            put(value)
-        self.word, self.start, self.end, self.piece = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in found)
-        self.lengths = np.array(lengths, np.int64)
-
-    def by(self, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each place in ascending order: the edges there, by word, and where each word's begin."""
-        order = np.lexsort((self.word, place))
-        cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            edges = order[a:b]
-            yield int(place[edges[0]]), edges, np.flatnonzero(np.diff(self.word[edges], prepend=-1))
+        coded = [(MARK + w).encode() for w in words]
+        self.lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        word = np.repeat(np.arange(len(coded)), self.lengths)
+        first = np.cumsum(self.lengths) - self.lengths
+        last = np.repeat(first + self.lengths, self.lengths)
+        chars = np.flatnonzero((data & 0xC0) != 0x80)
+        size = np.diff(chars, append=len(data))
+        unknown = np.ones(len(data), bool)
+        width = np.zeros(len(data), np.int64)
+        width[chars] = size
+        at, node, depth = chars, np.ones(len(chars), np.int64), 0
+        starts, ends, pieces = [], [], []
+        while len(at):  # all places go down the trie together
+            there = at + depth < last[at]
+            at, node = at[there], node[there]
+            node = vocabulary.child[node, data[at + depth]]
+            at, node, depth = at[node > 0], node[node > 0], depth + 1
+            piece = vocabulary.ends[node]
+            full = piece >= 0
+            starts.append(at[full])
+            ends.append(at[full] + depth)
+            pieces.append(piece[full])
+            unknown[at[full & (width[at] == depth)]] = False
+        alone = np.repeat(unknown[chars], size)  # bytes of characters without a piece of their own
+        single = np.flatnonzero(alone)
+        start = np.concatenate([*starts, single])
+        end = np.concatenate([*ends, single + 1])
+        self.piece = np.concatenate([*pieces, vocabulary.bytes[data[single]]])
+        self.word = word[start]
+        self.start, self.end = start - first[self.word], end - first[self.word]
+
+    def by(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, slice, np.ndarray]]]:
+        """The order of the edges by place and word, the words in this order, and for each place its edges
+        there and where each word's begin."""
+        order = np.argsort(place * len(self.lengths) + self.word, kind="stable")
+        place, word = place[order], self.word[order]
+        cuts = np.flatnonzero(np.diff(place, prepend=-1)).tolist()
+        begins = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        parts = np.searchsorted(begins, [*cuts, len(order)]).tolist()
+
+        def places() -> Iterator[tuple[int, slice, np.ndarray]]:
+            for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(order)])):
+                yield int(place[a]), slice(a, b), begins[parts[i] : parts[i + 1]] - a
+
+        return order, word, places()
 
 
 def _log_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The logarithm of the sum of exp(values) of each run of rows."""
     most = np.maximum.reduceat(values, first)
-    sizes = np.diff([*first, len(values)])
+    sizes = np.diff(first, append=len(values))
     return most + np.log(np.add.reduceat(np.exp(values - np.repeat(most, sizes, axis=0)), first))
 
 
@@ -114,13 +141,16 @@ def forward(lattice: Lattice, logp: np.ndarray, longest: int) -> np.ndarray:
 
     Only the last `longest` places of each word are kept, so a word of any length costs the same memory.
     """
-    width = longest + 1
-    alpha = np.zeros((len(lattice.lengths), width, logp.shape[1]))
-    found = np.zeros((len(lattice.lengths), logp.shape[1]))
-    for end, edges, first in lattice.by(lattice.end):
-        values = alpha[lattice.word[edges], lattice.start[edges] % width] + logp[lattice.piece[edges]]
-        words, sums = lattice.word[edges[first]], _log_sums(values, first)
-        alpha[words, end % width] = sums
+    width, n = longest + 1, len(lattice.lengths)
+    alpha = np.zeros((n * width, logp.shape[1]))
+    found = np.zeros((n, logp.shape[1]))
+    order, word, places = lattice.by(lattice.end)
+    before = lattice.start[order] % width * n + word
+    piece = lattice.piece[order]
+    for end, edges, first in places:
+        sums = _log_sums(alpha[before[edges]] + logp[piece[edges]], first)
+        words = word[edges][first]
+        alpha[end % width * n + words] = sums
         last = lattice.lengths[words] == end
         found[words[last]] = sums[last]
     return found
@@ -132,11 +162,12 @@ def expected(lattice: Lattice, logp: np.ndarray, times: np.ndarray) -> np.ndarra
     start, end = begin[lattice.word] + lattice.start, begin[lattice.word] + lattice.end
     size = int((lattice.lengths + 1).sum())
     alpha, beta = np.zeros(size), np.zeros(size)
-    for _, edges, first in lattice.by(lattice.end):
-        alpha[end[edges[first]]] = _log_sums(alpha[start[edges]] + logp[edges], first)
     back = int(lattice.lengths.max(initial=0))
-    for _, edges, first in lattice.by(back - lattice.start):
-        beta[start[edges[first]]] = _log_sums(beta[end[edges]] + logp[edges], first)
+    for sums, place, source, target in ((alpha, lattice.end, start, end), (beta, back - lattice.start, end, start)):
+        order, _, places = lattice.by(place)
+        source, target, value = source[order], target[order], logp[order]
+        for _, edges, first in places:
+            sums[target[edges][first]] = _log_sums(sums[source[edges]] + value[edges], first)
     whole = beta[begin][lattice.word]
     return np.exp(alpha[start] + logp + beta[end] - whole) * times[lattice.word]
 
@@ -235,8 +266,12 @@ def fit(docs: DataFrame, model: str, rounds: int = ROUNDS) -> Model | None:
     langs = sorted(shares)
     size = Vocabulary(model).size
     logp = np.full((size, len(langs)), -np.log(size))
-    for _ in range(rounds):
-        counts = piece_counts(table, langs, logp, model) + ADDED
+    total = table.groupBy("lang").count().collect()
+    share = {r.lang: min(1.0, FIRST_WORDS / r["count"]) for r in total}
+    bound = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(share[lang] * 2**62))])[F.col("lang")]
+    some_words = table.where(F.shiftrightunsigned(F.xxhash64("word"), 2) <= bound)
+    for k in range(rounds):
+        counts = piece_counts(table if k == rounds - 1 else some_words, langs, logp, model) + ADDED
         logp = np.log(counts / counts.sum(axis=0))
     prior = np.array([shares[x] for x in langs], float)
     return Model(langs, logp, np.log(prior / prior.sum()))
@@ -247,7 +282,7 @@ class Words:
 
     def __init__(self, model: Model, vocabulary: Vocabulary):
         self.model, self.vocabulary = model, vocabulary
-        self.most = max(64, 4 * SOME_WORDS // len(model.langs))
+        self.most = max(64, 8 * SOME_WORDS // len(model.langs))
         self.clear()
 
     def clear(self) -> None:

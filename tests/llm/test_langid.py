@@ -25,7 +25,7 @@ def cuts(marked, vocabulary):
     if not marked:
         return [[]]
     found = []
-    if vocabulary.pieces.get(marked[0], -1) < 0:
+    if marked[0] not in vocabulary.pieces:
         found += [[vocabulary.bytes[b] for b in marked[0].encode()] + rest for rest in cuts(marked[1:], vocabulary)]
     for k in range(1, len(marked) + 1):
         piece = vocabulary.pieces.get(marked[:k], -1)
