@@ -53,6 +53,14 @@ def _named(registry: dict[str, Any], name: str, what: str):
     return registry[name]
 
 
+def named_statistic(name: str) -> Statistic:
+    return _named(_statistics, name, "statistic")
+
+
+def named_check(name: str) -> Check:
+    return _named(_checks, name, "check")
+
+
 def _merged(states: Iterable[bytes], merge: Callable[[Any, Any], Any]) -> bytes:
     return pickle.dumps(reduce(merge, map(pickle.loads, states)))
 
@@ -83,7 +91,7 @@ def _partial_statistic(df: DataFrame, column: str, statistic: PartialStatistic)
 
 def custom_statistic(df: DataFrame, column: str, name: str) -> DataFrame:
     """One row (column, data) with the statistic as text."""
-    statistic = _named(_statistics, name, "statistic")
+    statistic = named_statistic(name)
     if isinstance(statistic, PartialStatistic):
         found = _partial_statistic(df, column, statistic)
     else:
@@ -93,7 +101,7 @@ def custom_statistic(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def custom_check(df: DataFrame, column: str, name: str, data: Column) -> DataFrame:
     """One row (column, is_pass, log) from the registered check against the stored `data`."""
-    check = _named(_checks, name, "check")
+    check = named_check(name)
     verdict = df.agg(check(quoted(column), data).alias("verdict"))
     return verdict.select(
         F.lit(column).alias("column"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, quoted
-from millrace.operators.custom import custom_check, custom_statistic
+from millrace.operators.custom import PartialStatistic, custom_statistic, named_check, named_statistic
 from millrace.operators.incremental import rows_above_key, rows_after, size_probe, stored_mark
-from millrace.operators.profile import category_counts, category_set, numeric_profile, numeric_shape
+from millrace.operators.profile import category_counts, profile_of
+from millrace.operators.states import category_counts_of, custom_of, deciles, number_profiles, scan, size_of
 from millrace.plans.quality import QualitySpec
 
 NEAR, FAR = 3, 5  # fixed values: deviations of the two standard bounds
@@ -112,8 +113,13 @@ def drifting_rows(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
 
 def check_categories(df: DataFrame, columns: Sequence[str], known: DataFrame) -> DataFrame:
     """One row per column: how many rows and values are new; any new value fails the column."""
+    return category_verdicts(category_counts(df, columns), known)
+
+
+def category_verdicts(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """The same from counts (column, value, rows)."""
     seen = known.select("column", "value", F.lit(True).alias("seen"))
-    joined = category_counts(df, columns).join(seen, ["column", "value"], "left")
+    joined = counts.join(seen, ["column", "value"], "left")
     unseen = F.col("seen").isNull()
     return joined.groupBy("column").agg(
         F.sum("rows").alias("rows"),
@@ -123,17 +129,53 @@ def check_categories(df: DataFrame, columns: Sequence[str], known: DataFrame) ->
     )
 
 
+def number_verdicts(states: DataFrame, baseline: DataFrame, moments: int = 0) -> DataFrame:
+    """`check_numbers` and the shape of the rows, from scanned states."""
+    entry = F.struct(F.col("mean").isNotNull().alias("known"), "mean", "deviation", "bound", "multiplier")
+    bounds = baseline.agg(F.map_from_entries(F.collect_list(F.struct("column", entry)))).scalar()
+    b, v = bounds[F.col("column")], F.col("value")
+    found = number_profiles(states, moments, {
+        "beyond_3": beyond(v, b["mean"], b["deviation"], F.lit(NEAR)),
+        "beyond_5": beyond(v, b["mean"], b["deviation"], F.lit(FAR)),
+        "beyond_custom": beyond(v, b["mean"], b["deviation"], b["multiplier"]),
+    })
+    reason = F.when(~F.coalesce(b["known"], F.lit(False)), NO_BASELINE).when(F.col("numbers") == 0, NO_NUMBERS)
+    verdict = numeric_passes(F.col("rows"), F.col("beyond_3"), F.col("beyond_custom"), b["bound"])
+    return found.join(deciles(states), "column", "left").select(
+        "column",
+        "rows",
+        F.bround("mean").cast("bigint").alias("mean"),
+        F.bround(F.coalesce("deviation", F.lit(0.0))).cast("bigint").alias("deviation"),
+        "min",
+        "max",
+        "beyond_3",
+        "beyond_5",
+        F.when(b["bound"].isNotNull(), F.col("beyond_custom")).alias("beyond_custom"),
+        (reason.isNull() & verdict).alias("is_pass"),
+        reason.alias("reason"),
+        "percentiles",
+        "moments",
+    )
+
+
 def take_baseline(df: DataFrame, spec: QualitySpec) -> dict[str, DataFrame]:
-    """The three baseline tables of a task: numbers, categories and custom statistics."""
+    """The three baseline tables of a task: numbers, categories and custom statistics.
+
+    The rows are scanned once, and once more for each statistic that is written in Python.
+    """
     spec = spec.resolved(df.columns)
+    statistics = {c: named_statistic(names.statistic) for c, names in spec.custom.items()}
+    inline = {c: _as_text(s) for c, s in statistics.items() if not isinstance(s, PartialStatistic)}
+    states = scan(df, spec.numeric, spec.category, inline)
     tables: dict[str, DataFrame] = {}
     if spec.numeric:
-        profile = numeric_profile(df, spec.numeric, spec.chebyshev)
-        tables["numbers"] = profile.join(numeric_shape(df, spec.numeric, spec.moments), "column", "left")
+        tables["numbers"] = profile_of(states, spec.chebyshev, spec.moments)
     if spec.category:
-        tables["categories"] = category_set(df, spec.category)
+        known = category_counts_of(states).where(F.col("value").isNotNull())
+        tables["categories"] = known.select("column", "value")
     if spec.custom:
-        parts = [custom_statistic(df, c, names.statistic) for c, names in spec.custom.items()]
+        parts = [found.withColumnRenamed("found", "data") for found in custom_of(states, list(inline))]
+        parts += [custom_statistic(df, c, spec.custom[c].statistic) for c in statistics if c not in inline]
         custom = parts[0]
         for part in parts[1:]:
             custom = custom.unionByName(part)
@@ -141,17 +183,31 @@ def take_baseline(df: DataFrame, spec: QualitySpec) -> dict[str, DataFrame]:
     return tables
 
 
-def _details(df: DataFrame, spec: QualitySpec, baseline: dict[str, DataFrame]) -> DataFrame:
+def _as_text(statistic):
+    return lambda column: statistic(column).cast("string")
+
+
+def _checks(spec: QualitySpec, baseline: dict[str, DataFrame]) -> dict[str, Callable[[Column], Column]]:
+    """The custom checks as aggregates, with their stored statistics as literals (one for each column)."""
+    if not spec.custom:
+        return {}
+    data = {r.column: r.data for r in baseline["custom"].where(F.col("column").isin(list(spec.custom))).collect()}
+
+    def check(column: str) -> Callable[[Column], Column]:
+        return lambda c: named_check(spec.custom[column].check)(c, F.lit(data.get(column)).cast("string"))
+
+    return {c: check(c) for c in spec.custom}
+
+
+def _details(states: DataFrame, spec: QualitySpec, baseline: dict[str, DataFrame]) -> DataFrame:
     parts = []
     if spec.numeric:
-        found = check_numbers(df, spec.numeric, baseline["numbers"])
-        found = found.join(numeric_shape(df, spec.numeric, spec.moments), "column", "left")
-        parts.append(_detail(found, "num"))
+        parts.append(_detail(number_verdicts(states, baseline["numbers"], spec.moments), "num"))
     if spec.category:
-        parts.append(_detail(check_categories(df, spec.category, baseline["categories"]), "category"))
-    for c, names in spec.custom.items():
-        stored = baseline["custom"].where(F.col("column") == c).select("data").scalar()
-        parts.append(_detail(custom_check(df, c, names.check, stored), "custom"))
+        parts.append(_detail(category_verdicts(category_counts_of(states), baseline["categories"]), "category"))
+    for found in custom_of(states, list(spec.custom)):
+        verdict = found.select("column", F.col("found.pass").alias("is_pass"), F.col("found.log").alias("log"))
+        parts.append(_detail(verdict, "custom"))
     if not parts:
         raise ValueError(f"task {spec.task_id} checks no column")
     out = parts[0]
@@ -180,11 +236,13 @@ def quality_report(
 ) -> DataFrame:
     """One row for a run over the new rows: verdict, size, key range and details per column.
 
+    The new rows are scanned once, here; the report is made from the stored counts of their values.
     Without new rows the run is not valid and says so.
     """
     spec = spec.resolved(df.columns)
-    rows = new_rows(df, spec)
-    details = _details(rows, spec, baseline)
+    key = spec.key or spec.ts
+    states = scan(new_rows(df, spec), spec.numeric, spec.category, _checks(spec, baseline), key)
+    details = _details(states, spec, baseline)
     entry = F.struct("column", F.struct("data_type", "is_pass", "detail"))
     summary = details.agg(
         F.struct(
@@ -193,13 +251,9 @@ def quality_report(
             F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("detail"),
         ).alias("s")
     ).scalar()
-    probe = size_probe(rows, spec.key, spec.ts)
     filled = F.col("row_count") > 0
-    key_range = [
-        (F.col(c).cast("string") if c in probe.columns else F.lit(None).cast("string")).alias(c)
-        for c in ("key_min", "key_max")
-    ]
-    return probe.select(
+    key_range = [F.col(c).cast("string").alias(c) for c in ("key_min", "key_max")]
+    return size_of(states).select(
         F.lit(spec.task_id).alias("task_id"),
         F.lit(spec.name).alias("task_name"),
         F.lit(True).alias("task_status"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import as_double, quoted
-from millrace.operators.quantiles import exact_quantiles
+from millrace.operators.moments import moment_state, moments_of
+from millrace.operators.states import deciles, number_profiles
 from millrace.plans.quality import chebyshev_multiplier
 
 
@@ -55,35 +57,29 @@ def numeric_profile(
 
 
 def central_moments(df: DataFrame, columns: Sequence[str], highest: int) -> DataFrame:
-    """Rows (column, order, moment) with the biased central moments 3..highest, in two passes."""
-    orders = range(3, highest + 1)
-    means = df.agg(F.struct(*[F.avg(as_double(quoted(c))).alias(f"m{i}") for i, c in enumerate(columns)]).alias("m"))
-    centre = means.scalar()
-    powers = [
-        F.avg(F.pow(as_double(quoted(c)) - centre.getField(f"m{i}"), F.lit(k))).alias(f"m{i}_{k}")
-        for i, c in enumerate(columns)
-        for k in orders
-    ]
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.lit(k).alias("order"), F.col(f"m{i}_{k}").alias("moment"))
-        for i, c in enumerate(columns)
-        for k in orders
-    ]
-    return df.agg(*powers).select(F.explode(F.array(*rows)).alias("m")).select("m.*")
-
-
-def numeric_shape(df: DataFrame, columns: Sequence[str], moments: int = 0) -> DataFrame:
-    """Rows (column, percentiles, moments): eleven deciles to 2 decimals, and moments by order."""
-    deciles = exact_quantiles(df, columns).groupBy("column").agg(
-        F.array_sort(F.collect_list(F.struct("probability", F.round("quantile", 2).alias("q")))).alias("p")
-    )
-    shape = deciles.select("column", F.col("p.q").alias("percentiles"))
-    if moments < 3:
-        return shape.withColumn("moments", F.lit(None).cast("map<int,double>"))
-    found = central_moments(df, columns, moments).groupBy("column").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("order", "moment")))).alias("moments")
+    """Rows (column, order, moment) with the biased central moments 3..highest, from one scan."""
+    return moments_of(moment_state(df, columns, highest), columns, highest)
+
+
+def profile_of(states: DataFrame, chebyshev: Mapping[str, float] | None = None, moments: int = 0) -> DataFrame:
+    """`numeric_profile` and the shape (percentiles, moments) of the numeric columns, from scanned states."""
+    shares = chebyshev or {}
+    kinds = "map<string,double>"
+    bounds = F.from_json(F.lit(json.dumps(shares)), kinds)
+    multipliers = F.from_json(F.lit(json.dumps({c: chebyshev_multiplier(s) for c, s in shares.items() if s})), kinds)
+    found = number_profiles(states, moments).join(deciles(states), "column", "left")
+    return found.select(
+        "column",
+        F.col("numbers").alias("rows"),
+        F.bround("mean").cast("bigint").alias("mean"),
+        F.bround(F.coalesce("deviation", F.lit(0.0))).cast("bigint").alias("deviation"),
+        "min",
+        "max",
+        bounds[F.col("column")].alias("bound"),
+        multipliers[F.col("column")].alias("multiplier"),
+        "percentiles",
+        "moments",
     )
-    return shape.join(found, "column", "left")
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -22,6 +22,7 @@ from millrace.operators.detect import (
     take_baseline,
     unseen_values,
 )
+from millrace.operators.number_store import NumberStore
 from millrace.operators.profile import category_set, central_moments, numeric_profile
 from millrace.operators.quantiles import exact_quantiles
 from millrace.plans.quality import QualitySpec
@@ -92,6 +93,49 @@ def profile_deciles_distributed(spark, sf_dir):
     return _deciles(spark, sf_dir, ["o_totalprice"]).unionByName(_deciles(spark, sf_dir, ["o_custkey"]))
 
 
+_FOLDED = ("value", "user_id")
+
+
+def _folded_store(spark, sf_dir):
+    """The state of two batches; the second one comes twice, as after a crash."""
+    store = NumberStore(spark, fresh_dir(spark, "numbers"))
+    store.add(baseline_rows(spark, sf_dir), _FOLDED, "old")
+    for _ in range(2):
+        store.add(checked_rows(spark, sf_dir), _FOLDED, "new")
+    return store
+
+
+@query(
+    """
+    SELECT c AS "column", p / 10.0::DOUBLE AS probability, round(q[p + 1], 4) AS quantile
+    FROM (SELECT 'value' AS c, quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) AS q FROM events
+          UNION ALL
+          SELECT 'user_id', quantile_cont(CAST(user_id AS DOUBLE), [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) FROM events),
+         (SELECT CAST(range AS INTEGER) AS p FROM range(11))
+    """
+)
+def deciles_folded(spark, sf_dir):
+    """Deciles of all rows from the stored state of their parts."""
+    return _folded_store(spark, sf_dir).quantiles().withColumn("quantile", F.round("quantile", 4))
+
+
+@query(
+    """
+    WITH m AS (SELECT avg(value) AS mv, avg(user_id) AS mu FROM events)
+    SELECT 'value' AS "column", 3 AS "order", round(avg(pow(value - mv, 3)) / pow(stddev_pop(value), 3), 6) AS moment FROM events, m
+    UNION ALL SELECT 'value', 4, round(avg(pow(value - mv, 4)) / pow(stddev_pop(value), 4), 6) FROM events, m
+    UNION ALL SELECT 'user_id', 3, round(avg(pow(user_id - mu, 3)) / pow(stddev_pop(user_id), 3), 6) FROM events, m
+    UNION ALL SELECT 'user_id', 4, round(avg(pow(user_id - mu, 4)) / pow(stddev_pop(user_id), 4), 6) FROM events, m
+    """
+)
+def moments_folded(spark, sf_dir):
+    """Skewness and kurtosis of all rows from the stored state of their parts."""
+    found = _folded_store(spark, sf_dir).moments(_FOLDED)
+    widths = table(spark, sf_dir, "events").agg(*[F.stddev_pop(c).alias(c) for c in _FOLDED]).unpivot([], list(_FOLDED), "column", "width")
+    scaled = F.round(F.col("moment") / F.pow("width", "order"), 6)
+    return found.join(widths, "column").select("column", "order", scaled.alias("moment"))
+
+
 @query(
     """
     WITH m AS (SELECT avg(l_quantity) AS mq, avg(l_discount) AS md FROM lineitem)

@@ -142,3 +142,48 @@ def test_tasks_in_one_results_table_have_their_own_marks(spark):
         assert run_quality(spark, df.where("v < 5" if task == "a" else "v < 2"), spec, base, results) == "profiled"
         assert run_quality(spark, df, spec, base, results) == "checked"
     assert rows(spark.read.parquet(results), "task_id", "sample_num", "iteration") == [("a", 4, 1), ("b", 7, 1)]
+
+
+def test_report_scans_the_new_rows_once(spark, sf_dir, monkeypatch):
+    """All checks come from one scan; the report itself reads the stored counts only."""
+    from millrace.operators import states
+
+    plans = []
+    plain = states.stored
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    register_statistic("peak", F.max)
+    register_check("rate", lambda c, d: F.struct((F.sum(c) / F.count(c) < d.cast("double")).alias("pass"), d.alias("log")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    spec = QualitySpec("1", key="event_id", numeric=("value", "user_id"), category=("event_type",), moments=4,
+                       custom={"ts_hour": CustomCheck("peak", "rate")})
+    events = events.withColumn("ts_hour", F.hour("ts"))
+    baseline = take_baseline(events, spec)
+    monkeypatch.setattr(states, "stored", recorded)
+    report = quality_report(events, spec, baseline)
+    assert [p.count("events.parquet") for p in plans] == [1] and plans[0].count("FileScan") == 1
+    assert "events.parquet" not in report._jdf.queryExecution().executedPlan().toString()
+    row = report.first()
+    assert row.validation_result is True and all(c in row.detail for c in ("value", "user_id", "event_type", "ts_hour"))
+
+
+def test_report_agrees_with_the_single_checks(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("value", F.expr("IF(event_id % 50 = 0, NULL, value)"))
+    old, new = events.where("ts < '2024-01-05'"), events.where("ts >= '2024-01-05'")
+    spec = QualitySpec("1", numeric=("value", "user_id"), chebyshev={"value": 0.05})
+    baseline = take_baseline(old, spec)
+    plain = numeric_profile(old, ["value", "user_id"], {"value": 0.05})
+    names = ["column", "rows", "mean", "deviation", "min", "max", "bound", "multiplier"]
+    assert rows(baseline["numbers"], *names) == rows(plain, *names)
+    from millrace.operators.detect import number_verdicts
+    from millrace.operators.states import scan
+
+    found = number_verdicts(scan(new, spec.numeric), baseline["numbers"])
+    single = check_numbers(new, spec.numeric, baseline["numbers"])
+    names = ["column", "rows", "mean", "deviation", "min", "max", "beyond_3", "beyond_5", "beyond_custom", "is_pass", "reason"]
+    assert rows(found, *names) == rows(single, *names)
+    shape = {r.column: r.percentiles for r in found.collect()}
+    assert shape["user_id"][0] == new.agg(F.min("user_id")).first()[0] and len(shape["value"]) == 11

@@ -67,7 +67,9 @@ def test_flatten_json(documents):
 def test_flatten_struct(documents):
     schema = "id int, o struct<x: int, s: string>, l array<int>, t string"
     typed = documents.selectExpr(f"from_json(doc, '{schema}') AS d").select("d.*")
-    assert rows(flatten_struct(typed, ["o.x", "o.s", "l", "t", "gone"])) == [(1, "u", "[1,2]", "", ""), (2, None, None, "text", "")]
+    assert rows(flatten_struct(typed, ["o.x", "o.s", "l", "t", "gone"])) == [(1, "u", "[1,2]", "", ""), (2, None, "", "text", "")]
+    typed = typed.selectExpr("id", "IF(id = 1, o, NULL) AS o", "IF(id = 1, map('k', 1), NULL) AS m")
+    assert [tuple(r) for r in flatten_struct(typed.orderBy("id"), ["o", "m", "o.x"]).collect()][1] == ("", "", None)
     with pytest.raises(ValueError):
         flatten_struct(typed, ["o.gone"])
 
@@ -186,6 +188,9 @@ def test_shared_root_comes_from_the_session(spark, tmp_path):
     class Session:
         conf = Conf({"spark.checkpoint.dir": "hdfs://x/dir/", "spark.master": "yarn"})
 
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
     assert shared_root(Session()) == "hdfs://x/dir"
     del Session.conf["spark.checkpoint.dir"]
     with pytest.raises(ValueError):
