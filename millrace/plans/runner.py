@@ -11,12 +11,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.functions.columns import rename_columns
+from millrace.functions.columns import quoted, rename_columns
 from millrace.functions.steps import apply_steps
-from millrace.operators.joins import left_join
+from millrace.operators.joins import hot_keys, left_join
 from millrace.operators.lineage import EVENT_SCHEMA
 from millrace.plans.naming import plan_names
-from millrace.plans.spec import ColumnSpec, Source, TaskSpec
+from millrace.plans.spec import ColumnSpec, MergeKeys, Source, TaskSpec
 from millrace.sources.sinks import store_result
 
 Resolver = Callable[[Source], DataFrame]
@@ -137,8 +137,27 @@ def data_node(source: Source) -> dict[str, str]:
     }
 
 
-def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> TaskRun:
-    """Build the whole task as one logical plan; nothing runs until the result is written."""
+#: Left sides that Catalyst takes for larger are searched for hot keys before they are joined.
+HOT_BYTES = 8 << 30
+
+
+def _size(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes of a plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _hot(left: DataFrame, right: DataFrame, keys: MergeKeys, least: int) -> list[int]:
+    if _size(left.select(*map(quoted, keys.left))) < least:
+        return []
+    return hot_keys(left, right, keys.left, keys.right)
+
+
+def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False, hot_bytes: int = HOT_BYTES) -> TaskRun:
+    """Build the whole task as one logical plan; nothing runs until the result is written.
+
+    Except for the search for hot keys: a left side whose keys are estimated at `hot_bytes` or more is read
+    once, keys only, before its join is planned. Smaller joins are left to adaptive execution.
+    """
     recorder = _Recorder(spec.user)
 
     def load(source: Source) -> tuple[DataFrame, str]:
@@ -160,13 +179,11 @@ def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> Ta
             current.columns, right.columns, keys.left, keys.right, columns, counters
         )
         columns, counters = names.specs, names.counters
-        current = left_join(
-            current.withColumnsRenamed(names.left),
-            right.withColumnsRenamed(names.right),
-            keys.left,
-            keys.right,
-            null_safe,
-        )
+        left, right = current.withColumnsRenamed(names.left), right.withColumnsRenamed(names.right)
+        hot = _hot(left, right, keys, hot_bytes)
+        # a right side that may be an aggregate over the keys needs a shuffle of its own for a left key to be split
+        spread = bool(source.functions or source.specials or "group by" in source.statement.lower())
+        current = left_join(left, right, keys.left, keys.right, null_safe, spread, hot)
     if spec.merges:
         runs = [recorder.add(MERGE_ACTION, runs=runs)]
     if any(c.renames for c in columns):
@@ -176,5 +193,5 @@ def plan_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> Ta
     return TaskRun(spec, current, columns, recorder)
 
 
-def run_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False) -> DataFrame:
-    return plan_task(spec, resolver, null_safe).result
+def run_task(spec: TaskSpec, resolver: Resolver, null_safe: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    return plan_task(spec, resolver, null_safe, hot_bytes).result

@@ -200,3 +200,29 @@ def step_order(spark, sf_dir):
     }
     result = run_task(_task([_source("orders", functions=functions)], []), _resolver(spark, sf_dir, "orders"))
     return result.select("o_orderkey", F.round("doubled", 2).alias("doubled"), F.round("doubled_total", 2).alias("doubled_total"))
+
+
+@query(
+    """
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+                 CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 3 = 1 THEN l_suppkey END AS suppkey FROM lineitem),
+         t AS (SELECT ps, count(*) AS parts FROM (SELECT l_suppkey AS ps, l_partkey FROM lineitem GROUP BY ALL) GROUP BY ps)
+    SELECT l_orderkey, l_linenumber, l_quantity, l_discount, CAST(suppkey AS DOUBLE) AS suppkey, s_name,
+           CAST(parts AS DOUBLE) AS parts
+    FROM l LEFT JOIN supplier ON suppkey = s_suppkey LEFT JOIN t ON suppkey = ps
+    """
+)
+def task_hot_key(spark, sf_dir):
+    """One supplier has a third of the lines, and another third has none; both joins are by this key."""
+    key = "CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 3 = 1 THEN l_suppkey END AS suppkey"
+    parts = "SELECT ps, count(*) AS parts FROM (SELECT DISTINCT l_suppkey AS ps, l_partkey FROM lineitem) GROUP BY ps"
+    spec = _task(
+        [
+            _source("lineitem", f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, {key} FROM lineitem"),
+            _source("supplier", "SELECT s_suppkey, s_name FROM supplier"),
+            _source("lineitem", parts),
+        ],
+        [_merge("suppkey", "s_suppkey"), _merge("suppkey", "ps")],
+    )
+    result = run_task(spec, _resolver(spark, sf_dir, "lineitem", "supplier"), hot_bytes=0)
+    return result.withColumns({c: F.col(c).cast("double") for c in ("suppkey", "parts")})

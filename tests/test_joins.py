@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
-from millrace.operators.joins import left_join
+from millrace.operators.joins import hot_keys, left_join
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,31 @@ def test_unique_right_keys_keep_the_row_count(spark, keys):
     left = spark.createDataFrame([(k,) for k in keys], "k int")
     right = spark.createDataFrame([(i, str(i)) for i in range(4)], "id int, v string")
     assert left_join(left, right, ["k"], ["id"]).count() == len(keys)
+
+
+def test_hot_keys_are_found_and_never_missed(spark):
+    left = spark.range(0, 30_000, 1, 9).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 10 = 1 THEN NULL ELSE id END AS k", "id AS v")
+    right = spark.range(20).selectExpr("cast(id AS double) AS id", "id AS r")
+    hashes = {k: left.select(F.xxhash64(F.lit(k).cast("long"))).first()[0] for k in (7, None)}
+    found = hot_keys(left, right, ["k"], ["id"], share=1 / 20)
+    assert set(hashes.values()) <= set(found) and len(found) <= 20
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_salting_changes_no_rows(spark, null_safe):
+    left = spark.createDataFrame(
+        [(k, v, {"m": 1}) for k in (1, 2, None) for v in ("a", "a", None) for _ in range(5)] + [(5, "z", None)],
+        "k int, __v string, m map<string,int>",
+    )
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (None, "n"), (9, "q")], "id string, r string")
+    hot = hot_keys(left, right, ["k"], ["id"], share=1 / 4)
+    plain = left_join(left, right, ["k"], ["id"], null_safe)
+    salted = left_join(left, right, ["k"], ["id"], null_safe, hot=hot, salts=5)
+    assert hot and salted.columns == plain.columns and rows(salted) == rows(plain)
+
+
+def test_an_array_of_hot_keys_of_two_columns(spark):
+    left = spark.range(900).selectExpr("IF(id % 2 = 0, 1, id) AS a", "IF(id % 2 = 0, 'x', 'y') AS b", "id")
+    right = spark.range(900).selectExpr("id AS c", "IF(id = 1, 'x', 'y') AS d", "id * 2 AS r")
+    hot = hot_keys(left, right, ["a", "b"], ["c", "d"], share=1 / 4)
+    assert rows(left_join(left, right, ["a", "b"], ["c", "d"], hot=hot)) == rows(left_join(left, right, ["a", "b"], ["c", "d"]))

@@ -1,6 +1,7 @@
 """What the plans must look like to hold at scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.operators.incremental import hash_sample, rows_above_key
@@ -90,3 +91,39 @@ def test_skewed_rows_are_split(spark, hot):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_a_hot_key_of_a_task_is_spread_over_tasks(spark):
+    """One key has a third of the rows, in many copies, and no key a fifth: without adaptive splits, each task
+    of the join gets its fair share."""
+    from millrace.plans.runner import run_task
+    from millrace.plans.spec import MergeKeys, Source, TaskSpec
+
+    orders = spark.range(0, 120_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END AS k", "id % 3 AS v"
+    )
+    other = spark.range(50_000).selectExpr("id AS n", "id * 2 AS r")
+    spec = TaskSpec("1", "t", (Source("mysql", table_name="orders"), Source("mysql", table_name="other")), (MergeKeys(("k",), ("n",)),))
+    tables = {"orders": orders, "other": other}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    shares = {}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for name, least in (("plain", 1 << 60), ("salted", 0)):
+            joined = run_task(spec, lambda source: tables[source.table_name], hot_bytes=least)
+            assert name == "plain" or "__salt" in plan(joined)
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 120_000
+            shares[name] = max(sizes) / 120_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert shares["plain"] > 0.33 and shares["salted"] < 0.25  # eight tasks
+
+
+def test_small_tasks_are_not_searched_for_hot_keys(spark, sf_dir, monkeypatch):
+    from millrace.plans import runner
+
+    monkeypatch.setattr(runner, "hot_keys", lambda *_: pytest.fail("read at plan time"))
+    entry.queries()["task_orders"](spark, sf_dir)
