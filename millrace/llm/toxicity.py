@@ -9,8 +9,10 @@ class-prior-corrected risk
 whose second part, the risk on negatives, is kept from going below zero: a step that finds it
 negative climbs back instead. An L1 term leaves words without evidence at zero.
 
-Fitting uses bounded samples, MOST_POSITIVE and MOST_UNLABELLED rows with the least hashes of their
-id; the prior comes from all labelled rows. Scoring runs over every whole text, in tasks that hold
+Fitting uses bounded samples: MOST_POSITIVE and MOST_UNLABELLED different rows with the least hashes of
+id and text, however many rows an id has. Only ids are shuffled to find them. The model keeps the Fit.features
+n-grams of 4 to 6 letters, or whole words, that tell the samples apart best. The prior comes from all labelled rows and is
+kept between LEAST_PRIOR and MOST_PRIOR. Scoring runs over every whole text and whole word, in tasks that hold
 the weights (DIMENSIONS floats) and a bounded table of word scores.
 
 The held-out fold (crc32 of the id as text, modulo FOLDS, is 0) is never read for labels. Nulls and
@@ -36,6 +38,9 @@ MOST_POSITIVE = 1_500
 MOST_UNLABELLED = 4_500
 DIMENSIONS = 1 << 18
 TABLE_WORDS = 400_000
+#: Longer words are not kept in the table.
+LONG_WORD = 40
+LEAST_PRIOR, MOST_PRIOR = 0.01, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,7 +59,7 @@ def text_words(text: str | None) -> list[str]:
 
 
 def word_features(word: str) -> list[int]:
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     grams = {marked} | {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
     return [zlib.crc32(g.encode()) % DIMENSIONS for g in sorted(grams)]
 
@@ -132,12 +137,32 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, ho
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labelled ids, confirmed toxic texts and unlabelled texts, all outside the held-out fold."""
+    """Labelled ids, and the confirmed toxic and all texts (id, text), outside the held-out fold."""
     usable = F.crc32(F.col(key).cast("string")) % FOLDS != 0
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(usable)
     marked = labels.where(usable).groupBy(F.col(key).alias("of")).agg(F.max("toxic").alias("toxic"))
-    toxic = marked.where("toxic = 1").select("of")
-    return marked, texts.join(toxic, F.col("id") == F.col("of"), "left_semi"), texts
+    there = texts.select("id").distinct()  # ids only: no text is shuffled
+    toxic = marked.where("toxic = 1").join(there, F.col("of") == F.col("id"), "left_semi").select("of")
+    ids = F.broadcast(toxic.orderBy(F.xxhash64("of"), "of").limit(MOST_POSITIVE))
+    return marked, texts.join(ids, F.col("id") == F.col("of"), "left_semi"), texts
+
+
+def sample(rows: DataFrame, most: int) -> list[str | None]:
+    """Texts of at most `most` different rows (id, text), those with the least hashes.
+
+    A bound on the hash, taken from the number of rows, leaves a few times as many to be ordered; copies of a
+    row meet in the tasks before that. Should copies leave too few, the bound is raised.
+    """
+    total = rows.select("id").count()
+    share = min(1.0, 4 * most / max(total, 1))
+    while True:
+        highest = min(int(share * 2**64) - 2**63, 2**63 - 1)
+        near = rows.withColumn("hash", F.xxhash64("id", "text")).where(F.col("hash") <= highest)
+        found = near.groupBy("hash").agg(F.first("text").alias("text")).orderBy("hash").limit(most)
+        texts = [r.text for r in found.toLocalIterator()]
+        if len(texts) == most or share == 1.0:
+            return texts
+        share = min(1.0, 16 * share)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray | None:
@@ -145,14 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     total = marked.agg(F.count("toxic"), F.sum("toxic")).first()
     if not total[1]:
         return None
-    prior = min(max(total[1] / total[0], 0.01), 0.5)
-
-    def sample(frame: DataFrame, most: int) -> list[list[str]]:
-        ids = frame.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-        found = frame.join(F.broadcast(ids.withColumnRenamed("id", "of")), F.col("id") == F.col("of"))
-        return [text_words(r.text) for r in found.orderBy("id", "text").select("text").toLocalIterator()]
-
-    p, u = sample(positive, MOST_POSITIVE), sample(unlabelled, MOST_UNLABELLED)
+    prior = min(max(total[1] / total[0], LEAST_PRIOR), MOST_PRIOR)
+    p, u = ([text_words(t) for t in sample(rows, n)] for rows, n in ((positive, MOST_POSITIVE), (unlabelled, MOST_UNLABELLED)))
     return fit(p, u, prior) if p and u else None
 
 
@@ -171,7 +190,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", text
                 found = float(model[word_features(word)].sum())
                 if len(table) >= TABLE_WORDS:
                     table.clear()
-                if len(word) <= 40:
+                if len(word) <= LONG_WORD:
                     table[word] = found
             return found
 

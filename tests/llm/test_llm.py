@@ -174,6 +174,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == marks[r.doc_id][1] for r in rows]) > 0.95
 
 
+def test_a_marker_deep_in_a_long_word_counts():
+    words = [f"{w}{w[::-1]}" for w in WORDS]
+    toxic = [["q" * 60 + "vilemarker" + w] for w in words[:60]]
+    clean = [["q" * 60 + w] for w in words]
+    weights = toxicity.fit(toxic, clean + toxic[:20], 0.1)
+    score = lambda w: weights[toxicity.word_features(w)].sum() + weights[-1]
+    assert score("q" * 500 + "vilemarkerabc") > 0 > score("q" * 500 + "abcdefgh")
+
+
+def test_samples_bound_rows_of_one_id(spark):
+    hot = [(1, f"text {i}") for i in range(300)] + [(1, "copy")] * 500 + [(i, f"own {i}") for i in range(2, 400)]
+    rows = spark.createDataFrame(hot, "id long, text string").repartition(6)
+    found = toxicity.sample(rows, 50)
+    assert len(found) == len(set(found)) == 50 and found == toxicity.sample(rows.repartition(3), 50)
+    assert sorted(toxicity.sample(rows, 5_000)) == sorted({t for _, t in hot})
+    labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (100_000, 1)], "doc_id long, toxic int")
+    docs = rows.select(F.col("id").alias("doc_id"), "text")
+    _, positive, _ = toxicity.training_rows(docs, labels, "doc_id", "text")
+    assert {r.id for r in positive.collect()} == {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5}
+
+
+def test_risk_slope_by_finite_differences():
+    """The fit goes down the corrected risk: its value falls, and never below zero on the negatives."""
+    rng = random.Random(9)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    positive, unlabelled = [words(5) + ["vileword"] for _ in range(40)], [words(6) for _ in range(150)]
+
+    def risk(weights, prior=0.2):
+        f = lambda rows: np.array([sum(weights[toxicity.word_features(w)].sum() for w in set(r)) + weights[-1] for r in rows])
+        p, u = f(positive), f(unlabelled)
+        lost = lambda x: np.logaddexp(0, x).mean()
+        return prior * lost(-p) + max(0.0, lost(u) - prior * lost(p))
+
+    steps = [risk(toxicity.fit(positive, unlabelled, 0.2, toxicity.Fit(steps=n))) for n in (1, 30, 300)]
+    assert steps[0] > steps[1] > 0 and steps[2] < 0.5 * steps[0]
+
+
 def test_pieces_equal_the_library(spark):
     texts = [*ODD[1:], "  a  b\n c ", "a▁b ▁", " ", "<s>x</s>", "漢字 🙂 \u0000é", "tab\tx"]
     processor = pieces.load(queries.PIECE_MODEL)
