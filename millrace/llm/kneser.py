@@ -10,8 +10,9 @@ joins of these tables, order by order:
 with a the count at the highest order and at word starts, and else the number of different
 characters that precede; D has three values per language and order, from counts of counts.
 
-Windows (a character and its context) of all documents are counted, and each distinct window is
-scored by these joins once. The scores of the most frequent windows, at most HOT_WINDOWS of up to ORDER
+Windows (a character and its context) of all documents are counted in one scan, for all documents and for
+the trusted ones of each fold, as columns of one row for each window. So the three models (all trusted text, and
+each fold) share every table, shuffle and join, order by order. Tables are deleted after their last reader. The scores of the most frequent windows, at most HOT_WINDOWS of up to ORDER
 characters, go to all tasks; each document adds them up by itself, and only its other windows go by a
 shuffle join. Sums per document are partial sums; no n-gram table is gathered anywhere.
 
@@ -30,16 +31,17 @@ that repeat id, language and text share one result. Other columns are left out b
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import blocks, span_hashes, words
-from millrace.workspace import stored
+from millrace.workspace import discard, stored
 
 ORDER = 5
 #: Trusted ids, and rows of tables with a row per language, that are sent to all tasks; more go by a shuffle join.
@@ -49,8 +51,6 @@ SHRINK = 100
 LOW, HIGH = 0.005, 0.995
 STEPS = 10_000
 BEGIN, END = "\x02", "\x03"
-#: Before a language: all of its trusted text, or one of its folds. Each has a model.
-WHOLE, FOLDS = "-", ("0", "1")
 #: Distinct words that a task remembers.
 TASK_WORDS = 400_000
 
@@ -77,43 +77,47 @@ def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def window_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: windows of the texts (lang, text)."""
+    """lang, gram, n, n0, n1: windows of the texts (lang, part, text), all and those of the parts 0 and 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, dict[int, list]] = {}  # language, word hash: text and count
+        seen: dict[str, dict[int, list]] = {}  # language, word hash: text and counts
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in seen.items():
-                grams: dict[str, int] = {}
-                for word, n in found.values():
-                    for gram in windows(word):
-                        grams[gram] = grams.get(gram, 0) + n
-                names, sizes = list(grams), list(grams.values())
+                place: dict[str, int] = {}
+                listed = [[place.setdefault(g, len(place)) for g in windows(w[0])] for w in found.values()]
+                at = np.fromiter(itertools.chain.from_iterable(listed), np.int64)
+                sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+                counts = np.array([w[1:] for w in found.values()], float)
+                sums = [np.bincount(at, np.repeat(c, sizes), len(place)).astype(np.int64) for c in counts.T]
+                names = pa.array(list(place), pa.string())
                 for k in range(0, len(names), 20_000):
-                    some = pa.array(names[k : k + 20_000], pa.string())
+                    some = names.slice(k, 20_000)
+                    own = [pa.array(x[k : k + 20_000]) for x in sums]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), some, pa.array(sizes[k : k + 20_000], pa.int64())],
-                        ["lang", "gram", "n"],
+                        [pa.array([lang] * len(some), pa.string()), some, *own], ["lang", "gram", "n", "n0", "n1"]
                     )
             seen.clear()
 
         for batch in batches:
             langs = batch.column(0).to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs)):
-                texts = batch.column(1).filter(pa.array(langs == lang))
+            parts = batch.column(1).to_numpy()
+            for lang, part in sorted(set(zip(langs, parts))):
+                texts = batch.column(2).filter(pa.array((langs == lang) & (parts == part)))
                 for _, hashes, counts, _, _, text in word_blocks(texts):
                     own = seen.setdefault(lang, {})
                     for k, (h, n) in enumerate(zip(hashes.tolist(), counts.tolist())):
                         if (entry := own.get(h)) is None:
-                            own[h] = [text(k), n]
-                        else:
-                            entry[1] += n
+                            entry = own[h] = [text(k), 0, 0, 0]
+                        entry[1] += n
+                        if part >= 0:
+                            entry[2 + part] += n
                     if sum(map(len, seen.values())) > TASK_WORDS:
                         yield from flush()
         yield from flush()
 
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = docs.select("lang", "part", "text").mapInArrow(run, "lang string, gram string, n long, n0 long, n1 long")
+    return found.groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")])
 
 
 def _context(gram: str = "gram") -> Column:
@@ -124,128 +128,139 @@ def _suffix(gram: str = "gram") -> Column:
     return F.substring(gram, 2, ORDER)
 
 
-def _joined(left: DataFrame, right: DataFrame, on: str, name: str, value: str) -> DataFrame:
-    """left with `value` of right, where left's column `on` is right's key in the same language."""
-    other = right.select(F.col("lang").alias("_lang"), F.col(name).alias("_key"), value)
-    return left.join(other, (F.col("lang") == F.col("_lang")) & (F.col(on) == F.col("_key")), "left").drop(
-        "_lang", "_key"
-    )
+#: Models: of all trusted text, and of each of its folds. They are columns of the same rows, w, 0 and 1.
+MODELS = ("w", "0", "1")
 
 
-class Model:
-    """Per order n from 1: `grams[n]` has lang, gram, p; `gammas[n]` has lang, ctx, gamma of its contexts."""
-
-    def __init__(self, counts: DataFrame):
-        counts = stored(counts.withColumn("order", F.length("gram")), "kn_counts")
-        adjusted = {ORDER: counts.where(F.col("order") == ORDER).select("lang", "gram", F.col("n").alias("a"))}
-        for n in range(ORDER - 1, 0, -1):
-            begun = counts.where(F.col("order") == n).select("lang", "gram", F.col("n").alias("a"))
-            follow = adjusted[n + 1].groupBy("lang", _suffix().alias("gram")).agg(F.count("*").alias("a"))
-            adjusted[n] = stored(begun.unionByName(follow), "kn_adjusted")
-        self.grams: dict[int, DataFrame] = {}
-        self.gammas: dict[int, DataFrame] = {}
-        for n in range(1, ORDER + 1):
-            self._level(n, adjusted[n])
-
-    def _level(self, n: int, adjusted: DataFrame) -> None:
-        a = F.col("a")
-        of = [F.sum((a == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-
-        def discount(k: int) -> Column:
-            # counts of counts that are missing, as in tiny corpora, leave the plain value k / 2
-            more = F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
-            return F.greatest(F.coalesce(more, F.lit(k / 2)), F.lit(0.05))
-
-        discounts = adjusted.groupBy("lang").agg(*of).select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
-        own = adjusted.join(discounts, "lang").withColumn(
-            "d", F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
-        )
-        own = own.select("lang", "gram", "a", F.least("d", a).alias("d"), _context().alias("ctx"))
-        sums = own.groupBy("lang", "ctx").agg(
-            F.sum("a").alias("total"), F.sum("d").alias("held"), F.count("*").alias("kinds")
-        )
-        sums = stored(sums.withColumn("gamma", F.col("held") / F.col("total")), "kn_sums")
-        self.gammas[n] = sums
-        joined = own.join(sums.withColumnRenamed("lang", "_lang").withColumnRenamed("ctx", "_ctx"),
-                          (F.col("lang") == F.col("_lang")) & (F.col("ctx") == F.col("_ctx"))).drop("_lang", "_ctx")
-        rest = (a - F.col("d")) / F.col("total")
-        if n == 1:  # the lowest order is mixed with the even chance of each known character and one unknown
-            p = rest + F.col("gamma") / (F.col("kinds") + 1)
-            levels = joined.select("lang", "gram", p.alias("p"))
+def _orders(counts: DataFrame) -> dict[int, DataFrame]:
+    """Per order the grams that the windows need, with their adjusted counts in each model (0: not in it)."""
+
+    def level(n: int) -> DataFrame:
+        own = counts.where(F.length("gram") == n)
+        return own.select("lang", "gram", "n", (F.col("n0") + F.col("n1")).alias("aw"), F.col("n0").alias("a0"), F.col("n1").alias("a1"))
+
+    found = {ORDER: stored(level(ORDER), "kn_orders")}
+    for n in range(ORDER - 1, 0, -1):
+        seen = [F.count_if(F.col(f"a{m}") > 0).alias(f"a{m}") for m in MODELS]
+        follow = found[n + 1].groupBy("lang", _suffix().alias("gram")).agg(F.lit(0).cast("long").alias("n"), *seen)
+        # windows at the start of a word keep their counts; no suffix starts there
+        found[n] = stored(level(n).unionByName(follow), "kn_orders")
+    return found
+
+
+def _discounts(grams: DataFrame) -> DataFrame:
+    """lang, d{m}{k} for counts k of 1, 2, and 3 or more in model m."""
+    of = [F.count_if(F.col(f"a{m}") == k).alias(f"n{m}{k}") for m in MODELS for k in (1, 2, 3, 4)]
+
+    def discount(m: str, k: int) -> Column:
+        n1, n2, here, above = (F.col(f"n{m}{i}") for i in (1, 2, k, k + 1))
+        y = F.try_divide(n1, n1 + 2 * n2)
+        # counts of counts that are missing, as in tiny corpora, leave the plain value k / 2
+        more = F.when((here > 0) & (above > 0), k - (k + 1) * y * above / here)
+        return F.greatest(F.coalesce(more, F.lit(k / 2)), F.lit(0.05)).alias(f"d{m}{k}")
+
+    return grams.groupBy("lang").agg(*of).select(F.col("lang").alias("_lang"), *[discount(m, k) for m in MODELS for k in (1, 2, 3)])
+
+
+def _values(n: int, grams: DataFrame, lower: DataFrame | None) -> DataFrame:
+    """lang, gram, n and the probability of each gram in each model; a context that a model does not have
+    gives the probability of the order below.
+
+    The grams of a context are at most as many as there are characters, so their sums are a window.
+    """
+    own = grams.join(_per_language(_discounts(grams)), F.col("lang") == F.col("_lang")).withColumn("ctx", _context())
+    same = Window.partitionBy("lang", "ctx")
+    if lower is not None:
+        below = lower.select(F.col("lang").alias("_lower"), F.col("gram").alias("_gram"), *[F.col(f"v{m}").alias(f"l{m}") for m in MODELS])
+    values = []
+    for m in MODELS:
+        a = F.col(f"a{m}")
+        d = F.least(F.when(a == 1, F.col(f"d{m}1")).when(a == 2, F.col(f"d{m}2")).otherwise(F.col(f"d{m}3")), a)
+        own = own.withColumn(f"h{m}", F.when(a > 0, d).otherwise(0.0))
+    sums = [x for m in MODELS for x in (
+        F.sum(f"a{m}").over(same).alias(f"total{m}"), F.sum(f"h{m}").over(same).alias(f"held{m}"),
+        F.sum((F.col(f"a{m}") > 0).cast("long")).over(same).alias(f"kinds{m}"),
+    )]
+    own = own.select("lang", "gram", "n", *[f"{x}{m}" for m in MODELS for x in "ah"], *sums)
+    if lower is not None:
+        own = own.withColumn("suffix", _suffix())
+        own = own.join(below, (F.col("lang") == F.col("_lower")) & (F.col("suffix") == F.col("_gram")))
+    for m in MODELS:
+        total, gamma = F.col(f"total{m}"), F.col(f"held{m}") / F.col(f"total{m}")
+        rest = (F.col(f"a{m}") - F.col(f"h{m}")) / total
+        if lower is None:  # the lowest order is mixed with the even chance of each known character and one unknown
+            value = F.when(total > 0, rest + gamma / (F.col(f"kinds{m}") + 1))
         else:
-            below = joined.withColumn("suffix", _suffix())
-            below = _joined(below, self.grams[n - 1].withColumnRenamed("p", "lower"), "suffix", "gram", "lower")
-            levels = below.select("lang", "gram", (rest + F.col("gamma") * F.col("lower")).alias("p"))
-        self.grams[n] = stored(levels, "kn_grams")
-
-    def score(self, seen: DataFrame) -> DataFrame:
-        """lang, gram, logp for windows (lang, gram) of languages that have a model.
-
-        All suffixes of the windows are listed in one pass; then each order needs that below it only.
-        """
-        tails = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.substring(F.col("gram"), -n, n))
-        listed = seen.select("lang", F.explode(tails).alias("gram")).distinct()
-        listed = stored(listed.withColumn("order", F.length("gram")), "kn_suffixes")
-        unknown = self.gammas[1].select(F.col("lang").alias("_lang"), (F.col("gamma") / (F.col("kinds") + 1)).alias("none"))
-        level = _joined(listed.where(F.col("order") == 1), self.grams[1], "gram", "gram", "p")
-        level = level.join(unknown, F.col("lang") == F.col("_lang"))
-        levels = [stored(level.select("lang", "gram", F.coalesce("p", "none").alias("value")), "kn_scores")]
-        for n in range(2, ORDER + 1):
-            longer = listed.where(F.col("order") == n).withColumn("suffix", _suffix()).withColumn("ctx", _context())
-            longer = _joined(longer, levels[-1].withColumnRenamed("value", "lower"), "suffix", "gram", "lower")
-            longer = _joined(longer.where("lower is not null"), self.gammas[n], "ctx", "ctx", "gamma")
-            longer = _joined(longer, self.grams[n], "gram", "gram", "p")
-            value = F.coalesce(F.col("p"), F.coalesce("gamma", F.lit(1.0)) * F.col("lower"))
-            levels.append(stored(longer.select("lang", "gram", value.alias("value")), "kn_scores"))
-        scored = levels[-1]
-        for level in levels[:-1]:  # shorter windows are those at the start of a word
-            scored = scored.unionByName(level.where(F.col("gram").startswith(BEGIN)))
-        return scored.select("lang", "gram", F.log("value").alias("logp"))
-
-
-def hot_windows(counts: DataFrame, scored: DataFrame) -> dict[str, dict[str, float]]:
-    """Language, window: log probability of the most frequent windows, at most HOT_WINDOWS."""
+            value = F.when(total > 0, rest + gamma * F.col(f"l{m}")).otherwise(F.col(f"l{m}"))
+        values.append(value.alias(f"v{m}"))
+    return own.select("lang", "gram", "n", *values)
+
+
+def scored_windows(counts: DataFrame) -> DataFrame:
+    """lang, gram, n, pw, p0, p1: log probabilities of the windows in each model, of languages with a model.
+
+    A model without any text of a language gives NaN.
+    """
+    orders = _orders(counts)
+    values: list[DataFrame] = []
+    for n in range(1, ORDER + 1):
+        level = _values(n, orders[n], values[-1] if values else None)
+        if n == 1:
+            level = level.where("vw is not null")
+        values.append(stored(level, "kn_values"))
+        discard(orders[n])
+    whole = values[-1]
+    for level in values[:-1]:  # shorter windows are those at the start of a word
+        whole = whole.unionByName(level.where(F.col("gram").startswith(BEGIN)))
+    logs = [F.coalesce(F.log(f"v{m}"), F.lit(float("nan"))).alias(f"p{m}") for m in MODELS]
+    found = stored(whole.select("lang", "gram", "n", *logs), "kn_scores")
+    discard(*values)
+    return found
+
+
+def hot_windows(scored: DataFrame) -> dict[str, dict[str, tuple]]:
+    """Language, window: log probabilities of the most frequent windows, at most HOT_WINDOWS."""
     level = F.floor(F.log2("n") * 4).cast("int")
     total, least = 0, None
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+    for r in scored.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         total += r["count"]
         if total > HOT_WINDOWS:
             break
         least = r["level"]
     if least is None:
         return {}
-    other = scored.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), "logp")
-    frequent = counts.where(level >= least).join(
-        other, (F.col("lang") == F.col("_lang")) & (F.col("gram") == F.col("_gram"))
-    )
-    found: dict[str, dict[str, float]] = {}
-    for batch in frequent.select("lang", "gram", "logp").toArrow().to_batches():
-        for lang, gram, logp in zip(*(c.to_pylist() for c in batch.columns)):
-            found.setdefault(lang, {})[gram] = logp
+    frequent = scored.where(level >= least)
+    found: dict[str, dict[str, tuple]] = {}
+    for batch in frequent.select("lang", "gram", "pw", "p0", "p1").toArrow().to_batches():
+        lang, gram, *p = (c.to_pylist() for c in batch.columns)
+        for one, name, *values in zip(lang, gram, *p):
+            found.setdefault(one, {})[name] = tuple(values)
     return found
 
 
-def document_sums(docs: DataFrame, hot: dict[str, dict[str, float]]) -> DataFrame:
-    """id, lang, node, n (windows), logp (of the hot ones), cold: the other windows with counts."""
+def document_sums(docs: DataFrame, hot: dict[str, dict[str, tuple]]) -> DataFrame:
+    """id, lang, node, part, n (windows), the sums of the hot ones' logarithms in the whole model (logp) and in
+    the one of the other fold (held, for parts 0 and 1), and cold: the other windows with counts."""
     kind = docs.select("id").schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     colds = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
 
-    def scored(word: str, known: dict[str, float]) -> tuple[float, int, list[str] | None]:
-        total, cold, grams = 0.0, None, windows(word)
+    def scored(word: str, known: dict[str, tuple]) -> tuple[float, float, float, int, list[str] | None]:
+        whole, first, second, cold, grams = 0.0, 0.0, 0.0, None, windows(word)
         for gram in grams:
             p = known.get(gram)
             if p is not None:
-                total += p
+                whole += p[0]
+                first += p[1]
+                second += p[2]
             elif cold is None:
                 cold = [gram]
             else:
                 cold.append(gram)
-        return total, len(grams), cold
+        return whole, first, second, len(grams), cold
 
-    def sums(column: pa.Array, known: dict[str, float], table: dict[int, tuple]) -> tuple[list, list, list]:
-        n, logp, cold = np.zeros(len(column), np.int64), np.zeros(len(column)), [[] for _ in range(len(column))]
+    def sums(column: pa.Array, known: dict[str, tuple], table: dict[int, tuple]) -> tuple[np.ndarray, list]:
+        total, cold = np.zeros((4, len(column))), [[] for _ in range(len(column))]
         for start, hashes, _, rows, which, text in word_blocks(column):
             if len(table) > TASK_WORDS:
                 table.clear()
@@ -257,34 +272,37 @@ def document_sums(docs: DataFrame, hot: dict[str, dict[str, float]]) -> DataFram
                 found.append(one)
             if not found:
                 continue
-            value = np.array([f[0] for f in found])
-            size = np.array([f[1] for f in found])
-            has_cold = np.array([f[2] is not None for f in found])
+            values = np.array([f[:4] for f in found])
+            has_cold = np.array([f[4] is not None for f in found])
             end = start + int(rows.max()) + 1
-            logp[start:end] += np.bincount(rows, weights=value[which])
-            n[start:end] += np.bincount(rows, weights=size[which]).astype(np.int64)
+            for k in range(4):
+                total[k, start:end] += np.bincount(rows, weights=values[which, k])
             at = np.flatnonzero(has_cold[which])
             rest: dict[int, Counter] = {}
             for row, k in zip(rows[at].tolist(), which[at].tolist()):
-                rest.setdefault(row, Counter()).update(found[k][2])
+                rest.setdefault(row, Counter()).update(found[k][4])
             for row, counts in rest.items():
                 cold[start + row] = [{"gram": g, "times": t} for g, t in counts.items()]
-        return n, logp, cold
+        return total, cold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, dict[int, tuple]] = {}
         for batch in batches:
             langs = batch.column(1).to_numpy(zero_copy_only=False)
             for lang in sorted(set(langs)):
-                part = batch.filter(pa.array(langs == lang))
-                n, logp, cold = sums(part.column(3), shared.value.get(lang, {}), tables.setdefault(lang, {}))
+                some = batch.filter(pa.array(langs == lang))
+                part = some.column(3).to_numpy()
+                total, cold = sums(some.column(4), shared.value.get(lang, {}), tables.setdefault(lang, {}))
+                held = np.choose(part + 1, [np.zeros(len(part)), total[2], total[1]])  # the other fold's model
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(logp, pa.float64()), pa.array(cold, colds)],
-                    ["id", "lang", "node", "n", "logp", "cold"],
+                    [*some.columns[:4], pa.array(total[3].astype(np.int64)), pa.array(total[0]), pa.array(held), pa.array(cold, colds)],
+                    ["id", "lang", "node", "part", "n", "logp", "held", "cold"],
                 )
 
-    return docs.select("id", "lang", "node", "text").mapInArrow(
-        run, f"id {kind}, lang string, node long, n long, logp double, cold array<struct<gram string, times long>>"
+    return docs.select("id", "lang", "node", "part", "text").mapInArrow(
+        run,
+        f"id {kind}, lang string, node long, part int, n long, logp double, held double, "
+        "cold array<struct<gram string, times long>>",
     )
 
 
@@ -297,42 +315,32 @@ def _named(docs: DataFrame, key: str, lang: str, text: str) -> DataFrame:
     )
 
 
-_SWAP = ("".join(FOLDS), "".join(reversed(FOLDS)))
-MOST_LETTERS = 2**31 - 1
-
-
-def _of(part: str) -> Column:
-    """The key of a part of the same language."""
-    return F.concat(F.lit(part), F.substring("lang", 2, MOST_LETTERS))
-
-
 def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """key, lang, node (of the text), n_windows, perplexity, low, high and kept."""
     named = _named(docs, key, lang, text)
     trusted = labels.where("quality = 1").select(F.col(key).alias("of")).where("of is not null").distinct()
     trusted = _sent(trusted, "kn_trusted", MOST_SENT_IDS)
-    good = named.join(trusted, F.col("id") == F.col("of"), "left_semi")
-    fold = F.when(F.col("node") % 2 == 0, FOLDS[0]).otherwise(FOLDS[1])
-    folds = stored(window_counts(good.withColumn("lang", F.concat(fold, "lang"))), "kn_folds")
-    whole_counts = folds.groupBy(_of(WHOLE).alias("lang"), "gram").agg(F.sum("n").alias("n"))
-    model = Model(folds.unionByName(whole_counts))
-    named = named.withColumn("lang", F.concat(F.lit(WHOLE), "lang"))
-    held = good.withColumn("lang", F.concat(F.translate(fold, *_SWAP), "lang"))
-    other_fold = F.concat(F.translate(F.substring("lang", 1, 1), *_SWAP), F.substring("lang", 2, MOST_LETTERS))
-    counts = stored(window_counts(named).unionByName(folds.withColumn("lang", other_fold)), "kn_windows")
-    scored = model.score(counts)
-    sums = stored(document_sums(named.unionByName(held), hot_windows(counts, scored)), "kn_sums")
-    other = scored.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.col("logp").alias("p"))
-    cold = sums.select("id", "lang", "node", F.explode("cold").alias("x")).distinct()
-    cold = cold.join(other, (F.col("lang") == F.col("_lang")) & (F.col("x.gram") == F.col("_gram"))).select(
-        "id", "lang", "node", F.lit(0).cast("long").alias("n"), (F.col("x.times") * F.col("p")).alias("logp")
+    fold = F.when(F.col("node") % 2 == 0, 0).otherwise(1)
+    named = named.join(trusted, F.col("id") == F.col("of"), "left")
+    named = named.withColumn("part", F.when(F.col("of").isNotNull(), fold).otherwise(-1)).drop("of")
+    counts = stored(window_counts(named), "kn_windows")
+    scored = scored_windows(counts)
+    discard(counts)
+    sums = stored(document_sums(named, hot_windows(scored)), "kn_sums")
+    own = ["id", "lang", "node", "part"]
+    other = scored.select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), "pw", "p0", "p1")
+    cold = sums.select(*own, F.explode("cold").alias("x")).distinct()
+    cold = cold.join(other, (F.col("lang") == F.col("_lang")) & (F.col("x.gram") == F.col("_gram")))
+    held = F.when(F.col("part") == 0, F.col("p1")).when(F.col("part") == 1, F.col("p0")).otherwise(0.0)
+    cold = cold.select(
+        *own, F.lit(0).cast("long").alias("n"), (F.col("x.times") * F.col("pw")).alias("logp"), (F.col("x.times") * held).alias("held")
     )
-    own = ["id", "lang", "node"]
-    whole = sums.select(*own, "n", "logp").distinct().unionByName(cold).groupBy(*own).agg(
-        F.sum("n").alias("n"), F.sum("logp").alias("logp")
-    )
+    measures = [F.sum(c).alias(c) for c in ("n", "logp", "held")]
+    whole = sums.select(*own, "n", "logp", "held").distinct().unionByName(cold).groupBy(*own).agg(*measures)
     whole = stored(whole, "kn_documents")
-    return _judged(whole, trusted, model).withColumnRenamed("id", key)
+    known = _per_language(scored.select(F.col("lang").alias("_lang")).distinct())
+    discard(scored, sums)
+    return _judged(whole, known).withColumnRenamed("id", key)
 
 
 def _sent(table: DataFrame, label: str, most: int) -> DataFrame:
@@ -345,34 +353,31 @@ def _per_language(table: DataFrame) -> DataFrame:
     return _sent(table, "kn_languages", MOST_SENT_LANGUAGES)
 
 
-def _judged(whole: DataFrame, trusted: DataFrame, model: Model) -> DataFrame:
-    known = _per_language(model.gammas[1].select(F.col("lang").alias("_lang")))
-    held = whole.where(~F.col("lang").startswith(WHOLE) & (F.col("n") > 0))
-    held = held.join(known, F.col("lang") == F.col("_lang"), "left_semi")
-    whole = whole.where(F.col("lang").startswith(WHOLE))
-    good = whole.join(trusted, F.col("id") == F.col("of"), "left_semi").where("n > 0")
+def _judged(whole: DataFrame, known: DataFrame) -> DataFrame:
+    good = whole.where("part >= 0 and n > 0")
     means = good.groupBy(F.col("lang").alias("of_lang")).agg((F.sum("logp") / F.sum("n")).alias("mean"))
     means = _per_language(means)
 
-    def shrunk(frame: DataFrame) -> DataFrame:
-        near = frame.join(means, _of(WHOLE) == F.col("of_lang"), "left").drop("of_lang")
-        near = near.withColumn("score", (F.col("logp") + SHRINK * F.col("mean")) / (F.col("n") + SHRINK))
+    def shrunk(frame: DataFrame, logp: str) -> DataFrame:
+        near = frame.join(means, F.col("lang") == F.col("of_lang"), "left").drop("of_lang")
+        near = near.withColumn("score", (F.col(logp) + SHRINK * F.col("mean")) / (F.col("n") + SHRINK))
         return near.withColumn("step", F.round(F.col("score") * STEPS) / STEPS)
 
     # partial sums first: a language has as many rows as it has different steps, however many documents it has
-    steps = shrunk(held.unionByName(good)).withColumn("out", ~F.col("lang").startswith(WHOLE))
-    steps = steps.groupBy(_of(WHOLE).alias("of"), "out", "step").agg(F.count("*").alias("times"))
+    out = shrunk(good.where(~F.isnan("held")), "held").withColumn("out", F.lit(True))
+    steps = out.unionByName(shrunk(good, "logp").withColumn("out", F.lit(False)))
+    steps = steps.groupBy(F.col("lang").alias("of"), "out", "step").agg(F.count("*").alias("times"))
     places = F.array(F.lit(LOW), F.lit(HIGH))
     out, own = (F.percentile(F.when(x, F.col("step")), places, F.col("times")) for x in (F.col("out"), ~F.col("out")))
     limits = steps.groupBy("of").agg(F.coalesce(out, own).alias("q"))
     limits = limits.select("of", F.element_at("q", 1).alias("least"), F.element_at("q", 2).alias("most"))
     limits = _per_language(limits)
-    judged = shrunk(whole).join(limits, F.col("lang") == F.col("of"), "left").join(
+    judged = shrunk(whole, "logp").join(limits, F.col("lang") == F.col("of"), "left").join(
         known, F.col("lang") == F.col("_lang"), "left"
     )
     inside = F.col("step").between(F.col("least"), F.col("most"))
     return judged.select(
-        "id", F.substring("lang", 2, MOST_LETTERS).alias("lang"), "node", F.col("n").alias("n_windows"),
+        "id", "lang", "node", F.col("n").alias("n_windows"),
         F.when(F.col("_lang").isNotNull(), F.exp(-F.col("score"))).alias("perplexity"),
         F.exp(-F.col("most")).alias("low"), F.exp(-F.col("least")).alias("high"),
         ((F.col("n") > 0) & F.coalesce(inside, F.lit(True))).alias("kept"),
