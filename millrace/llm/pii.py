@@ -3,7 +3,7 @@
 Values found in a text are validated (check digits, number plans, calendar) and each is replaced by
 another valid value of its own format. The replacement is a keyed permutation of all valid values of
 the format: a Feistel network over mixed radices, whose round function is SHA-512 of key, kind,
-round and the other half. Equal values get equal pseudonyms in every document, however their digits
+round and the other half, with one more digest for each 21 further places. Equal values get equal pseudonyms in every document, however their digits
 are grouped, different values get different ones, and no table of them is kept or shuffled.
 
 | kind  | valid if                                  | what is permuted                               |
@@ -15,7 +15,8 @@ are grouped, different values get different ones, and no table of them is kept o
 |       | or + and 8 to 15 digits                   | all digits after the first two                 |
 | ip    | four numbers up to 255                    | the four numbers                               |
 | date  | a day of 1800 to 2199                     | the day within these 400 years                 |
-| email | a local part, @ and a domain with a dot   | letters and digits of the local part, by class |
+| email | a local part of up to 64 characters, @    | letters and digits of the local part, by class |
+|       | and a domain with a dot                   |                                                |
 
 Each text is a row of its own: no join, no shuffle, whole texts. A null text stays null and has no
 values; what is not valid stays as it is. Rows that repeat are treated alike. Columns other than key
@@ -31,13 +32,15 @@ ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 
 # The shapes that are looked for.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}(?<mark>[./-])\d{2}\k<mark>\d{4})(?!\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?!\d)"
 NATIONAL = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+PLUS_PLAN = r"\+1[2-9]\d{2}[2-9]\d{6}"
 PLUS = r"\+[1-9]\d{7,14}(?!\d)"
+LONGEST_LOCAL = 64
 CARD = r"(?:\d{4}(?<four>[ -])\d{4}\k<four>\d{4}\k<four>\d{4}|\d{4}(?<six>[ -])\d{6}\k<six>\d{5}|\d{13,19})(?!\d)"
 _ANY = f"(?<![A-Za-z0-9._%+-])(?:{EMAIL}|{IBAN}|{IP}|{DATE}|{SSN}|{NATIONAL}|{PLUS}|{CARD})"
 
@@ -74,6 +77,10 @@ def permuted(values: Column, radices: Column, kind: str, key: str) -> Column:
         F.slice(radices, half + 1, rest).cast(ints).alias("rb"),
     )
 
+    def source(h: Column, i: Column) -> Column:
+        later = F.sha2(F.concat_ws("|", h, F.floor(i / 21).cast("string")), 512)
+        return F.when(i < 21, h).otherwise(later)
+
     def turn(state: Column, n: Column) -> Column:
         other = F.array_join(state["b"].cast("array<string>"), ",")
         plan = F.array_join(state["ra"].cast("array<string>"), ",")
@@ -83,7 +90,7 @@ def permuted(values: Column, radices: Column, kind: str, key: str) -> Column:
             lambda h: F.transform(
                 state["a"],
                 lambda v, i: _int(
-                    (v + F.conv(h.substr((i % 21) * 6 + 1, F.lit(6)), 16, 10).cast("long"))
+                    (v + F.conv(source(h, i).substr((i % 21) * 6 + 1, F.lit(6)), 16, 10).cast("long"))
                     % F.element_at(state["ra"], i + 1)
                 ),
             ),
@@ -218,7 +225,9 @@ def _national(x: Column, key: str) -> Column:
 
 
 def _plus(x: Column, key: str) -> Column:
-    return _refill(x, lambda c, i: F.when(_is_digit(c) & (i > 2), 10).otherwise(0), "plus", key)
+    # a number outside the ten-digit plan stays outside it, so it never gets the pseudonym of one inside
+    stays = x.startswith("+1") & (F.length(x) == 12)
+    return _refill(x, lambda c, i: F.when(_is_digit(c) & (i > 2) & ~(stays & (i == 5)), 10).otherwise(0), "plus", key)
 
 
 def _ip(x: Column, key: str) -> Column:
@@ -258,7 +267,7 @@ def _email(x: Column, key: str) -> Column:
         F.when(_is_digit(c), 10).when(c.between("a", "z") | c.between("A", "Z"), 26).otherwise(0)
     )
     moved = _refill(x.substr(F.lit(1), at - 1), radix, "email", key)
-    return F.concat(moved, x.substr(at, F.length(x)))
+    return F.when(at <= LONGEST_LOCAL + 1, F.concat(moved, x.substr(at, F.length(x))))
 
 
 def _found(x: Column, key: str) -> Column:
@@ -271,6 +280,7 @@ def _found(x: Column, key: str) -> Column:
         ("date", whole(DATE), _date),
         ("ssn", whole(SSN), _ssn),
         ("phone", whole(NATIONAL), _national),
+        ("phone", whole(PLUS_PLAN), _national),
         ("phone", whole(PLUS), _plus),
         ("card", whole(CARD), _card),
     )

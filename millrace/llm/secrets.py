@@ -36,8 +36,9 @@ BASE_KINDS = KINDS[:3]
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_-]{40,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*)={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*)={0,2}")
 _HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
+_LINE = re.compile(r"[^\r\n]+")
 _OPENSSH = b"openssh-key-v1\x00"
 
 Span = tuple[str, int, int]
@@ -108,6 +109,51 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data) and parts >= 5
 
 
+def _der_size(data: bytes) -> int | None:
+    """The bytes that the outer length of a DER element asks for."""
+    outer = _element(data[:6] + bytes(1 << 16), 0, 1 << 62) if data[:1] == b"\x30" else None
+    return None if outer is None else outer[2]
+
+
+def _openssh_size(data: bytes) -> int | None:
+    """The bytes up to the end of the private part: three texts, the number of keys, the keys, the private part."""
+    at, left, keys = len(_OPENSSH), 3, None
+    while left:
+        if at + 4 > len(data):
+            return None
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if not left and keys is None:
+            keys = left = int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+    return at
+
+
+def key_in(run: str) -> tuple[str, int] | None:
+    """Kind and end of the private key at the start of a base64 run, which may go on with other lines.
+
+    The key says how many bytes it has, and must end where a line or the run ends.
+    """
+    body = run.rstrip("=")
+    head = _decode64(body[:20])
+    if not head or not (head[0] == 0x30 or head == _OPENSSH):
+        return None
+    lines = list(_LINE.finditer(body))
+    text = "".join(m[0] for m in lines)
+    data = _decode64(text[: len(text) - (len(text) % 4 == 1)]) or b""
+    size = _der_size(data) if head[0] == 0x30 else _openssh_size(data)
+    if size is None or size > len(data):
+        return None
+    left = -(-size * 4 // 3)
+    for m in lines:
+        left -= len(m[0])
+        if left <= 0:
+            break
+    if left:
+        return None
+    kind = "der" if is_der_key(data[:size]) else "openssh" if is_openssh_key(data[:size]) else None
+    return (kind, len(run) if m.end() == len(body) else m.end()) if kind else None
+
+
 def is_signed_token(text: str) -> bool:
     head = _decode64(text.split(".", 1)[0])
     try:
@@ -132,10 +178,9 @@ def confirmed_spans(text: str) -> list[Span]:
     if "eyJ" in text or "ey" in text:
         found += [("signed", m.start(), m.end()) for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
     for m in _BASE64.finditer(text):
-        data = _decode64(m[0])
-        kind = "" if not data else "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else ""
-        if kind:
-            found.append((kind, m.start(), m.end()))
+        key = key_in(m[0])
+        if key:
+            found.append((key[0], m.start(), m.start() + key[1]))
     for m in _HEX_BYTES.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der", m.start(), m.end()))

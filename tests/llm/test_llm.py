@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels, on small fixtures."""
 
 import base64
+import hashlib
 import itertools
 import random
 import re
@@ -125,6 +126,76 @@ def test_pem_keys_of_all_paddings(size):
             assert rows not in secrets.redacted(text) and secrets.redacted(text).count("-----") == 4
 
 
+def _pkcs8(size):
+    inner = size - 2 - 3 - 7 - 2
+    content = b"\x02\x01\x00" + bytes.fromhex("300506032b6570") + bytes([4, inner]) + bytes(range(inner))
+    return bytes([0x30, len(content)]) + content
+
+
+@pytest.mark.parametrize("padded", [True, False])
+@pytest.mark.parametrize("size", [48, 49, 50])
+def test_keys_in_common_surroundings(size, padded):
+    key = base64.b64encode(_pkcs8(size)).decode()
+    key = key if padded else key.rstrip("=")
+    for before, after in itertools.product(["", "key: ", "key=", "a=", '"', "x==", "note\n"], ["", " end", "\nuser: bob", "\nuser", '"', ".", "\r\n\r\nx"]):
+        text = before + key + after
+        found = [s for s in secrets.all_spans(text) if s[0] == "der"]
+        assert found == [("der", len(before), len(before) + len(key))], text
+        assert key.rstrip("=") not in secrets.redacted(text)
+    assert not [s for s in secrets.all_spans(f"key: {key[:-9]} end") if s[0] == "der"]
+
+
+def naive_spans(text):
+    """The base patterns by a plain scan over characters."""
+    word, found = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), []
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(c.lower() if c.isascii() else c for c in text[at : at + len(name)]) == name:
+                for quote in (1, 0):
+                    i = at + len(name)
+                    if quote and not (i < len(text) and text[i] in "\"'"):
+                        continue
+                    i = run(i + quote, " ")
+                    if i < len(text) and text[i] in ":=":
+                        i = run(i + 1, " ")
+                        i += i < len(text) and text[i] in "\"'"
+                        end = run(i, word)
+                        if end > i:
+                            return end, end - i >= 6
+        return None
+
+    def scan(kind, match):
+        at = 0
+        while at < len(text):
+            hit = match(at)
+            if hit:
+                found.extend([(kind, at, hit[0])] if hit[1] else [])
+                at = max(hit[0], at + 1)
+            else:
+                at += 1
+
+    upper, low = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    scan("assign", assign)
+    scan("access", lambda i: (e, e - i >= 20) if text.startswith("AKIA", i) and (e := run(i + 4, upper)) > i + 4 else None)
+    scan("hex", lambda i: (e, e - i >= 24) if (e := run(i, low)) > i else None)
+    return secrets.ordered(found)
+
+
+def test_base_spans_equal_a_plain_scan():
+    rng = random.Random(11)
+    bits = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", "\u017fecret", "=", ":", " ", '"', "'", "AKIA", "abc123", "A" * 16, "0" * 23, "deadbeef", "\n", "é", "-", "."]
+    for _ in range(3_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert secrets.ordered(secrets.base_spans(text)) == naive_spans(text), text
+
+
 def repeated(text):
     found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     runs = Counter(tuple(found[i : i + 5]) for i in range(len(found) - 4))
@@ -246,6 +317,46 @@ def test_pseudonyms_are_linked_valid_and_distinct(spark):
     assert rows[103].text == "4111111111111112" and rows[107].text is None and rows[104].n_iban == 1
 
 
+def plain_feistel(values, radices, kind, key):
+    half = len(values) // 2
+    a, ra, b, rb = values[:half], radices[:half], values[half:], radices[half:]
+    for n in range(1, pii.ROUNDS + 1):
+        written = "|".join([key, kind, str(n), ",".join(map(str, ra)), ",".join(map(str, b))])
+        first = hashlib.sha512(written.encode()).hexdigest()
+        digests = [first] + [hashlib.sha512(f"{first}|{j}".encode()).hexdigest() for j in range(1, len(a) // 21 + 1)]
+        moved = [(v + int(digests[i // 21][i % 21 * 6 :][:6], 16)) % ra[i] for i, v in enumerate(a)]
+        a, ra, b, rb = b, rb, moved, ra
+    return a + b
+
+
+def test_permutation_equals_a_plain_network(spark):
+    rng = random.Random(2)
+    rows = [([rng.randrange(r) for r in radices], radices) for n in (1, 2, 3, 9, 15, 41, 90) for radices in [[rng.choice([2, 8, 10, 26, 773]) for _ in range(n)]] * 3]
+    table = spark.createDataFrame(rows, "v array<int>, r array<int>").coalesce(1)
+    found = table.select("v", "r", pii.permuted(F.col("v"), F.col("r"), "kind", "key").alias("x")).collect()
+    assert [r.x for r in found] == [plain_feistel(v, r, "kind", "key") for v, r in rows]
+    small = spark.range(1000).select(F.array((F.col("id") % 10).cast("int"), (F.col("id") / 10 % 10).cast("int"), (F.col("id") / 100).cast("int")).alias("v"))
+    assert small.select(pii.permuted(F.col("v"), F.array(*[F.lit(10)] * 3), "k", "x").alias("x")).distinct().count() == 1000
+
+
+def test_very_long_tokens_are_read(spark):
+    """Tokens of all shapes, 100,000 characters long: no recursion, and what is not valid stays."""
+    n = 50_000
+    texts = ["x@" + "a." * n + "a", "a" * 2 * n, "a." * n + "@b.de", "1." * n + "1", "1" * 2 * n, "+1" + "5" * 2 * n, "AB12" + "CD34" * n, "2020-01-01-" * 9_000, "4111 " * 20_000, "(743) " * 20_000]
+    rows = {r.doc_id: r for r in pii.pseudonyms(frame(spark, texts), "k").collect()}
+    assert rows[0].n_email == 1 and rows[0].text[1:] == texts[0][1:] and rows[2].n_email == 0
+    assert all(len(rows[i].text) == len(t) for i, t in enumerate(texts))
+
+
+def test_one_number_has_one_pseudonym(spark):
+    written = ["+17435553824", "+1 743-555-3824", "743-555-3824", "(743) 555-3824", "1.743.555.3824"]
+    outside = ["+17430553824", "+17431553824", "+11435553824"]
+    rows = {r.doc_id: r.text for r in pii.pseudonyms(frame(spark, written + outside), "k").collect()}
+    tens = [re.sub(r"\D", "", rows[i])[-10:] for i in range(5)]
+    assert len(set(tens)) == 1 and tens[0] != "7435553824"
+    assert all(rows[5 + i][5] == t[5] and rows[5 + i] != t for i, t in enumerate(outside))
+
+
 def weighted(a, b):
     bag = lambda t: Counter(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) if t else Counter()
     x, y = bag(a.split()), bag(b.split())
