@@ -4,10 +4,13 @@ Each page is cut into blocks of text. A block hangs in containers (div, article,
 container has a generalised path: the tags and classes from the root, without ids and digits, as in
 `body>div.post>article`. Each page votes for the path that holds its prose most closely; votes are
 summed per host by Spark, and the pages of a host are extracted anew with the path that won. A page
-without that path uses its own best one.
+on which that path holds less than FAIR_SHARE of the prose of its own best path uses its own.
 
 Blocks in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-never count, whatever container they hang in.
+never count, whatever container they hang in. Some classes (SOFT: legal, related, notice and the like) may also
+name an article: their blocks count on a page that has nothing but headings besides them, if they are not links.
+A page is read once from start to end: unclosed tags and quotes cost no second look. Containers nested deeper
+than MOST_DEEP have the path of what holds them.
 
 Votes are partial sums before the shuffle, one row per host, path and task, so a host with a third
 of all pages is not gathered anywhere. Winners are one row per host; the join back is left to Spark,
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,14 +57,22 @@ BOILERPLATE = re.compile(
 #: Classes that name a part of an article though they look like boilerplate.
 KEPT = re.compile(r"(?:^|[-_])(?:article|post|entry|story|page)[-_]?(?:header|head|title|body|content|text)(?:$|[-_])")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
+#: Classes that mostly name boilerplate but may name an article.
+SOFT = re.compile(
+    r"(?:^|[-_])(?:promo\w*|header|masthead|side|aside|discussion|notices?|notification\w*|alert|form|search|share|sharing|"
+    r"social|related|recommend\w*|copyright|legal|disclaimer)(?:$|[-_])"
 )
+
+_OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_SPECIAL = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WHITE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
-_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 NEAR_ALL = 0.85
+FAIR_SHARE = 0.5
+MOST_DEEP = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SEMANTIC = frozenset(("article", "main"))
 
 
@@ -69,6 +81,7 @@ class Open:
     tag: str
     path: str
     skipped: bool
+    soft: bool = False
 
 
 @dataclass
@@ -76,13 +89,24 @@ class Block:
     paths: tuple[str, ...]
     text: str
     linked: int = 0
+    heading: bool = False
 
 
 @dataclass
 class Page:
-    """Blocks outside boilerplate, in page order."""
+    """Blocks outside boilerplate, and those inside soft classes, in page order."""
 
     blocks: list[Block] = field(default_factory=list)
+    #: Places of soft blocks among the others.
+    soft: list[tuple[int, Block]] = field(default_factory=list)
+
+    def main(self) -> list[Block]:
+        """The blocks that may be of the article."""
+        prose = [(at, b) for at, b in self.soft if 2 * b.linked < len(b.text)]
+        if not prose or not all(b.heading for b in self.blocks):
+            return self.blocks
+        both = [(at, 0, b) for at, b in enumerate(self.blocks)] + [(at - 0.5, 1, b) for at, b in prose]
+        return [b for _, _, b in sorted(both, key=lambda x: x[:2])]
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -96,35 +120,58 @@ def _names(attributes: dict[str, str]) -> list[str]:
     return attributes.get("class", "").split()
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """`hard`, `soft`, or empty."""
     if tag == "header" and in_article:
-        return False  # the head of the article itself: its title
+        return ""  # the head of the article itself: its title
     if tag in SKIPPED or "hidden" in attributes or attributes.get("role", "").lower() in ROLES:
-        return True
+        return "hard"
     if attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return "hard"
     if tag in ("html", "body", "main", "article"):
-        return False
+        return ""
     names = [re.sub(r"([a-z])([A-Z])", r"\1-\2", x).lower() for x in (*_names(attributes), attributes.get("id", ""))]
-    return any(BOILERPLATE.search(x) and not KEPT.search(x) for x in names)
+    named = [x for x in names if BOILERPLATE.search(x) and not KEPT.search(x)]
+    hard = any(BOILERPLATE.search(SOFT.sub("", x)) or not SOFT.search(x) for x in named)
+    return "hard" if hard else "soft" if named else ""
+
+
+def _tag_end(source: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose attributes begin at `at`; a quote that is never closed is no quote."""
+    while m := _SPECIAL.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        at = source.index(m[0], m.end()) + 1 if m.start() < last[m[0]] else m.end()
+    return -1
 
 
 def parse(source: str) -> Page:
     page, stack = Page(), []
+    opened: Counter[str] = Counter()
+    trail: list[str] = []  # paths of the open containers
+    last = {quote: source.rfind(quote) for quote in "\"'"}
     words: list[str] = []
     linked, in_link, in_title, at = 0, 0, 0, 0
 
-    def paths() -> tuple[str, ...]:
-        return tuple(x.path for x in stack if x.path)
-
-    def close_block() -> None:
+    def close_block(heading: bool = False) -> None:
         nonlocal linked
         text = _WHITE.sub(" ", references.unescape("".join(words))).strip()
         if text:
-            page.blocks.append(Block(paths(), text, min(linked, len(text))))
+            block = Block(tuple(trail), text, min(linked, len(text)), heading)
+            if stack and stack[-1].soft:
+                page.soft.append((len(page.blocks), block))
+            else:
+                page.blocks.append(block)
         words.clear()
         linked = 0
 
+    def push(tag: str, path: str, skipped: bool) -> None:
+        soft = kind == "soft" or bool(stack) and stack[-1].soft
+        stack.append(Open(tag, path, skipped, soft))
+        opened[tag] += 1
+        if path:
+            trail.append(path)
+
     def say(part: str) -> None:
         nonlocal linked
         if part and not (stack and stack[-1].skipped):
@@ -132,32 +179,44 @@ def parse(source: str) -> Page:
             linked += len(part) if in_link else 0
 
     while at < len(source):
-        m = _TOKEN.search(source, at)
+        m = _OPENING.search(source, at)
         if m is None:
             say(source[at:])
             break
-        say(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if m[1] or m[2]:  # a comment, or a declaration
+            say(source[at : m.start()])
+            end = source.find("-->" if m[1] else ">", m.end())
+            at = len(source) if end < 0 else end + (3 if m[1] else 1)
             continue
-        hidden = bool(stack) and stack[-1].skipped
-        if m[1]:  # an end tag
+        tag, end = m[4].lower(), _tag_end(source, m.end(), last)
+        if end < 0:  # no tag is closed from here on
+            say(source[at:])
+            break
+        say(source[at : m.start()])
+        inner, at = source[m.end() : end], end + 1
+        hidden, kind = bool(stack) and stack[-1].skipped, ""
+        if m[3]:  # an end tag
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag in BLOCKS and not hidden:
-                close_block()
-            if any(x.tag == tag for x in stack):
+                close_block(tag in HEADINGS)
+            if opened[tag]:
                 if not hidden:
                     close_block()
-                while stack and stack.pop().tag != tag:
-                    pass
+                while stack:
+                    ended = stack.pop()
+                    opened[ended.tag] -= 1
+                    if ended.path:
+                        trail.pop()
+                    if ended.tag == tag:
+                        break
             continue
         if tag in _RAW_END:
-            end = _RAW_END[tag].search(source, at)
-            at = end.end() if end else len(source)
+            raw = _RAW_END[tag].search(source, at)
+            end = source.find(">", raw.end()) if raw else -1
+            at = end + 1 if end >= 0 else len(source)
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or inner.endswith("/"):
             if tag in ("br", "hr", "img"):
                 say(" ")
             continue
@@ -167,34 +226,41 @@ def parse(source: str) -> Page:
             close_block()
         if hidden:
             if tag in CONTAINERS or tag in SKIPPED:
-                stack.append(Open(tag, "", True))
+                push(tag, "", True)
             continue
-        attributes = _attributes(m[3]) if m[3] else {}
-        skip = _is_boilerplate(tag, attributes, any(x.tag == "article" for x in stack))
-        if tag in CONTAINERS or skip:
-            if skip:
+        attributes = _attributes(inner) if inner else {}
+        kind = _boilerplate(tag, attributes, opened["article"] > 0)
+        if tag in CONTAINERS or kind:
+            if kind:
                 close_block()
-            if skip and tag not in CONTAINERS and tag not in SKIPPED:
+            if kind and tag not in CONTAINERS and tag not in SKIPPED:
                 # a paragraph or span of boilerplate lasts until its end tag or the end of what holds it
-                stack.append(Open(tag, "", True))
+                push(tag, "", kind == "hard")
                 continue
             name = ".".join([tag, *sorted(_DIGITS.sub("", x.lower()) for x in _names(attributes))])
-            above = next((x.path for x in reversed(stack) if x.path), "")
-            stack.append(Open(tag, "" if skip else f"{above}>{name}" if above else name, skip))
+            above = trail[-1] if trail else ""
+            path = "" if kind == "hard" or len(stack) >= MOST_DEEP else f"{above}>{name}" if above else name
+            push(tag, path, kind == "hard")
     if not (stack and stack[-1].skipped):
         close_block()
     return page
 
 
-def own_path(page: Page) -> str:
-    """The path that holds the prose of a page most closely; empty if it has no text."""
+def _prose(blocks: list[Block]) -> tuple[dict[str, int], int]:
+    """Characters of prose by path, links counted against it, and of all blocks."""
     prose: dict[str, int] = {}
     total = 0
-    for block in page.blocks:
+    for block in blocks:
         size = max(0, len(block.text) - 2 * block.linked)
         total += size
         for path in block.paths:
             prose[path] = prose.get(path, 0) + size
+    return prose, total
+
+
+def own_path(page: Page) -> str:
+    """The path that holds the prose of a page most closely; empty if it has no text."""
+    prose, total = _prose(page.main())
     if not prose:
         return ""
     semantic = [p for p, n in prose.items() if p.rsplit(">", 1)[-1].split(".")[0] in SEMANTIC and 2 * n >= total]
@@ -203,11 +269,12 @@ def own_path(page: Page) -> str:
 
 
 def text_at(page: Page, path: str | None) -> str:
-    chosen = [b.text for b in page.blocks if path and path in b.paths]
-    if not chosen:
-        best = own_path(page)
-        chosen = [b.text for b in page.blocks if not best or best in b.paths]
-    return "\n".join(chosen)
+    """The text at a path, or at the page's own path if there is not a fair share of its prose."""
+    blocks, best = page.main(), own_path(page)
+    prose, _ = _prose(blocks)
+    if path and path in prose and prose[path] >= FAIR_SHARE * prose.get(best, 0):
+        best = path
+    return "\n".join(b.text for b in blocks if not best or best in b.paths)
 
 
 def host_of(url) -> F.Column:

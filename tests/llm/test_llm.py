@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -229,6 +230,40 @@ def test_html_consensus(spark):
     assert found[3] == f"T & x\nOne two three {sentence(20, 3)}\nFour five" and found[9] == ""
 
 
+LONG = " ".join(f"word{i} goes on and on." for i in range(30))
+TEMPLATES = {
+    "article": '<body><nav><a href="/">Home</a></nav><article class="post-{i}"><h1>T{i}</h1><p>{t}</p></article><footer>f</footer></body>',
+    "table": '<html><body bgcolor=white><table><tr><td class=menu><a href=x>m</a></td><td class="story"><h1>T{i}</h1><p>{t}</td></tr></table></body></html>',
+    "divs": '<div id="wrap"><div class="Sidebar">s s s</div><div class="entry-content"><h2>T{i}</h2><p>{t}</p></div><div class="comments"><p>{t} mine</p></div></div>',
+    "legal": '<body><div class="legal"><h1>T{i}</h1><p>{t}</p></div><div class="cookie-notice"><p>{t} ok?</p></div></body>',
+    "related": '<body><article><h1>T{i}</h1><div class="related-work"><p>{t}</p></div></article><div class="related"><a href=1>{t}</a></div></body>',
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_html_templates(spark, name):
+    rows = [(i, f"http://{name}.example/{i}", TEMPLATES[name].format(i=i, t=f"{LONG} {i}")) for i in range(3)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"T{i}\n{LONG} {i}" for i in range(3)}
+
+
+def test_html_of_two_templates_on_a_host(spark):
+    """The winner holds a byline only on some pages; these keep their own article."""
+    first = '<div class="post"><h1>T</h1><p>{t}</p></div>'
+    second = '<div class="post"><p>by me</p></div><div class="text"><p>{t}</p><p>{t}</p></div>'
+    rows = [(i, "http://h/x", (second if i > 7 else first).format(t=f"{LONG} {i}")) for i in range(10)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == f"T\n{LONG} 3" and f"{LONG} 9\n{LONG} 9" in found[9]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", "</script ", "<script>", "<!-- ", "<!", "<div>", "</span>", "<p class='", "&amp", "<a<", '<div class="legal">x'])
+def test_html_is_read_in_one_pass(piece):
+    for tail in ("", ">", '">', "'>"):
+        began = time.process_time()
+        html.text_at(html.parse("<p>text</p>" + piece * 40_000 + tail), None)
+        assert time.process_time() - began < 8
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(3)
     toxic = ["vileword", "badterm", "nastyone"]
