@@ -46,3 +46,9 @@ def map_names(df: DataFrame, cells: Column) -> DataFrame:
 def document_names(df: DataFrame, document: Column) -> DataFrame:
     """Distinct top-level names of JSON documents, over the whole table."""
     return df.select(F.explode(F.json_object_keys(document)).alias("column")).distinct()
+
+
+def parsed_names(df: DataFrame, parsed: str) -> DataFrame:
+    """The same from a column of parsed documents, so that the rows and their names share one parse."""
+    cells = df.sparkSession.tvf.variant_explode(F.col(parsed).outer())
+    return df.select(parsed).lateralJoin(cells).where("key is not null").select(F.col("key").alias("column")).distinct()

@@ -15,18 +15,30 @@ def json_path(name: str) -> str:
     return "$" + "".join(f"['{part}']" for part in name.split("."))
 
 
+def parse_documents(df: DataFrame, document: str, parsed: str = "parsed") -> DataFrame:
+    """Adds the parsed form of a JSON text column: each document is parsed once, whatever is read from it."""
+    return df.withColumn(parsed, F.try_parse_json(quoted(document)))
+
+
 def flatten_json(df: DataFrame, document: str, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One text column per requested name of a JSON document column.
 
-    Dots walk into objects. A missing top-level name gives empty text, objects and arrays give
-    their JSON text.
+    Dots walk into objects. A missing top-level name gives empty text; objects and arrays give
+    their JSON text. A document is parsed once for all names. The parsed form sorts the keys of objects, so only an
+    object asked for as a whole is taken from the text again, and so is text that is no document (it may
+    repeat a key).
     """
+    parsed = "__parsed"
 
     def field(name: str) -> Column:
-        value = F.get_json_object(quoted(document), json_path(name))
+        path = json_path(name)
+        value = F.try_variant_get(quoted(parsed), path, "string")
+        holds_object = value.startswith("{") | (value.startswith("[") & value.contains("{"))
+        again = quoted(parsed).isNull() | holds_object
+        value = F.when(again, F.get_json_object(quoted(document), path)).otherwise(value)
         return (value if "." in name else F.coalesce(value, F.lit(""))).alias(name)
 
-    return df.select(*[quoted(k) for k in keep], *[field(n) for n in names])
+    return parse_documents(df, document, parsed).select(*[quoted(k) for k in keep], *[field(n) for n in names])
 
 
 def flatten_struct(df: DataFrame, names: Sequence[str]) -> DataFrame:

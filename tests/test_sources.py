@@ -18,7 +18,8 @@ from millrace.sources.options import (
     mongodb_options,
 )
 from millrace.sources.readers import Resolver, read_csv
-from millrace.sources.shaping import flatten_json, flatten_struct, wide_cells
+from millrace.operators.catalogue import parsed_names
+from millrace.sources.shaping import flatten_json, flatten_struct, parse_documents, wide_cells
 from millrace.sources.sinks import jdbc_write_options, store_result, table_ddl, upsert, with_key, write_csv, write_table
 from millrace.workspace import fresh_dir, shared_root
 from test_spec import pair, source, task
@@ -64,6 +65,20 @@ def test_flatten_json(documents):
     assert rows(out) == [("1", "1", '{"x":1,"s":"u"}', "[1,2]", "", ""), ("2", "2", '{"x":2}', "", "text", "")]
 
 
+def test_documents_are_parsed_once(spark):
+    texts = ['{"id":1,"o":{"x":"u","a":{"b":[1,2]}},"l":[1, 2.50],"n":null,"f":1.50}', '{"o":{},"l":"s"}', "no json", None, "[1]", '{"a":1,"a":2}']
+    df = spark.createDataFrame([(t,) for t in texts], "doc string")
+    found = flatten_json(df, "doc", ["id", "o", "o.a.b", "l", "n", "f", "a"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert [tuple(r) for r in found.collect()] == [
+        ("1", '{"x":"u","a":{"b":[1,2]}}', "[1,2]", "[1,2.5]", "", "1.5", ""), ("", "{}", None, "s", "", "", ""),
+        ("", "", None, "", "", "", ""), ("", "", None, "", "", "", ""), ("", "", None, "", "", "", ""), ("", "", None, "", "", "", "1"),
+    ]
+    names = parsed_names(parse_documents(df, "doc"), "parsed")
+    assert rows(names) == [("f",), ("id",), ("l",), ("n",), ("o",)]
+
+
 def test_flatten_struct(documents):
     schema = "id int, o struct<x: int, s: string>, l array<int>, t string"
     typed = documents.selectExpr(f"from_json(doc, '{schema}') AS d").select("d.*")
