@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.streaming.checks import (
+    drain,
     drain_to_table,
     drift_rows,
     flag_late,
@@ -13,10 +14,11 @@ from millrace.streaming.checks import (
     read_files,
     window_verdicts,
 )
+from millrace.streaming.marks import flag_by_mark, split_outputs
 from millrace.workload import quality
 from millrace.workload.quality import FIRST_DAY, SHARE, SPLIT
 from millrace.workload.registry import query, table
-from millrace.workspace import stored
+from millrace.workspace import fresh_dir, stored
 
 
 def value_baseline(spark, sf_dir):
@@ -96,3 +98,29 @@ def stream_late(spark, sf_dir):
     second = _stream(spark, sf_dir).where(f"NOT ({early})").select("event_id", "ts")
     both = drain_to_table(flag_late(second, "ts", mark), "second").select("event_id", "is_late")
     return first.select("event_id", F.lit(False).alias("is_late")).unionByName(both)
+
+
+@query(
+    """
+    WITH a AS (SELECT event_id, event_type, ts,
+                 ts < CASE WHEN event_type IN ('view', 'click') THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2024-01-10' END
+                 AND user_id % 7 <> 3 AS early FROM events),
+         m AS (SELECT event_type, max(ts) AS mark FROM a WHERE early GROUP BY event_type)
+    SELECT event_id, event_type, NOT early AND ts <= mark AS is_late FROM a JOIN m USING (event_type)
+    """
+)
+def stream_marks(spark, sf_dir):
+    """Two drains of one stream with a task for each event type; the users left out of the first arrive late."""
+    events = table(spark, sf_dir, "events")
+    early = (
+        "ts < IF(event_type IN ('view', 'click'), timestamp_ntz'2024-01-20', timestamp_ntz'2024-01-10')"
+        " AND user_id % 7 <> 3"
+    )
+    root = fresh_dir(spark, "marks")
+    for part in (early, f"NOT ({early})"):
+        events.where(part).write.mode("append").parquet(f"{root}/in")
+        stream = read_files(spark, f"{root}/in", events.schema).select("event_id", "event_type", "ts")
+        drain(flag_by_mark(stream, "event_type", "ts"), f"{root}/out", f"{root}/checkpoint", ["is_late"])
+    on_time, late = split_outputs(f"{root}/out", spark)
+    both = on_time.withColumn("is_late", F.lit(False)).unionByName(late.withColumn("is_late", F.lit(True)))
+    return both.select("event_id", "event_type", "is_late")

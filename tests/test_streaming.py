@@ -1,5 +1,7 @@
 """Streams give what the batch checks give over the same rows."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,34 @@ def test_a_file_between_two_runs_lands_in_one_output(spark):
     found = spark.read.parquet(out)
     assert rows(found.where("is_late = 'true'"), "id") == [(i,) for i in [0, 1, 2, 3, 4, *range(10, 17)]]
     assert rows(found.where("is_late = 'false'"), "id") == [(i,) for i in [5, 6, 7, 8, 9, 17, 18, 19]]
+
+
+def test_marks_of_tasks_survive_a_restart(spark):
+    """Each task has its own mark; a drain that starts again at the checkpoint splits its rows in the same way."""
+    from millrace.streaming.checks import drain, read_files
+    from millrace.streaming.marks import flag_by_mark, split_outputs
+
+    schema = "id long, task string, at timestamp_ntz, big long, note string"
+    rows_ = lambda *x: spark.createDataFrame([(i, t, None if a is None else datetime(2024, 1, a), None if i % 2 else 2**62 + i, n) for i, t, a, n in x], schema)
+    parts = [
+        rows_((1, "a", 5, "x"), (2, "b", 9, None), (3, None, 7, "x"), (4, "a", 3, "x"), (5, "a", None, "x")),
+        rows_((6, "a", 5, None), (7, "a", 6, "x"), (8, "b", 9, "x"), (9, None, 8, "x"), (10, "c", 1, "x"), (11, "a", None, "x")),
+        rows_((12, "a", 6, "x"), (13, "c", 2, "x"), (14, None, 8, "x")),
+    ]
+    expected = {1: False, 2: False, 3: False, 4: False, 5: False, 6: True, 7: False, 8: True, 9: False, 10: False, 11: False, 12: True, 13: False, 14: True}
+    found = []
+    for slots in (1, 3):
+        root = fresh_dir(spark, "marks")
+        for i, part in enumerate(parts):
+            part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+            stream = read_files(spark, f"{root}/in", part.schema)
+            drain(flag_by_mark(stream, "task", "at", slots), f"{root}/out", f"{root}/checkpoint", ["is_late"])
+            if i == 1:  # nothing new: nothing is written twice
+                drain(flag_by_mark(stream, "task", "at", slots), f"{root}/out", f"{root}/checkpoint", ["is_late"])
+        on_time, late = split_outputs(f"{root}/out", spark)
+        assert {r.id: False for r in on_time.collect()} | {r.id: True for r in late.collect()} == expected
+        assert on_time.count() + late.count() == 14
+        whole = on_time.unionByName(late)
+        found.append(rows(whole, *whole.columns))
+        assert found[-1] == rows(parts[0].unionByName(parts[1]).unionByName(parts[2]), *whole.columns)
+    assert found[0] == found[1]
