@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.sequence import generated_key
 from millrace.plans.spec import ColumnSpec
+from millrace.sources.bucketed import BucketedTable
 from millrace.sources.filters import find_filter, search_filter
 from millrace.sources.readers import read_csv, run_statement
 from millrace.sources.shaping import column_subset, flatten_json, upper_names, wide_cells
@@ -145,6 +146,30 @@ def sink_upsert(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query(
+    """
+    SELECT o_orderkey,
+           CASE WHEN o_orderkey % 1000 = 7 THEN 'Z' WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderkey % 1000 = 7 THEN -1.0 WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 2 ELSE o_totalprice END AS o_totalprice
+    FROM orders
+    UNION ALL SELECT -o_orderkey - 1, 'N', o_totalprice FROM orders WHERE o_orderkey % 1000 = 8
+    """
+)
+def sink_upsert_buckets(spark, sf_dir):
+    """Three versions of a table in hash buckets; the last upsert has few keys and leaves most buckets alone."""
+    orders = table(spark, sf_dir, "orders")
+    stored_table = BucketedTable(spark, fresh_dir(spark, "buckets"), ["o_orderkey"], ["o_totalprice"])
+    stored_table.create(orders.select(_NAMES), buckets=32)
+    urgent = orders.where("o_orderpriority = '1-URGENT'")
+    stored_table.upsert(
+        urgent.selectExpr("o_orderkey", "'U' AS o_orderstatus", "explode(array(o_totalprice + 1, o_totalprice + 2)) AS o_totalprice")
+    )
+    few = orders.where("o_orderkey % 1000 = 7").selectExpr("o_orderkey", "'Z' AS o_orderstatus", "-1.0D AS o_totalprice")
+    more = orders.where("o_orderkey % 1000 = 8").selectExpr("-o_orderkey - 1 AS o_orderkey", "'N' AS o_orderstatus", "o_totalprice")
+    stored_table.upsert(few.unionByName(more))
+    return stored_table.read()
+
+
 _BASE = "2024-01-01 00:00:00"
 
 

@@ -4,10 +4,12 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from conftest import rows
 from millrace.plans.runner import plan_task
 from millrace.plans.spec import ColumnSpec, Source, parse_task
+from millrace.sources.bucketed import BucketedTable
 from millrace.sources.filters import find_filter, search_filter
 from millrace.sources.options import (
     SplitBy,
@@ -210,3 +212,38 @@ def test_shared_root_comes_from_the_session(spark, tmp_path):
     del Session.conf["spark.checkpoint.dir"]
     with pytest.raises(ValueError):
         shared_root(Session())
+
+
+def test_upsert_reads_and_writes_changed_buckets_only(spark):
+    table = BucketedTable(spark, fresh_dir(spark, "buckets"), ["k", "s"], ["at"])
+    table.create(spark.range(200).selectExpr("id AS k", "IF(id % 9 = 0, NULL, 'x') AS s", "id * 1.0D AS v", "0 AS at"), buckets=16)
+    first = table.current()
+    changes = spark.createDataFrame([(9, None, 1.5, 1), (9, None, 2.5, 2), (1000, "new", 3.0, 1)], "k int, s string, v double, at long")
+    touched = table.upsert(changes)
+    second = table.current()
+    assert 1 <= len(touched) <= 2 and second.number == first.number + 1
+    assert {b for b in first.folders if second.folders[b] != first.folders[b]} == {b for b in touched if b in first.folders}
+    old = table._rows(first, [b for b in touched if b in first.folders])
+    assert all(any(f"__bucket={b}/" in f for b in touched) for f in old.inputFiles())
+    got = {(r.k, r.s): (r.v, r["at"]) for r in table.read().collect()}
+    assert len(got) == table.read().count() == 201
+    assert got[9, None] == (2.5, 2) and got[1000, "new"] == (3.0, 1) and got[10, "x"] == (10.0, 0)
+    assert table.upsert(changes.limit(0)) == [] and table.current() == second
+
+
+def test_a_version_is_seen_only_when_it_is_committed(spark):
+    root = fresh_dir(spark, "buckets")
+    table = BucketedTable(spark, root, ["k"])
+    with pytest.raises(ValueError):
+        table.read()
+    table.create(spark.createDataFrame([], "k int, v string"), buckets=4)
+    assert table.read().columns == ["k", "v"] and table.read().count() == 0
+    table.upsert(spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"))
+    version = table.current()
+    changed = spark.createDataFrame([(1, "b")], "k int, v string")
+    changed.write.parquet(f"{root}/data/cut-short")  # a run that ended before its manifest
+    assert rows(table.read()) == [(None, "n"), (1, "a")]
+    table._write(version, changed)
+    with pytest.raises(AnalysisException):  # a second writer of the same version
+        table._write(version, changed)
+    assert rows(table.read()) == [(None, "n"), (1, "b")]
