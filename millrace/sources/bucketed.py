@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +25,7 @@ from millrace.functions.columns import quoted
 from millrace.sources.sinks import upsert
 
 _BUCKET = "__bucket"
-_MANIFEST = "version bigint, bucket int, folder string, buckets int, columns string"
+_MANIFEST = "version bigint, bucket int, folder string, buckets int, columns string, note string"
 #: The manifest row that stands for the table itself.
 _TABLE = -1
 
@@ -66,16 +66,38 @@ class BucketedTable:
         version = self.current()
         return self._rows(version, sorted(version.folders))
 
+    def ensure(self, schema: T.StructType, buckets: int = 64) -> None:
+        """Creates an empty table if there is none."""
+        try:
+            self.current()
+        except ValueError:
+            self._commit(Version(0, buckets, schema, {}))
+
     def upsert(self, changes: DataFrame) -> list[int]:
         """Merges the changes; returns the buckets that were rewritten. All others are neither read nor written."""
+        return self.merge(changes, lambda old, new: upsert(old, new, self.keys, self.order))
+
+    def merge(
+        self, changes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], note: str | None = None
+    ) -> list[int]:
+        """`how` makes the new rows of the changed buckets from their old rows and the changes.
+
+        A note is committed with the version, in the same file: `note in table.notes()` then says whether
+        these changes are in the table.
+        """
         version = self.current()
         changes = changes.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in version.schema])
         touched = sorted(r[0] for r in changes.select(self._bucket(version)).distinct().collect())
-        if touched:
+        if touched or note is not None:
             old = self._rows(version, [b for b in touched if b in version.folders])
-            self._write(version, upsert(old, changes, self.keys, self.order))
+            self._write(version, how(old, changes).select(*version.schema.names), note)
         return touched
 
+    def notes(self) -> set[str]:
+        """The notes of all versions."""
+        found = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/*")
+        return {r.note for r in found.where(f"bucket = {_TABLE} AND note IS NOT NULL").select("note").collect()}
+
     def _bucket(self, version: Version) -> Column:
         return F.pmod(F.xxhash64(*map(quoted, self.keys)), F.lit(version.buckets)).cast("int").alias(_BUCKET)
 
@@ -85,24 +107,23 @@ class BucketedTable:
             return self.spark.createDataFrame([], version.schema)
         return self.spark.read.schema(version.schema).parquet(*paths)
 
-    def _write(self, version: Version, merged: DataFrame) -> None:
+    def _write(self, version: Version, merged: DataFrame, note: str | None = None) -> None:
         folder = f"data/{uuid.uuid4().hex}"
         placed = merged.select("*", self._bucket(version)).repartition(_BUCKET)
         placed.write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
-        written = self.spark.read.parquet(f"{self.root}/{folder}") if not _is_empty(self.spark, f"{self.root}/{folder}") else None
-        new = [r[0] for r in written.select(_BUCKET).distinct().collect()] if written is not None else []
-        folders = version.folders | {b: f"{folder}/{_BUCKET}={b}" for b in new}
+        new = {b: f"{folder}/{_BUCKET}={b}" for b in self._buckets_in(folder)}
+        self._commit(replace(version, folders=version.folders | new), note)
+
+    def _buckets_in(self, folder: str) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        entries = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [e.getPath().getName() for e in entries]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{_BUCKET}="))
+
+    def _commit(self, version: Version, note: str | None = None) -> None:
+        """Writes the manifest that follows a version."""
         number = version.number + 1
-        rows = [(number, b, f, version.buckets, None) for b, f in folders.items()]
-        rows.append((number, _TABLE, None, version.buckets, version.schema.json()))
+        rows = [(number, b, f, version.buckets, None, None) for b, f in version.folders.items()]
+        rows.append((number, _TABLE, None, version.buckets, version.schema.json(), note))
         manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
         manifest.write.mode("errorifexists").parquet(f"{self.root}/manifest/v{number:09d}")
-
-
-def _is_empty(spark: SparkSession, path: str) -> bool:
-    try:
-        return spark.read.parquet(path).isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # no row, so no file
-            return True
-        raise

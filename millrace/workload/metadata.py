@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import catalogue, graph, usage
+from millrace.plans.publish import MetadataStore
 from millrace.workload.registry import query, table
-from millrace.workspace import stored
+from millrace.workspace import fresh_dir, stored
 
 _TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -320,3 +321,45 @@ def usage_merged(spark, sf_dir):
     out = usage.merge_usage(*map(usage.accumulate, halves), users)
     shown = F.date_format("last_used", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_used")
     return out.select("id", "column_count", "merge_count", "sum_count", "users", shown)
+
+
+def _published(spark, sf_dir):
+    """Two runs: one is published twice, the other was cut short before its counters and then published."""
+    store = MetadataStore(spark, fresh_dir(spark, "metadata"), buckets=4)
+    whole = stored(corpus(spark, sf_dir), "corpus")
+    runs = {f"run{k}": whole.where(F.pmod("submission", F.lit(2)) == k) for k in (0, 1)}
+    store.publish("run0", runs["run0"])
+    store._facts(runs["run1"], stored(usage.task_usage(runs["run1"]), "published"), None)
+    for run in ("run1", "run0"):
+        store.publish(run, runs[run])
+    return store
+
+
+@query(
+    f"""
+    WITH {_CORPUS_SQL}
+    SELECT 'h:1:d:' || "table" || ':' || "column" AS src, CAST(event_id AS VARCHAR) AS dst, 'RELATED' AS kind FROM used
+    UNION SELECT 'h:1:d:' || "table", CAST(event_id AS VARCHAR), 'TABLE_RELATED' FROM used
+    UNION SELECT 'h:1:d:' || "table", 'h:1:d:' || "table" || ':' || "column", 'HAS_COLUMN' FROM used
+    UNION SELECT 'h:1:d', 'h:1:d:' || "table", 'HAS_TABLE' FROM used
+    UNION SELECT 'mysql', 'h:1:d', 'HAS_DATABASE' FROM used
+    UNION SELECT 'Column', 'h:1:d:' || "table" || ':' || "column", 'vertex' FROM used
+    UNION SELECT 'Table', 'h:1:d:' || "table", 'vertex' FROM used
+    UNION SELECT 'Database', 'h:1:d', 'vertex' FROM used UNION SELECT 'DBType', 'mysql', 'vertex' FROM used
+    UNION SELECT "table", "column", 'catalogue' FROM used
+    UNION ALL SELECT 'h:1:d:' || "table" || ':' || "column",
+      concat_ws('|', count(*), sum(merge_count), sum(sum_count), count(DISTINCT user_id), strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f')), 'usage'
+    FROM used GROUP BY "table", "column"
+    """
+)
+def published_tables(spark, sf_dir):
+    """All edges, vertices, catalogue rows and usage counters of the store."""
+    store = _published(spark, sf_dir)
+    last = F.date_format("last_used", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    counters = F.concat_ws("|", *[F.col(c).cast("string") for c in ("column_count", "merge_count", "sum_count", "users")], last)
+    parts = [
+        store.read("vertices").select(F.col("kind").alias("src"), F.col("id").alias("dst"), F.lit("vertex").alias("kind")),
+        store.read("catalogue").select(F.col("table").alias("src"), F.col("column").alias("dst"), F.lit("catalogue").alias("kind")),
+        store.read("usage").select(F.col("id").alias("src"), counters.alias("dst"), F.lit("usage").alias("kind")),
+    ]
+    return reduce(DataFrame.unionByName, parts, store.read("edges"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from millrace.operators import catalogue, graph, lineage, usage
+from millrace.workspace import fresh_dir
 from test_spec import pair
 
 
@@ -172,3 +173,31 @@ def test_graph_of_a_corpus(spark):
     totals = usage.accumulate(usage.task_usage(docs)).select("id", "column_count")
     assert rows(graph.column_vertices(members, ["id"], totals), "id", "column_count") == [
         ("h:1:d:a:p", 2), ("h:1:d:a:q", 1), ("h:1:d:b:r", 1)]
+
+
+def test_a_run_is_published_once(spark, sf_dir, monkeypatch):
+    """A repeat adds nothing; a crash before the counters leaves them untouched, and the next call ends the work."""
+    from millrace.plans.publish import MetadataStore
+    from millrace.workload import metadata
+
+    documents = metadata.corpus(spark, sf_dir).where("submission < 60").cache()
+    first, second = documents.where("submission < 40"), documents.where("submission >= 40")
+    events = spark.createDataFrame([("e1", "load"), ("e2", "store")], "run_id string, action_name string")
+    store = MetadataStore(spark, fresh_dir(spark, "metadata"), buckets=4)
+    assert not store.published("a") and store.publish("a", first, events) and store.published("a")
+    before = rows(store.read("usage"))
+    assert not store.publish("a", first, events) and rows(store.read("usage")) == before
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(MetadataStore, "_counters", crash)
+    with pytest.raises(RuntimeError):
+        store.publish("b", second, events)
+    assert rows(store.read("usage")) == before and not store.published("b")
+    monkeypatch.undo()
+    assert store.publish("b", second, events)
+    whole = usage.accumulate(usage.task_usage(documents))
+    names = ["id", "column_count", "merge_count", "sum_count", "mode_count", "users", "last_used"]
+    assert rows(store.read("usage"), *names) == rows(whole, *names)
+    assert rows(store.read("events")) == [("e1", "load"), ("e2", "store")]
