@@ -157,7 +157,9 @@ def quantiles_of(
     for column, found in at.items():
         for p in asked:
             below, above, part = _places(totals[column], p)
-            rows.append((column, p, found[below] + (found[above] - found[below]) * part))
+            low, high = found[below], found[above]
+            # from the nearer end, so that neighbours a single step apart are not both rounded down
+            rows.append((column, p, low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)))
     return local_rows(spark, rows, "column string, probability double, quantile double")
 
 
