@@ -31,9 +31,9 @@ that repeat id, language and text share one result. Other columns are left out b
 
 from __future__ import annotations
 
-import itertools
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +51,15 @@ SHRINK = 100
 LOW, HIGH = 0.005, 0.995
 STEPS = 10_000
 BEGIN, END = "\x02", "\x03"
-#: Distinct words that a task remembers.
-TASK_WORDS = 400_000
+#: Distinct words and windows that a counting task remembers, and words that a scoring task does.
+TASK_WORDS, TASK_GRAMS, SCORED_WORDS = 400_000, 500_000, 400_000
 
 
 def windows(word: str) -> list[str]:
     """Each character of the marked word, the end mark included, with its context."""
     marked = BEGIN + word.replace(BEGIN, " ").replace(END, " ") + END
-    return [marked[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(marked))]
+    short = [marked[:i] for i in range(2, min(len(marked), ORDER) + 1)]
+    return short + [marked[i - ORDER : i] for i in range(ORDER + 1, len(marked) + 1)]
 
 
 def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable]]:
@@ -76,44 +77,73 @@ def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield start, hashes, counts, rows, which, text
 
 
+class Counts:
+    """Counts of the windows of words, in three columns."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.sums = [np.zeros(0, np.int64) for _ in range(3)]
+
+    def add(self, words: Iterable[list]) -> None:
+        """Each word is [text, count, count, count]."""
+        place, words = self.place, list(words)
+        at = array("q")
+        sizes = array("q")
+        for word in words:
+            listed = windows(word[0])
+            at.extend([place.setdefault(g, len(place)) for g in listed])
+            sizes.append(len(listed))
+        at, sizes = np.frombuffer(at, np.int64), np.frombuffer(sizes, np.int64)
+        for i, old in enumerate(self.sums):
+            weights = np.repeat(np.array([w[i + 1] for w in words], float), sizes)
+            new = np.bincount(at, weights, len(place)).astype(np.int64)
+            new[: len(old)] += old
+            self.sums[i] = new
+
+
 def window_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n, n0, n1: windows of the texts (lang, part, text), all and those of the parts 0 and 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict[int, list]] = {}  # language, word hash: text and counts
+        grams: dict[str, Counts] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def fold() -> None:
             for lang, found in seen.items():
-                place: dict[str, int] = {}
-                listed = [[place.setdefault(g, len(place)) for g in windows(w[0])] for w in found.values()]
-                at = np.fromiter(itertools.chain.from_iterable(listed), np.int64)
-                sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-                counts = np.array([w[1:] for w in found.values()], float)
-                sums = [np.bincount(at, np.repeat(c, sizes), len(place)).astype(np.int64) for c in counts.T]
-                names = pa.array(list(place), pa.string())
+                grams.setdefault(lang, Counts()).add(found.values())
+            seen.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            fold()
+            for lang, own in grams.items():
+                names = pa.array(list(own.place), pa.string())
                 for k in range(0, len(names), 20_000):
                     some = names.slice(k, 20_000)
-                    own = [pa.array(x[k : k + 20_000]) for x in sums]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), some, *own], ["lang", "gram", "n", "n0", "n1"]
-                    )
-            seen.clear()
+                    sums = [pa.array(x[k : k + len(some)]) for x in own.sums]
+                    columns = [pa.array([lang] * len(some), pa.string()), some, *sums]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n", "n0", "n1"])
+            grams.clear()
 
         for batch in batches:
             langs = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = batch.column(1).to_numpy()
-            for lang, part in sorted(set(zip(langs, parts))):
-                texts = batch.column(2).filter(pa.array((langs == lang) & (parts == part)))
-                for _, hashes, counts, _, _, text in word_blocks(texts):
+            for lang in sorted(set(langs)):
+                some = batch.filter(pa.array(langs == lang))
+                part = some.column(1).to_numpy()
+                for start, hashes, counts, rows, which, text in word_blocks(some.column(2)):
+                    of = part[start + rows]
+                    first, second = (np.bincount(which[of == p], minlength=len(hashes)).tolist() for p in (0, 1))
                     own = seen.setdefault(lang, {})
-                    for k, (h, n) in enumerate(zip(hashes.tolist(), counts.tolist())):
+                    for k, (h, n, a, b) in enumerate(zip(hashes.tolist(), counts.tolist(), first, second)):
                         if (entry := own.get(h)) is None:
-                            entry = own[h] = [text(k), 0, 0, 0]
-                        entry[1] += n
-                        if part >= 0:
-                            entry[2 + part] += n
+                            own[h] = [text(k), n, a, b]
+                        else:
+                            entry[1] += n
+                            entry[2] += a
+                            entry[3] += b
                     if sum(map(len, seen.values())) > TASK_WORDS:
-                        yield from flush()
+                        fold()
+                        if sum(len(x.place) for x in grams.values()) > TASK_GRAMS:
+                            yield from flush()
         yield from flush()
 
     found = docs.select("lang", "part", "text").mapInArrow(run, "lang string, gram string, n long, n0 long, n1 long")
@@ -245,7 +275,7 @@ def document_sums(docs: DataFrame, hot: dict[str, dict[str, tuple]]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     colds = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
 
-    def scored(word: str, known: dict[str, tuple]) -> tuple[float, float, float, int, list[str] | None]:
+    def scored(word: str, known: dict[str, tuple]) -> tuple[tuple[float, float, float, int], list[str] | None]:
         whole, first, second, cold, grams = 0.0, 0.0, 0.0, None, windows(word)
         for gram in grams:
             p = known.get(gram)
@@ -257,42 +287,60 @@ def document_sums(docs: DataFrame, hot: dict[str, dict[str, tuple]]) -> DataFram
                 cold = [gram]
             else:
                 cold.append(gram)
-        return whole, first, second, len(grams), cold
-
-    def sums(column: pa.Array, known: dict[str, tuple], table: dict[int, tuple]) -> tuple[np.ndarray, list]:
+        return (whole, first, second, len(grams)), cold
+
+    class Table:
+        """The words a task has met: places by hash, their sums, and the cold windows of those that have some."""
+
+        def __init__(self) -> None:
+            self.place: dict[int, int] = {}
+            self.values = np.zeros((1 << 12, 4))
+            self.cold: dict[int, list[str]] = {}
+
+        def of(self, hashes: list[int], text: Callable, known: dict[str, tuple]) -> np.ndarray:
+            if len(self.place) > SCORED_WORDS:
+                self.__init__()
+            place, first, new = self.place, len(self.place), []
+            for k, h in enumerate(hashes):
+                if h not in place:
+                    sums, cold = scored(text(k), known)
+                    if cold:
+                        self.cold[len(place)] = cold
+                    place[h] = len(place)
+                    new.append(sums)
+            while len(place) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            if new:
+                self.values[first : len(place)] = new
+            return np.array([place[h] for h in hashes])
+
+    def sums(column: pa.Array, known: dict[str, tuple], table: Table) -> tuple[np.ndarray, list]:
         total, cold = np.zeros((4, len(column))), [[] for _ in range(len(column))]
         for start, hashes, _, rows, which, text in word_blocks(column):
-            if len(table) > TASK_WORDS:
-                table.clear()
-            found = []
-            for k, h in enumerate(hashes.tolist()):
-                one = table.get(h)
-                if one is None:
-                    one = table[h] = scored(text(k), known)
-                found.append(one)
-            if not found:
+            if not len(hashes):
                 continue
-            values = np.array([f[:4] for f in found])
-            has_cold = np.array([f[4] is not None for f in found])
+            at = table.of(hashes.tolist(), text, known)
+            values = table.values[at]
             end = start + int(rows.max()) + 1
             for k in range(4):
                 total[k, start:end] += np.bincount(rows, weights=values[which, k])
-            at = np.flatnonzero(has_cold[which])
+            has_cold = np.array([i in table.cold for i in at.tolist()])
+            there = np.flatnonzero(has_cold[which])
             rest: dict[int, Counter] = {}
-            for row, k in zip(rows[at].tolist(), which[at].tolist()):
-                rest.setdefault(row, Counter()).update(found[k][4])
+            for row, k in zip(rows[there].tolist(), at[which[there]].tolist()):
+                rest.setdefault(row, Counter()).update(table.cold[k])
             for row, counts in rest.items():
                 cold[start + row] = [{"gram": g, "times": t} for g, t in counts.items()]
         return total, cold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, dict[int, tuple]] = {}
+        tables: dict[str, Table] = {}
         for batch in batches:
             langs = batch.column(1).to_numpy(zero_copy_only=False)
             for lang in sorted(set(langs)):
                 some = batch.filter(pa.array(langs == lang))
                 part = some.column(3).to_numpy()
-                total, cold = sums(some.column(4), shared.value.get(lang, {}), tables.setdefault(lang, {}))
+                total, cold = sums(some.column(4), shared.value.get(lang, {}), tables.setdefault(lang, Table()))
                 held = np.choose(part + 1, [np.zeros(len(part)), total[2], total[1]])  # the other fold's model
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns[:4], pa.array(total[3].astype(np.int64)), pa.array(total[0]), pa.array(held), pa.array(cold, colds)],
