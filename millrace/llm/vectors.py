@@ -4,8 +4,11 @@ Vectors of a label are split into shards: sampled pivots divide what is larger t
 vector goes to the two nearest pivots, so shards overlap. Each shard builds a graph by robust pruning
 (a neighbour is kept unless one kept before it is nearer to it by the factor ALPHA). The adjacency
 lists of a vector from all its shards are united. Every vector is then a query: greedy search from
-the medoids of its shards, and from there on along all vectors within SLACK, until nothing new is in
-range. What it meets that is at home in a shard it wasn't sent to, sends it there in the next round.
+itself and the medoids of its shards, and from there on along all vectors within SLACK, until nothing
+new is in range. What it meets that is at home in a shard it wasn't sent to, sends it there in the next
+round, where the search also starts from what was met. The nearest vectors of a vector in a large group
+are a small part of the group only, so each also keeps SPREAD vectors from all over those within SLACK:
+with them the range holds together.
 
 Every link is verified by the cosine in double precision. A vector is counted in its home shard only,
 so no link counts twice and pairs are never listed; what leaves a task is a count for each query and
@@ -31,11 +34,12 @@ from millrace.workspace import stored
 
 COSINE = 0.98
 SLACK = 0.95  # search goes on along vectors of at least this cosine
+REACH = 2 * SLACK**2 - 1  # two vectors within SLACK of a third have at least this cosine
 SHARD = 1_500
 MOST_PIVOTS = 64
 LEVELS = 12
 CHUNK = 4_096
-NEAREST, DEGREE, ALPHA = 64, 24, 1.2
+NEAREST, DEGREE, ALPHA, SPREAD = 64, 24, 1.2, 8
 MEDOIDS, BEAM = 16, 8
 
 
@@ -141,32 +145,52 @@ def shard_graph(x: np.ndarray) -> list[list[int]]:
     n = len(x)
     starts = medoids(x)
     lists: list[list[int]] = []
+    spread: list[set[int]] = [set() for _ in range(n)]
+    drawn = np.random.default_rng(n).random(n)
     for first in range(0, n, 256):
         near = x[first : first + 256] @ x.T
         top = np.argpartition(-near, min(NEAREST, n - 1), axis=1)[:, : NEAREST + 1]
         lists += [pruned(x, first + i, np.union1d(row, starts)) for i, row in enumerate(top)]
+        for i in np.flatnonzero((near >= SLACK).sum(axis=1) > NEAREST):
+            group = np.flatnonzero(near[i] >= SLACK)
+            place = ((np.arange(SPREAD) + drawn[first + i]) * len(group) / SPREAD).astype(int)
+            spread[first + i].update(set(group[place].tolist()) - {int(first + i)})
     back: list[set[int]] = [set(row) for row in lists]
     for i, row in enumerate(lists):
         for j in row:
             back[j].add(i)
-    return [sorted(row) if len(row) <= 2 * DEGREE else pruned(x, i, np.array(sorted(row))) for i, row in enumerate(back)]
+    for i, row in enumerate(back):
+        if len(row) > 2 * DEGREE:
+            back[i] = set(pruned(x, i, np.array(sorted(row))))
+    for i, row in enumerate(spread):  # both ways, and never pruned
+        for j in row:
+            back[i].add(j)
+            back[j].add(i)
+    return [sorted(row) for row in back]
 
 
 def graph(members: DataFrame) -> DataFrame:
-    """shard, node, v, home, near: the united adjacency list of the node, with the homes of its nodes."""
+    """shard, node, v, home, near: the united adjacency list of the node, with the homes of its nodes.
+
+    A node beyond REACH has no home there: no query can have it and the list's node both within SLACK.
+    """
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("node", kind="stable")
         node = shard["node"].to_numpy()
-        lists = shard_graph(unit(shard["v"]))
+        x = unit(shard["v"])
+        lists = shard_graph(x)
         a = np.repeat(np.arange(len(node)), [len(r) for r in lists])
         b = np.fromiter((j for r in lists for j in r), int, len(a))
-        return pd.DataFrame({"a": node[a], "b": node[b]}, dtype=object)
+        # the last digit of a cosine depends on the shard, its class may not: it is a hint for the search only
+        close = np.einsum("ij,ij->i", x[a], x[b]) >= REACH
+        return pd.DataFrame({"a": node[a], "b": node[b], "close": close})
 
-    edges = members.groupBy("shard").applyInPandas(build, "a binary, b binary").distinct()
-    homes = members.select(F.col("node").alias("b"), "home").distinct()
+    edges = members.groupBy("shard").applyInPandas(build, "a binary, b binary, close boolean")
+    edges = edges.groupBy("a", "b").agg(F.max("close").alias("close"))
+    homes = members.where(F.col("shard") == F.col("home")).select(F.col("node").alias("b"), "home")
     lists = edges.join(homes, "b").groupBy(F.col("a").alias("node")).agg(
-        F.collect_list(F.struct("b", "home")).alias("near")
+        F.collect_list(F.struct("b", F.when(F.col("close"), F.col("home")).alias("home"))).alias("near")
     )
     joined = members.join(lists, "node", "left")
     return joined.select(
@@ -174,7 +198,9 @@ def graph(members: DataFrame) -> DataFrame:
     )
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray) -> np.ndarray:
+def search(
+    x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, queries: np.ndarray, entry: np.ndarray
+) -> np.ndarray:
     """Cosines of the queries (rows) to the vectors that the search met; -2 to others."""
     n_queries, n = len(queries), len(x)
     score = np.full((n_queries, n), -2.0)
@@ -182,8 +208,8 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray) -> np.nd
     degree = np.array([len(r) for r in lists])
     flat = np.concatenate(lists) if degree.sum() else np.zeros(0, int)
     offset = np.cumsum(degree) - degree
-    starts = medoids(x)
     score[:, starts] = queries @ x[starts].T
+    score[np.arange(n_queries), entry] = np.einsum("ij,ij->i", queries, x[entry])
 
     def expand(q: np.ndarray, node: np.ndarray) -> None:
         done[q, node] = True
@@ -198,15 +224,13 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray) -> np.nd
             score[of[part], to[part]] = np.einsum("ij,ij->i", queries[of[part]], x[to[part]])
 
     active = np.arange(n_queries)
-    while len(active):  # greedy: the best of the beam that isn't expanded yet
+    while len(active):  # greedy: those of the beam that aren't expanded yet
         own = score[active]
         beam = np.partition(own, -min(BEAM, n), axis=1)[:, -min(BEAM, n)]
-        own = np.where(done[active] | (own < beam[:, None]), -3.0, own)
-        best = own.argmax(axis=1)
-        open_ = own[np.arange(len(active)), best] > -2.0
-        active, best = active[open_], best[open_]
-        if len(active):
-            expand(active, best)
+        q, best = np.nonzero((own >= beam[:, None]) & (own > -2.0) & ~done[active])
+        if len(q):
+            expand(active[q], best)
+        active = active[np.unique(q)]
     while True:  # range: all within the slack
         q, node = np.nonzero((score >= SLACK) & ~done)
         if not len(q):
@@ -218,7 +242,10 @@ FOUND = "kind int, a binary, b binary, shard string, n long"
 
 
 def searched(graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """What the searches of the queries (shard, node, v, asked) find: counts, links and further shards."""
+    """What the searches of the queries (shard, node, v, asked, entry) find: counts, links and further shards.
+
+    entry: a vector of the shard to start from, beside the medoids.
+    """
 
     def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
@@ -231,10 +258,11 @@ def searched(graph: DataFrame, queries: DataFrame) -> DataFrame:
             near = [empty if r is None else r for r in shard["near"]]
             lists = [np.array([place[b] for b in r if b in place], int) for r in near]
             away = [
-                {h for b, h in zip(r, empty if hs is None else hs) if b not in place}
+                [(h, b) for b, h in zip(r, empty if hs is None else hs) if h is not None and b not in place]
                 for r, hs in zip(near, shard["near_home"])
             ]
             copies = shard["n"].to_numpy()
+            starts = medoids(x)
             root = list(range(len(node)))
 
             def find(i: int) -> int:
@@ -245,7 +273,8 @@ def searched(graph: DataFrame, queries: DataFrame) -> DataFrame:
 
             for first in range(0, len(asked), 512):
                 part = asked.iloc[first : first + 512]
-                score = search(x, lists, unit(part["v"]))
+                entry = np.array([place[b] for b in part["entry"]], int)
+                score = search(x, lists, starts, unit(part["v"]), entry)
                 for q, known, line in zip(part["node"], part["asked"], score):
                     close = np.flatnonzero(line >= SLACK)
                     linked = close[line[close] >= COSINE]
@@ -261,8 +290,8 @@ def searched(graph: DataFrame, queries: DataFrame) -> DataFrame:
                         for i in others:
                             root[find(i)] = find(anchor)
                     known = set(known)
-                    more = {home[i] for i in close} | {h for i in close for h in away[i]}
-                    rows += [(2, q, None, h, 0) for h in more - known]
+                    more = {h: b for i in close for h, b in away[i]} | {home[i]: node[i] for i in close}
+                    rows += [(2, q, b, h, 0) for h, b in more.items() if h not in known]
             rows += [(1, node[i], node[find(i)], None, 0) for i in range(len(node)) if find(i) != i]
         return pd.DataFrame(rows, columns=["kind", "a", "b", "shard", "n"])
 
@@ -280,18 +309,18 @@ def linked(rows: DataFrame, key: str = "vec_id", label: str = "label", vector: s
     members = stored(sharded(nodes), "vector_members")
     built = stored(graph(members).join(nodes.select("node", "n"), "node"), "vector_graph")
     asked = members.groupBy("node").agg(F.collect_set("shard").alias("asked"))
-    queries = members.select("shard", "node", "v").join(asked, "node")
+    queries = members.select("shard", "node", "v", F.col("node").alias("entry")).join(asked, "node")
     found = None
     while True:
         new = stored(searched(built, queries), "vector_found")
         found = new if found is None else found.unionByName(new)
-        more = new.where("kind = 2").select(F.col("a").alias("node"), "shard").distinct()
+        more = new.where("kind = 2").groupBy(F.col("a").alias("node"), "shard").agg(F.min("b").alias("entry"))
         more = stored(more, "vector_asked")
         if more.isEmpty():
             break
         asked = (
             asked.select("node", F.explode("asked").alias("shard"))
-            .unionByName(more)
+            .unionByName(more.drop("entry"))
             .groupBy("node")
             .agg(F.collect_set("shard").alias("asked"))
         )
