@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import left_join
+from millrace.operators.joins import HOT_SALTS, HOT_SHARE, left_join
 from millrace.operators.parts import PART_SIZE, list_parts
 
 _NODE = "struct<db_type: string, ip: string, port: string, db_name: string, table_name: string>"
@@ -20,6 +20,7 @@ EVENT_SCHEMA = (
 NODE_KEYS = ["db_type", "ip", "port", "db_name", "table_name"]
 
 _LANES = 4
+_TASK_BYTES, _MOST_TASKS = 4 << 20, 10_000
 
 
 def data_nodes(touches: DataFrame, keys: Sequence[str], run: str) -> DataFrame:
@@ -38,16 +39,38 @@ def set_digest(sets: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
     """Rows (keys, size, digest): sets are told apart by size and a 256-bit fingerprint.
 
     The fingerprint is the exclusive-or of four differently seeded hashes per member. It does
-    not depend on order, so it merges like a sum: no set is ever collected, and a set of any
-    size costs one row per task.
+    not depend on order, so it merges like a sum, and no set is ever collected.
+
+    Members are dealt out once, by their set, and told apart and folded where they lie. Sets that
+    may hold over HOT_SHARE of the rows come from a summary of frequent items, as in `hot_keys`: they
+    are dealt to HOT_SALTS tasks by member, and only their partial fingerprints move again.
     """
-    members = sets.select(*keys, F.col(item).cast("string").alias("item")).distinct()
-    lanes = [F.bit_xor(F.xxhash64(F.lit(i), F.col("item"))).alias(f"lane{i}") for i in range(_LANES)]
-    found = members.groupBy(*keys).agg(F.count("*").alias("size"), *lanes)
-    digest = F.concat_ws("-", *[F.hex(f"lane{i}") for i in range(_LANES)])
+    own = F.xxhash64(*keys)
+    hot = sorted(sets.select(own.alias("key")).stat.freqItems(["key"], HOT_SHARE).first()[0] or [])
+    many, salt = own.isin(hot), F.pmod(F.xxhash64("item"), F.lit(HOT_SALTS)).cast("int")
+    members = sets.select(*keys, F.col(item).cast("string").alias("item"))
+    members = members.withColumn("salt", F.when(many, salt).otherwise(0))
+    members = members.repartition(_tasks(members), *keys, "salt").distinct()
+    names = [f"lane{i}" for i in range(_LANES)]
+    lanes = [F.bit_xor(F.xxhash64(F.lit(i), F.col("item"))).alias(name) for i, name in enumerate(names)]
+    found = members.groupBy(*keys, "salt").agg(F.count("*").alias("size"), *lanes).drop("salt")
+    if hot:
+        parts = found.where(many).groupBy(*keys).agg(F.sum("size").alias("size"), *[F.bit_xor(n).alias(n) for n in names])
+        found = found.where(~many).unionByName(parts)
+    digest = F.concat_ws("-", *map(F.hex, names))
     return found.select(*keys, "size", digest.alias("digest"))
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for rows that are narrow and compress well, by Catalyst's estimate of their size.
+
+    Adaptive execution would put 64 compressed MB of them into one task, which are gigabytes in its hash maps.
+    """
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    fixed = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(fixed, min(estimate // _TASK_BYTES, _MOST_TASKS))
+
+
 def process_members(inputs: DataFrame, run: str, action: Sequence[str], item: str) -> DataFrame:
     """Rows (run, action, size, process_id): runs of one action on the same input set share it."""
     digests = set_digest(inputs, [run, *action], item)
@@ -120,11 +143,14 @@ def lineage_edges(inputs: DataFrame, outputs: DataFrame, members: DataFrame, run
     data_in, run_in, data_out = "data", "run", "output"
     links = inputs.select(run, F.col("input_kind").alias("kind"), F.col("input").cast("string").alias("ref"))
     links = links.unionByName(outputs.select(run, F.lit(data_out).alias("kind"), F.col("output").cast("string").alias("ref")))
-    # one join gives every link its process
-    owned = links.distinct().join(process, run).select("kind", "ref", "process_id").distinct()
-    reads = owned.where(F.col("kind") == data_in).select(F.col("ref").alias("src"), F.col("process_id").alias("dst"))
-    writes = owned.where(F.col("kind") == data_out).select(F.col("process_id").alias("src"), F.col("ref").alias("dst"))
+    # one join gives every link its process; links that repeat go together with edges that do, at the end
+    ends = links.where(F.col("kind").isin(data_in, data_out)).join(process, run)
+    writes = F.col("kind") == data_out
+    ends = ends.select(
+        F.when(writes, F.col("process_id")).otherwise(F.col("ref")).alias("src"),
+        F.when(writes, F.col("ref")).otherwise(F.col("process_id")).alias("dst"),
+    )
     source = process.select(F.col(run).cast("string").alias("ref"), F.col("process_id").alias("src"))
-    after = owned.where(F.col("kind") == run_in).select("ref", F.col("process_id").alias("dst"))
+    after = links.where(F.col("kind") == run_in).join(process, run).select("ref", F.col("process_id").alias("dst"))
     after = after.join(source, "ref").select("src", "dst")
-    return reads.unionByName(after).unionByName(writes).distinct()
+    return ends.unionByName(after).distinct()

@@ -60,7 +60,8 @@ def _members(spark, sf_dir):
 
 def _labelled(members):
     """Process ids replaced by the first run of the node, which SQL can compute too."""
-    members = stored(members, "members")
+    # ids of a node as bytes, half as long as their text; both readers share the one shuffle of the sets
+    members = members.withColumn("process_id", F.unhex("process_id"))
     nodes = lineage.process_nodes(members, "run", ["action"]).select("process_id", "first_run")
     named = members.join(nodes, "process_id")
     return named.select("run", "action", "size", F.concat(F.lit("p:"), "first_run").alias("process_id"))
