@@ -61,11 +61,18 @@ def task_members(used: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, of: DataFrame | None = None, kind: str = RELATED) -> DataFrame:
     """Distinct (src, dst): the items that share a task with an item in `of` (column `src`).
 
-    Without `of` the items are all there are, and the rows as many as the related pairs. Both
+    Without `of` the items are all there are, and the rows as many as the related pairs: each
+    pair is joined and told apart in one direction, and turned round only then. Both
     sides of the join come straight from a shuffle by task, so a wide task can be split.
     """
     own = edges.where(F.col("kind") == kind).select("src", F.col("dst").alias("task"))
-    mine = own if of is None else own.join(of.select("src").distinct(), "src", "left_semi")
+    if of is None:
+        # the same rows on both sides, so that one shuffle serves both
+        shared = own.alias("a").join(own.alias("b"), F.col("a.task") == F.col("b.task"))
+        once = shared.where("a.src < b.src").select(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).distinct()
+        turned = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return once.select(F.inline(F.array(F.struct("src", "dst"), turned)))
+    mine = own.join(of.select("src").distinct(), "src", "left_semi")
     others = own.select(F.col("src").alias("dst"), "task")
     shared = mine.join(others, "task").where(F.col("src") != F.col("dst"))
     return shared.select("src", "dst").distinct()

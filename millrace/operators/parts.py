@@ -21,7 +21,9 @@ def assign_parts(pairs: DataFrame, keys: Sequence[str], item: str, limit: int =
     """Add `size`, `parts` and `part` to distinct (keys, item) rows."""
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("parts", F.ceil(F.col("size") / F.lit(limit)).cast("bigint"))
-    joined = left_join(pairs, sizes, keys, keys, null_safe=True, spread=True)
+    # a shuffled join, even where the sizes are few: it leaves the items of a key together, so that
+    # what is grouped by part behind it is nearly whole before it moves
+    joined = left_join(pairs, sizes.hint("shuffle_hash"), keys, keys, null_safe=True, spread=True)
     return joined.withColumn("part", hash_number(F.col(item)) % F.col("parts"))
 
 
@@ -29,9 +31,8 @@ def list_parts(
     pairs: DataFrame, keys: Sequence[str], item: str, naming: str, limit: int = PART_SIZE
 ) -> DataFrame:
     """Rows (keys, size, parts, part, list) from distinct (keys, item) rows; lists are sorted."""
-    # by key and part: grouping alone would keep the partitioning by key of the join before it,
-    # and with it all parts of a popular key in one task
-    spread = assign_parts(pairs, keys, item, limit).repartition(*keys, "part")
-    return spread.groupBy(*keys, "size", "parts", "part").agg(
+    # the join is by key and its hash, which is no grouping column: so the grouping has a shuffle by
+    # part of its own, behind partial lists, and the parts of a popular key go to different tasks
+    return assign_parts(pairs, keys, item, limit).groupBy(*keys, "size", "parts", "part").agg(
         F.array_sort(F.collect_list(item)).alias(naming)
     )
