@@ -20,11 +20,12 @@ keeps all.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +103,11 @@ def line_sets(docs: DataFrame, host: str, text: str) -> DataFrame:
     return texts.mapInArrow(run, "host string, node long, row_key long, line_keys array<long>")
 
 
-def measure(rows: DataFrame) -> DataFrame:
-    """The measures of each text (doc_id, host, text, clean), and the word characters of its clean text."""
+def measure(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """The measures of each text (doc_id, host, text, gone), and its clean text with its word characters.
+
+    Cleaned and measured by the same Python worker, a block of texts at a time.
+    """
     kind = rows.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +125,17 @@ def measure(rows: DataFrame) -> DataFrame:
     def facts(batch: pa.RecordBatch) -> pa.RecordBatch:
         column, n = batch.column(2), len(batch)
         hashes, rows, chars = sized(column)
-        texts = [x or "" for x in column.to_pylist()]
+        texts = column.to_pylist()
+        clean = pa.array(_clean_texts(shared.value, batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()), pa.string())
+        texts = [x or "" for x in texts]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
-                batch.column(3),
+                clean,
                 pa.array(np.bincount(rows, minlength=n)),
                 pa.array(chars),
-                pa.array(sized(batch.column(3))[2]),
+                pa.array(sized(clean)[2]),
                 pa.array([len(_SYMBOLS.findall(x)) for x in texts], pa.int64()),
                 pa.array([again(x) for x in texts], pa.int64()),
                 pa.array(repeat_words(hashes, rows, n)),
@@ -138,7 +144,7 @@ def measure(rows: DataFrame) -> DataFrame:
              "n_repeat_words"],
         )
 
-    return rows.select("doc_id", "host", "text", "clean").mapInArrow(run, SCHEMA.format(kind=kind))
+    return rows.select("doc_id", "host", "text", "gone").mapInArrow(run, SCHEMA.format(kind=kind))
 
 
 def _node(text: str) -> Column:
@@ -185,8 +191,18 @@ def without(text: str, gone: set[int]) -> str:
     return "\n".join(x for x, (_, size), key in zip(lines, named, keys) if not (size and key in gone))
 
 
-def _cleaned(docs: DataFrame, host: str, text: str, least_docs: int) -> DataFrame:
-    """The rows of docs (all their columns as `row`) and their text without frequent lines (`clean`)."""
+def _clean_texts(known: dict[str | None, set[int]] | None, hosts: Iterable, texts: Iterable, gone: Iterable) -> list[str | None]:
+    """The texts without the lines known for their host or, where none were sent, without their own gone ones."""
+    found = []
+    for name, x, keys in zip(hosts, texts, gone):
+        lost = known.get(name) if known is not None else None if keys is None else set(map(int, keys))
+        found.append(without(x, lost) if x and lost else x)
+    return found
+
+
+def _marked(docs: DataFrame, host: str, text: str, least_docs: int) -> tuple[DataFrame, Broadcast]:
+    """The rows of docs (all their columns as `row`) with the frequent lines of their text (`gone`), or else
+    those of all hosts, sent to all tasks."""
     sets = line_sets(docs, host, text)
     frequent = stored(frequent_lines(sets, least_docs), "frequent_lines")
     rows = docs.select(
@@ -202,22 +218,18 @@ def _cleaned(docs: DataFrame, host: str, text: str, least_docs: int) -> DataFram
     else:
         same = (F.col("node") == F.col("t")) & F.col("host").eqNullSafe(F.col("h"))
         rows = rows.join(_gone(sets, frequent), same, "left")
-    shared = docs.sparkSession.sparkContext.broadcast(sent)
-
-    @F.pandas_udf("string")
-    def clean(hosts: pd.Series, texts: pd.Series, gone: pd.Series) -> pd.Series:
-        known, found = shared.value, []
-        for name, x, keys in zip(hosts, texts, gone):
-            lost = known.get(name) if known is not None else None if keys is None else set(map(int, keys))
-            found.append(without(x, lost) if x and lost else x)
-        return pd.Series(found, dtype=object)
-
-    return rows.select("row", "host", "text", clean("host", "text", "gone").alias("clean"))
+    return rows, docs.sparkSession.sparkContext.broadcast(sent)
 
 
 def clean(docs: DataFrame, host: str = "source", text: str = "text", least_docs: int = 10) -> DataFrame:
     """The documents, with all their columns, without the frequent lines of their host."""
-    found = _cleaned(docs, host, text, least_docs)
+    rows, shared = _marked(docs, host, text, least_docs)
+
+    @F.pandas_udf("string")
+    def cleaned(hosts: pd.Series, texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series(_clean_texts(shared.value, hosts, texts, gone), dtype=object)
+
+    found = rows.select("row", cleaned("host", "text", "gone").alias("clean"))
     return found.select(*[F.col("clean" if c == text else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -226,8 +238,8 @@ def judge(
     least_docs: int = 10, most_removed: float = 0.5,
 ) -> DataFrame:
     """One row per document: the measures, removed_chars, base_failed, kept and the clean text."""
-    found = _cleaned(docs, host, text, least_docs)
-    measured = measure(found.select(F.col(f"row.`{key}`").alias("doc_id"), "host", "text", "clean"))
+    found, shared = _marked(docs, host, text, least_docs)
+    measured = measure(found.select(F.col(f"row.`{key}`").alias("doc_id"), "host", "text", "gone"), shared)
     gone = F.col("word_chars") - F.col("clean_chars")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = gone > F.lit(most_removed) * F.col("word_chars")
