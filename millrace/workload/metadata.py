@@ -185,7 +185,8 @@ def usage_functions(spark, sf_dir):
     """
 )
 def usage_totals(spark, sf_dir):
-    out = usage.accumulate(usage.task_usage(corpus(spark, sf_dir)))
+    # read by two aggregates: stored, so that documents are written and parsed once
+    out = usage.accumulate(stored(usage.task_usage(corpus(spark, sf_dir)), "tasks"))
     shown = F.date_format("last_used", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_used")
     return out.select(
         "id", "column_count", "merge_count", "sum_count", "combine_count", "pivot_count", "users", shown, "gap_seconds"

@@ -3,6 +3,7 @@
 import re
 
 from conftest import rows
+from millrace.llm import lines
 from millrace.operators import graph, lineage
 
 
@@ -49,3 +50,10 @@ def test_pairs_are_joined_in_one_direction_and_lists_move_once(spark):
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" not in plan and "ShuffledHashJoin" in plan
     assert sum(len(r["related"]) for r in lists.collect()) == 8
+
+
+def test_texts_are_cleaned_and_measured_by_one_python_worker(spark):
+    docs = spark.createDataFrame([(i, "h", f"common line here\nown words {i}") for i in range(12)], "doc_id long, source string, text string")
+    judged = lines.judge(docs)
+    assert "ArrowEvalPython" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert all("common" not in r.clean for r in judged.collect())
