@@ -109,7 +109,8 @@ class BucketedTable:
 
     def _write(self, version: Version, merged: DataFrame, note: str | None = None) -> None:
         folder = f"data/{uuid.uuid4().hex}"
-        placed = merged.select("*", self._bucket(version)).repartition(_BUCKET)
+        # a bucket with more than a task's share of rows is written by several tasks, each its own file
+        placed = merged.select("*", self._bucket(version)).hint("rebalance", F.col(_BUCKET))
         placed.write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
         new = {b: f"{folder}/{_BUCKET}={b}" for b in self._buckets_in(folder)}
         self._commit(replace(version, folders=version.folders | new), note)
