@@ -20,7 +20,7 @@ EVENT_SCHEMA = (
 NODE_KEYS = ["db_type", "ip", "port", "db_name", "table_name"]
 
 _LANES = 4
-_TASK_BYTES, _MOST_TASKS = 4 << 20, 10_000
+_TASK_BYTES, _MOST_TASKS, _NO_ESTIMATE = 4 << 20, 10_000, 1 << 50
 
 
 def data_nodes(touches: DataFrame, keys: Sequence[str], run: str) -> DataFrame:
@@ -68,7 +68,8 @@ def _tasks(rows: DataFrame) -> int:
     """
     estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     fixed = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(fixed, min(estimate // _TASK_BYTES, _MOST_TASKS))
+    # rows of unknown size are estimated at exabytes
+    return fixed if estimate >= _NO_ESTIMATE else max(fixed, min(estimate // _TASK_BYTES, _MOST_TASKS))
 
 
 def process_members(inputs: DataFrame, run: str, action: Sequence[str], item: str) -> DataFrame:
