@@ -41,12 +41,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[at[0] : at[-1]], at - at[0]
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about BLOCK_BYTES of text each; a longer text is a range of its own."""
+def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each; a longer text is a range of its own."""
     _, at = raw(column)
     start = 0
     while start < len(column):
-        end = int(np.searchsorted(at, at[start] + BLOCK_BYTES, "right")) - 1
+        end = int(np.searchsorted(at, at[start] + size, "right")) - 1
         end = min(len(column), max(end, start + 1))
         yield start, end
         start = end

@@ -11,7 +11,8 @@ with a the count at the highest order and at word starts, and else the number of
 characters that precede; D has three values per language and order, from counts of counts.
 
 Windows (a character and its context) of all documents are counted in one scan, for all documents and for
-the trusted ones of each fold, as columns of one row for each window. So the three models (all trusted text, and
+the trusted ones of each fold, as columns of one row for each window. Tasks make the windows of a small block of
+texts at once as arrays, and tell words and windows apart by 64-bit hashes of language and text. So the three models (all trusted text, and
 each fold) share every table, shuffle and join, order by order. Tables are deleted after their last reader. The scores of the most frequent windows, at most HOT_WINDOWS of up to ORDER
 characters, go to all tasks; each document adds them up by itself, and only its other windows go by a
 shuffle join. Sums per document are partial sums; no n-gram table is gathered anywhere.
@@ -31,16 +32,15 @@ that repeat id, language and text share one result. Other columns are left out b
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import blocks, span_hashes, words
+from millrace.llm.arrow import blocks, mix, span_hashes, words
 from millrace.workspace import discard, stored
 
 ORDER = 5
@@ -51,8 +51,8 @@ SHRINK = 100
 LOW, HIGH = 0.005, 0.995
 STEPS = 10_000
 BEGIN, END = "\x02", "\x03"
-#: Distinct words and windows that a counting task remembers, and words that a scoring task does.
-TASK_WORDS, TASK_GRAMS, SCORED_WORDS = 400_000, 500_000, 400_000
+#: Distinct windows that a counting task remembers, and bytes of text whose windows are made at once.
+TASK_GRAMS, WINDOW_BYTES = 500_000, 1 << 19
 
 
 def windows(word: str) -> list[str]:
@@ -77,73 +77,132 @@ def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield start, hashes, counts, rows, which, text
 
 
+class BlockWindows(NamedTuple):
+    """The words of a block of rows and the windows of its distinct words, of which a language is part."""
+
+    rows: np.ndarray  # of each word
+    which: np.ndarray  # of each word the distinct word
+    langs: np.ndarray  # of each distinct word
+    owner: np.ndarray  # of each window the distinct word; ascending
+    keys: np.ndarray  # of each window a 64-bit hash of its language and characters
+    chars: tuple[np.ndarray, np.ndarray]  # of each window its characters, packed
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key the number of its distinct key, and of each distinct key a place where it is."""
+    which = pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    at = np.zeros(int(which.max(initial=-1)) + 1, np.int64)
+    at[which] = np.arange(len(which))
+    return which, at
+
+
+def _each(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one range after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+
+
+def _packed(chars: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of so many code points that end at these places, as two integers of 21 bits for each."""
+
+    def back(k: int) -> np.ndarray:
+        return np.where(sizes > k, chars[last - k] + np.uint64(1), np.uint64(0)) << np.uint64(21 * (k % 3))
+
+    return back(0) | back(1) | back(2), back(3) | back(4)
+
+
+def _unpacked(low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The texts of packed windows."""
+    columns = [(part >> np.uint64(shift)) & np.uint64(0x1FFFFF) for part, shift in ((high, 21), (high, 0), (low, 42), (low, 21), (low, 0))]
+    chars = np.stack(columns, 1)
+    there = chars > 0
+    chars = (np.maximum(chars, 1) - np.uint64(1)).astype("<u4")
+    sizes = np.where(there, 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), 0).sum(axis=1)
+    text = chars[there].tobytes().decode("utf-32-le").encode()
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text))
+
+
+def _keys(chars: tuple[np.ndarray, np.ndarray], langs: np.ndarray) -> np.ndarray:
+    low, high = chars
+    return mix(low + mix(high + mix(langs.astype(np.uint64))))
+
+
+def block_windows(texts: pa.Array, langs: np.ndarray) -> BlockWindows:
+    """All windows of a block of texts, whose languages are numbers. See `windows` for those of one word."""
+    data, first, last, rows = words(texts)
+    which, at = _distinct(mix(span_hashes(data, first, last) + mix(langs[rows].astype(np.uint64))))
+    first, sizes = first[at], (last - first)[at]
+    # each distinct word between two line feeds, which are in no word and become its marks
+    marked = np.full(int(sizes.sum()) + 2 * len(sizes), 10, np.uint8)
+    marked[_each(np.cumsum(sizes + 2) - sizes - 1, sizes)] = data[_each(first, sizes)]
+    chars = np.frombuffer(marked.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+    edges = np.flatnonzero(chars == 10)
+    chars[(chars == ord(BEGIN)) | (chars == ord(END))] = 32
+    chars[edges[::2]], chars[edges[1::2]] = ord(BEGIN), ord(END)
+    sizes = edges[1::2] - edges[::2]
+    place = _each(edges[::2] + 1, sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    packed = _packed(chars, place, np.minimum(place - edges[::2][owner] + 1, ORDER))
+    langs = langs[rows[at]]
+    return BlockWindows(rows, which, langs, owner, _keys(packed, langs[owner]), packed)
+
+
+def _numbers(column: pa.Array, codes: dict[str, int]) -> np.ndarray:
+    """The number of each language; new ones are added to the codes."""
+    names = column.dictionary_encode()
+    known = np.array([codes.setdefault(name, len(codes)) for name in names.dictionary.to_pylist()], np.int64)
+    return known[names.indices.to_numpy(zero_copy_only=False)]
+
+
 class Counts:
-    """Counts of the windows of words, in three columns."""
+    """Windows and their sums in three columns: rows of key, language, two of characters, and the sums."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sums = [np.zeros(0, np.int64) for _ in range(3)]
-
-    def add(self, words: Iterable[list]) -> None:
-        """Each word is [text, count, count, count]."""
-        place, words = self.place, list(words)
-        at = array("q")
-        sizes = array("q")
-        for word in words:
-            listed = windows(word[0])
-            at.extend([place.setdefault(g, len(place)) for g in listed])
-            sizes.append(len(listed))
-        at, sizes = np.frombuffer(at, np.int64), np.frombuffer(sizes, np.int64)
-        for i, old in enumerate(self.sums):
-            weights = np.repeat(np.array([w[i + 1] for w in words], float), sizes)
-            new = np.bincount(at, weights, len(place)).astype(np.int64)
-            new[: len(old)] += old
-            self.sums[i] = new
+        self.parts: list[list[np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, rows: list[np.ndarray]) -> None:
+        which, at = _distinct(rows[0])
+        sums = [np.bincount(which, x, len(at)).astype(np.int64) for x in rows[4:]]
+        self.parts.append([x[at] for x in rows[:4]] + sums)
+        self.rows += len(at)
+
+    def merge(self) -> list[np.ndarray]:
+        """All rows as one part."""
+        if len(self.parts) > 1:
+            whole = [np.concatenate(x) for x in zip(*self.parts)]
+            self.__init__()
+            self.add(whole)
+        return self.parts[0] if self.parts else [np.zeros(0, np.int64)] * 7
 
 
 def window_counts(docs: DataFrame) -> DataFrame:
     """lang, gram, n, n0, n1: windows of the texts (lang, part, text), all and those of the parts 0 and 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, dict[int, list]] = {}  # language, word hash: text and counts
-        grams: dict[str, Counts] = {}
-
-        def fold() -> None:
-            for lang, found in seen.items():
-                grams.setdefault(lang, Counts()).add(found.values())
-            seen.clear()
+        codes: dict[str, int] = {}
+        found = Counts()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            fold()
-            for lang, own in grams.items():
-                names = pa.array(list(own.place), pa.string())
-                for k in range(0, len(names), 20_000):
-                    some = names.slice(k, 20_000)
-                    sums = [pa.array(x[k : k + len(some)]) for x in own.sums]
-                    columns = [pa.array([lang] * len(some), pa.string()), some, *sums]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n", "n0", "n1"])
-            grams.clear()
+            names = pa.array(list(codes), pa.string())
+            whole = found.merge()
+            for k in range(0, len(whole[0]), 20_000):
+                _, lang, low, high, *sums = (x[k : k + 20_000] for x in whole)
+                columns = [names.take(pa.array(lang)), _unpacked(low, high), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n", "n0", "n1"])
+            found.__init__()
 
         for batch in batches:
-            langs = batch.column(0).to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs)):
-                some = batch.filter(pa.array(langs == lang))
-                part = some.column(1).to_numpy()
-                for start, hashes, counts, rows, which, text in word_blocks(some.column(2)):
-                    of = part[start + rows]
-                    first, second = (np.bincount(which[of == p], minlength=len(hashes)).tolist() for p in (0, 1))
-                    own = seen.setdefault(lang, {})
-                    for k, (h, n, a, b) in enumerate(zip(hashes.tolist(), counts.tolist(), first, second)):
-                        if (entry := own.get(h)) is None:
-                            own[h] = [text(k), n, a, b]
-                        else:
-                            entry[1] += n
-                            entry[2] += a
-                            entry[3] += b
-                    if sum(map(len, seen.values())) > TASK_WORDS:
-                        fold()
-                        if sum(len(x.place) for x in grams.values()) > TASK_GRAMS:
-                            yield from flush()
+            langs, part = _numbers(batch.column(0), codes), batch.column(1).to_numpy()
+            for start, end in blocks(batch.column(2), WINDOW_BYTES):
+                one = block_windows(batch.column(2).slice(start, end - start), langs[start:end])
+                of = part[start:end][one.rows]
+                times = [np.bincount(one.which[x], minlength=len(one.langs)) for x in (slice(None), of == 0, of == 1)]
+                found.add([one.keys, one.langs[one.owner], *one.chars, *[x[one.owner] for x in times]])
+                if found.rows > 2 * TASK_GRAMS:
+                    found.merge()
+                    if found.rows > TASK_GRAMS:
+                        yield from flush()
         yield from flush()
 
     found = docs.select("lang", "part", "text").mapInArrow(run, "lang string, gram string, n long, n0 long, n1 long")
@@ -248,8 +307,16 @@ def scored_windows(counts: DataFrame) -> DataFrame:
     return found
 
 
-def hot_windows(scored: DataFrame) -> dict[str, dict[str, tuple]]:
-    """Language, window: log probabilities of the most frequent windows, at most HOT_WINDOWS."""
+class HotWindows(NamedTuple):
+    """The most frequent windows: numbers of languages, keys in ascending order, and log probabilities in each model."""
+
+    langs: dict[str, int]
+    keys: np.ndarray
+    logs: np.ndarray
+
+
+def hot_windows(scored: DataFrame) -> HotWindows:
+    """The most frequent windows, at most HOT_WINDOWS."""
     level = F.floor(F.log2("n") * 4).cast("int")
     total, least = 0, None
     for r in scored.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -258,92 +325,58 @@ def hot_windows(scored: DataFrame) -> dict[str, dict[str, tuple]]:
             break
         least = r["level"]
     if least is None:
-        return {}
-    frequent = scored.where(level >= least)
-    found: dict[str, dict[str, tuple]] = {}
-    for batch in frequent.select("lang", "gram", "pw", "p0", "p1").toArrow().to_batches():
-        lang, gram, *p = (c.to_pylist() for c in batch.columns)
-        for one, name, *values in zip(lang, gram, *p):
-            found.setdefault(one, {})[name] = tuple(values)
-    return found
-
-
-def document_sums(docs: DataFrame, hot: dict[str, dict[str, tuple]]) -> DataFrame:
+        return HotWindows({}, np.zeros(0, np.uint64), np.zeros((0, len(MODELS))))
+    frequent = scored.where(level >= least).select("lang", "gram", "pw", "p0", "p1").toArrow().combine_chunks()
+    langs: dict[str, int] = {}
+    numbers = _numbers(frequent.column("lang").combine_chunks(), langs)
+    grams = frequent.column("gram").to_pylist()
+    sizes = np.array([len(g) for g in grams], np.int64)
+    chars = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.uint64)
+    keys = _keys(_packed(chars, np.cumsum(sizes) - 1, sizes), numbers)
+    order = np.argsort(keys)
+    return HotWindows(langs, keys[order], np.stack([frequent.column(f"p{m}").to_numpy() for m in MODELS], 1)[order])
+
+
+def document_sums(docs: DataFrame, hot: HotWindows) -> DataFrame:
     """id, lang, node, part, n (windows), the sums of the hot ones' logarithms in the whole model (logp) and in
     the one of the other fold (held, for parts 0 and 1), and cold: the other windows with counts."""
     kind = docs.select("id").schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    colds = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
-
-    def scored(word: str, known: dict[str, tuple]) -> tuple[tuple[float, float, float, int], list[str] | None]:
-        whole, first, second, cold, grams = 0.0, 0.0, 0.0, None, windows(word)
-        for gram in grams:
-            p = known.get(gram)
-            if p is not None:
-                whole += p[0]
-                first += p[1]
-                second += p[2]
-            elif cold is None:
-                cold = [gram]
-            else:
-                cold.append(gram)
-        return (whole, first, second, len(grams)), cold
-
-    class Table:
-        """The words a task has met: places by hash, their sums, and the cold windows of those that have some."""
-
-        def __init__(self) -> None:
-            self.place: dict[int, int] = {}
-            self.values = np.zeros((1 << 12, 4))
-            self.cold: dict[int, list[str]] = {}
-
-        def of(self, hashes: list[int], text: Callable, known: dict[str, tuple]) -> np.ndarray:
-            if len(self.place) > SCORED_WORDS:
-                self.__init__()
-            place, first, new = self.place, len(self.place), []
-            for k, h in enumerate(hashes):
-                if h not in place:
-                    sums, cold = scored(text(k), known)
-                    if cold:
-                        self.cold[len(place)] = cold
-                    place[h] = len(place)
-                    new.append(sums)
-            while len(place) > len(self.values):
-                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            if new:
-                self.values[first : len(place)] = new
-            return np.array([place[h] for h in hashes])
-
-    def sums(column: pa.Array, known: dict[str, tuple], table: Table) -> tuple[np.ndarray, list]:
-        total, cold = np.zeros((4, len(column))), [[] for _ in range(len(column))]
-        for start, hashes, _, rows, which, text in word_blocks(column):
-            if not len(hashes):
-                continue
-            at = table.of(hashes.tolist(), text, known)
-            values = table.values[at]
-            end = start + int(rows.max()) + 1
-            for k in range(4):
-                total[k, start:end] += np.bincount(rows, weights=values[which, k])
-            has_cold = np.array([i in table.cold for i in at.tolist()])
-            there = np.flatnonzero(has_cold[which])
-            rest: dict[int, Counter] = {}
-            for row, k in zip(rows[there].tolist(), at[which[there]].tolist()):
-                rest.setdefault(row, Counter()).update(table.cold[k])
-            for row, counts in rest.items():
-                cold[start + row] = [{"gram": g, "times": t} for g, t in counts.items()]
-        return total, cold
+
+    def cold_windows(one: BlockWindows, n_rows: int, which: np.ndarray, at: np.ndarray, cold: np.ndarray) -> pa.Array:
+        """Of each row its cold windows with counts; `cold` tells which distinct windows are cold."""
+        there = cold[which]
+        windows, sizes = which[there], np.bincount(one.owner[there], minlength=len(one.langs))
+        begin, of = np.cumsum(sizes) - sizes, sizes[one.which]
+        rows = np.repeat(one.rows, of)
+        number, n_cold = np.cumsum(cold) - 1, max(int(cold.sum()), 1)
+        pairs, times = np.unique(rows * n_cold + number[windows[_each(begin[one.which], of)]], return_counts=True)
+        grams = _unpacked(*[x[at[cold]] for x in one.chars]).take(pa.array(pairs % n_cold))
+        ends = np.cumsum(np.bincount(pairs // n_cold, minlength=n_rows))
+        values = pa.StructArray.from_arrays([grams, pa.array(times.astype(np.int64))], ["gram", "times"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, Table] = {}
+        known = shared.value
+        codes = dict(known.langs)
         for batch in batches:
-            langs = batch.column(1).to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs)):
-                some = batch.filter(pa.array(langs == lang))
+            numbers = _numbers(batch.column(1), codes)
+            for start, end in blocks(batch.column(4), WINDOW_BYTES):
+                some, n_rows = batch.slice(start, end - start), end - start
+                one = block_windows(some.column(4), numbers[start:end])
+                which, at = _distinct(one.keys)
+                place = np.searchsorted(known.keys, one.keys[at])
+                cold = np.append(known.keys, np.uint64(0))[place] != one.keys[at]
+                cold |= place == len(known.keys)
+                logs = np.append(known.logs, np.zeros((1, len(MODELS))), axis=0)[np.where(cold, len(known.keys), place)]
+                sizes = np.bincount(one.owner, minlength=len(one.langs))
+                sums = [np.bincount(one.owner, x[which], len(one.langs)) for x in logs.T]
+                n, whole, first, second = (np.bincount(one.rows, x[one.which], n_rows) for x in (sizes, *sums))
                 part = some.column(3).to_numpy()
-                total, cold = sums(some.column(4), shared.value.get(lang, {}), tables.setdefault(lang, Table()))
-                held = np.choose(part + 1, [np.zeros(len(part)), total[2], total[1]])  # the other fold's model
+                held = np.choose(part + 1, [np.zeros(n_rows), second, first])  # the other fold's model
+                lists = cold_windows(one, n_rows, which, at, cold)
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:4], pa.array(total[3].astype(np.int64)), pa.array(total[0]), pa.array(held), pa.array(cold, colds)],
+                    [*some.columns[:4], pa.array(n.astype(np.int64)), pa.array(whole), pa.array(held), lists],
                     ["id", "lang", "node", "part", "n", "logp", "held", "cold"],
                 )
 
